@@ -6,7 +6,8 @@
 2. Targets: sources in code point order (null last) weigh 5, 2, 1 in turn and share the total size; a
    target stops at CAP times its source's size and the excess goes to the others by weight.
 3. A source gives floor(target / size) whole passes and then whole blocks in permuted order while they
-   fit. In the one block that does not fit, documents are taken in permuted order, each if it still fits.
+   fit. In the one block that does not fit, documents are taken in permuted order, each if it still fits,
+   and exchanged one at a time while that brings the source nearer to its target.
 4. The block draws of all sources are split over the output shards: at each node of a binary tree
    the left half's share is one multivariate-hypergeometric draw from the node's block quotas. Leaves
    have exact quotas; each then takes the next blocks of the source's permuted draws, so draws are disjoint.
@@ -83,13 +84,33 @@ def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray
 
 
 def _fits(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows (place, size, n, room) of one block in permuted order: those that are taken, each if it still fits."""
+    """Rows (place, size, n, room) of one block: those that are taken.
+
+    In permuted order each unit is taken if it still fits; then the add, drop or swap that comes nearest to
+    the room is made as long as one comes nearer."""
     pdf = pdf.sort_values(["place", "size"], kind="stable")
-    room, taken = int(pdf["room"].iloc[0]), []
-    for size, n in zip(pdf["size"], pdf["n"], strict=True):
-        fits = int(size) * int(n) <= room
-        room -= int(size) * int(n) * fits
-        taken.append(fits)
+    words = pdf["size"].to_numpy(np.int64) * pdf["n"].to_numpy(np.int64)
+    room, taken = int(pdf["room"].iloc[0]), np.zeros(len(pdf), bool)
+    for i, n in enumerate(words):
+        if n <= room:
+            taken[i], room = True, room - int(n)
+    while room:
+        inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken)
+        outside = outside[np.argsort(words[outside], kind="stable")]
+        gains, moves = [words[outside], -words[inside]], [(None, j) for j in outside] + [(i, None) for i in inside]
+        if len(inside) and len(outside):
+            at = np.searchsorted(words[outside], words[inside] + room)
+            for near in (np.minimum(at, len(outside) - 1), np.maximum(at - 1, 0)):
+                gains.append(words[outside[near]] - words[inside])
+                moves += list(zip(inside, outside[near], strict=True))
+        left = np.abs(room - np.concatenate(gains))
+        best = int(left.argmin())
+        if left[best] >= abs(room):
+            break
+        room -= int(np.concatenate(gains)[best])
+        for i, state in zip(moves[best], (False, True), strict=True):
+            if i is not None:
+                taken[i] = state
     return pdf.loc[taken, ["s", "block", "place", "size"]]
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of the two word rules, as Java regex classes.
@@ -59,3 +61,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lower_ascii(column):
     """A-Z to a-z and nothing else (lower() would also map letters beyond ASCII)."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def range_bounds(ids: DataFrame, column: str, n: int) -> np.ndarray:
+    """At most n - 1 ascending bounds that cut a long column into n ranges of about equal numbers of rows.
+
+    They come from Spark's quantile summary; its size depends on n and the error, not on the rows."""
+    if n < 2:
+        return np.empty(0, np.int64)
+    cuts = ids.approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n)
+    return np.unique(np.asarray(cuts, np.float64).astype(np.int64))
+
+
+def range_number(column: Column, bounds: np.ndarray) -> Column:
+    """The number of the range a long is in: how many bounds are at or below it; null counts as the lowest."""
+
+    @F.arrow_udf("int")
+    def number(values: pa.Array) -> pa.Array:
+        numbers = np.searchsorted(bounds, values.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
+        return pa.array(numbers.astype(np.int32))
+
+    return number(column)
