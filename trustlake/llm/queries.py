@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from trustlake.llm import decontamination
 from trustlake.llm.decontamination import op10_benchmark_decontamination
+from trustlake.llm.language_id import op4_language_id
 from trustlake.llm.mixing import op7_source_mix
 from trustlake.llm.simhash import op8_simhash_near_dedup
 from trustlake.llm.token_ids import op1_token_ids
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op4_language_id": op4_language_id,
     "op7_source_mix": op7_source_mix,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
