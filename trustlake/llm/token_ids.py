@@ -36,8 +36,8 @@ from trustlake.llm.shared import partitions, range_bounds, range_number, shared_
 
 BLOCK_TOKENS = 1 << 18
 END_ID = 1
-#: Chunks of text whose ids a worker remembers; a full memory is emptied, which changes no result.
-MEMORY = 1_500_000
+#: Chunks of text whose ids a worker remembers, twice: those before are dropped, which changes no result.
+MEMORY = 300_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -87,13 +87,16 @@ class _Chunks(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.old: dict[str, bytes] = {}
         spec = json.loads(self.tokenizer.to_str())
         self.plain = bool(spec["normalizer"]) and "Lowercase" in str(spec["normalizer"]) and "ByteLevel" in str(spec["pre_tokenizer"])
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMORY:
+        if len(self) >= MEMORY:  # the chunks seen since the last time stay for one more round
+            self.old = dict(self)
             self.clear()
-        self[chunk] = out = self._encoded(chunk)
+        out = self.old.get(chunk)
+        self[chunk] = out = self._encoded(chunk) if out is None else out
         return out
 
     def _encoded(self, chunk: str) -> bytes:
