@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from trustlake.llm import decontamination
+from trustlake.llm import chat_format, decontamination, license_scan
+from trustlake.llm.chat_format import op6_chat_format
 from trustlake.llm.decontamination import op10_benchmark_decontamination
 from trustlake.llm.language_id import op4_language_id
+from trustlake.llm.license_scan import op3_license_scan
 from trustlake.llm.mixing import op7_source_mix
 from trustlake.llm.simhash import op8_simhash_near_dedup
 from trustlake.llm.token_ids import op1_token_ids
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
+    "op6_chat_format": op6_chat_format,
     "op7_source_mix": op7_source_mix,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_license_scan": license_scan.ORACLE,
+    "op6_chat_format": chat_format.ORACLE,
     "op10_benchmark_decontamination": decontamination.ORACLE,
 }
