@@ -8,11 +8,13 @@ from trustlake.llm.decontamination import op10_benchmark_decontamination
 from trustlake.llm.language_id import op4_language_id
 from trustlake.llm.license_scan import op3_license_scan
 from trustlake.llm.mixing import op7_source_mix
+from trustlake.llm.order_minhash import op2_order_minhash
 from trustlake.llm.simhash import op8_simhash_near_dedup
 from trustlake.llm.token_ids import op1_token_ids
 
 QUERIES = {
     "op1_token_ids": op1_token_ids,
+    "op2_order_minhash": op2_order_minhash,
     "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
     "op6_chat_format": op6_chat_format,
