@@ -262,20 +262,27 @@ def superseded(docs: DataFrame) -> DataFrame:
     """(doc_id, reason): pages of which the scan has a newer sibling of the same base title.
 
     A stale mark names the first sibling. A year or version names the first sibling that is newer and whose scope does not
-    say that both hold. Siblings meet by base title; of each base title only marked pages or dated and numbered ones take part."""
+    say that both hold."""
     p = F.col("title_parts")
     year = F.when(p["version"].rlike(r"^\d{4}$"), p["version"].try_cast("int"))
     numbers = F.when(year.isNull(), F.transform(F.regexp_extract_all(p["version"], F.lit(r"(?U)\d+"), F.lit(0)), lambda n: n.try_cast("decimal(38,0)")))
-    rows = docs.select("id", "doc_ord", "title", "base", p["version"].alias("v"), p["stale"].alias("mark"), year.alias("year"), numbers.alias("numbers"), "scope")
-    first_two = rows.groupBy("base").agg(F.slice(F.array_sort(F.collect_set(F.struct("doc_ord", "id", "title"))), 1, 2).alias("first"))
-    marked = rows.where("mark is not null").join(first_two, "base").withColumn("sib", F.get(F.filter("first", lambda d: d["id"] != F.col("id")), 0)).where("sib is not null")
-    marked = marked.select(F.col("id").alias("doc_id"), F.format_string("Title has stale suffix '%s' and a newer page '%s' exists in this scan", "mark", "sib.title").alias("reason"))
-    a, b = rows.where("mark is null and v is not null").alias("a"), rows.where("v is not null").alias("b")
+    rows = docs.select("id", "doc_ord", "title", "base", p["version"].alias("v"), p["stale"].alias("mark"), year.alias("year"), numbers.alias("numbers"), F.map_entries("scope").alias("scope"))
+    # a page's first sibling: the family's first page, or for that page the next one
+    member = F.struct("doc_ord", "id", "title")
+    first = rows.groupBy("base").agg(F.min(member).alias("first"))
+    second = rows.join(first, "base").where("id <> first.id").groupBy("base").agg(F.min(member).alias("second"))
+    marked = rows.where("mark is not null").join(first, "base").join(second, "base")
+    sibling = F.when(F.col("id") == F.col("first.id"), F.col("second.title")).otherwise(F.col("first.title"))
+    marked = marked.select(F.col("id").alias("doc_id"), F.format_string("Title has stale suffix '%s' and a newer page '%s' exists in this scan", "mark", sibling).alias("reason"))
+    # pages of one version and scope are alike, so classes are compared and not pages
+    kinds = rows.where("v is not null").groupBy("base", "v", "year", "numbers", "scope").agg(F.min(F.struct("doc_ord", "title")).alias("d"))
+    a, b = kinds.alias("a"), kinds.alias("b")
     newer = F.coalesce(F.col("b.year") > F.col("a.year"), F.lit(False)) | F.coalesce((F.size("a.numbers") > 0) & (F.size("b.numbers") > 0) & (F.col("b.numbers") > F.col("a.numbers")), F.lit(False))
-    pairs = a.join(b, (F.col("a.base") == F.col("b.base")) & newer & (F.col("a.id") != F.col("b.id"))).where(~T.coexist(F.col("a.scope"), F.col("b.scope")))
-    first = pairs.groupBy(F.col("a.id").alias("doc_id"), F.col("a.v").alias("v"), F.col("a.year").alias("year")).agg(F.min(F.struct("b.doc_ord", "b.title", F.col("b.v").alias("v"))).alias("s"))
+    pairs = a.join(b, (F.col("a.base") == F.col("b.base")) & newer).where(~T.coexist(F.map_from_entries("a.scope"), F.map_from_entries("b.scope")))
+    best = pairs.groupBy(*[F.col(f"a.{c}").alias(c) for c in ("base", "v", "scope")]).agg(F.min(F.struct("b.d.doc_ord", "b.d.title", F.col("b.v").alias("v"))).alias("s"))
+    older = rows.where("mark is null and v is not null").join(best, ["base", "v", "scope"])
     word = F.when(F.col("year").isNotNull(), "year").otherwise("version")
-    return marked.union(first.select("doc_id", F.format_string("Superseded by a related page in this scan: '%s' (%s %s > %s)", "s.title", word, "s.v", "v")))
+    return marked.union(older.select(F.col("id").alias("doc_id"), F.format_string("Superseded by a related page in this scan: '%s' (%s %s > %s)", "s.title", word, "s.v", "v")))
 
 
 def grouped(signals: DataFrame) -> DataFrame:
