@@ -94,7 +94,8 @@ def near_duplicates(docs: DataFrame, threshold: float = schema.SIMILARITY_THRESH
     parts = F.concat_ws(" ", F.substring(c, 1, 1000), F.expr("substring(content, cast(greatest(0, (length(content) - 1000) div 2) as int) + 1, 1000)"), F.expr("right(content, 1000)"))
     tokens = F.array_distinct(F.split(T.strip(parts), r"(?U)\s+"))
     base = F.transform("tokens", lambda w: F.xxhash64(w))
-    mins = [F.array_min(F.transform("hashes", lambda h, i=i: F.xxhash64(h, F.lit(i)))) for i in range(BANDS * BAND_ROWS)]
+    seeded = lambda i: lambda h: F.xxhash64(h, F.lit(i))
+    mins = [F.array_min(F.transform("hashes", seeded(i))) for i in range(BANDS * BAND_ROWS)]
     bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col("mins")[b * BAND_ROWS + k] for k in range(BAND_ROWS)]).alias("key")) for b in range(BANDS)])
     keyed = classes.select("id", "t", "o", tokens.alias("tokens")).select("id", "t", "o", base.alias("hashes")).select("id", "t", "o", F.array(*mins).alias("mins"))
     keyed = keyed.select("id", "t", "o", F.explode(bands).alias("b")).select("id", "t", "o", "b.band", "b.key")
