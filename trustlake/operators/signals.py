@@ -76,7 +76,7 @@ def version_markers(docs: DataFrame, duplicate: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), *_SIGNAL(SIMILARITY, F.array(F.lit(1), F.col("doc_ord")), "version_marker", "critical", message, found))
 
 
-BANDS, BAND_ROWS = 32, 3
+BANDS, BAND_ROWS = 20, 3
 
 
 def near_duplicates(docs: DataFrame, threshold: float = schema.SIMILARITY_THRESHOLD) -> DataFrame:
