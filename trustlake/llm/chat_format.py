@@ -49,16 +49,18 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     m, p = messages.alias("m"), messages.alias("p")
     state = m.join(p, same("m", "p") & (F.col("m.parent") == F.col("p.id")), "left")
     state = state.select("m.conv", "m.id", F.col("p.id").alias("up"), F.lit(1).alias("steps"), F.col("m.score").cast("double").alias("total"))
-    jumps, rows = [], messages.count()
+    state = written(state, "chat-jump")
+    # closed messages have reached their root; only the open ones jump on, so rounds get smaller
+    closed, open_, jumps, rows = state.where("up is null"), state.where("up is not null"), [], messages.count()
     while True:
-        state = written(state, "chat-jump")
-        jumps.append(state.where("up is not null").select("conv", "id", "up"))
-        if 1 << (len(jumps) - 1) > rows or not jumps[-1].limit(1).count():
+        jumps.append(open_.select("conv", "id", "up"))
+        if 1 << (len(jumps) - 1) > rows or not open_.limit(1).count():
             break
-        a, b = state.alias("a"), state.alias("b")
-        state = a.join(b, same("a", "b") & (F.col("a.up") == F.col("b.id")), "left")
-        state = state.select("a.conv", "a.id", "b.up", (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"))
-    rooted = state.where("up is null").select("conv", "id", "steps", "total")
+        a, b = open_.alias("a"), closed.union(open_).alias("b")
+        state = a.join(b, same("a", "b") & (F.col("a.up") == F.col("b.id")))
+        state = written(state.select("a.conv", "a.id", "b.up", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.total") + F.col("b.total")).alias("total")), "chat-jump")
+        closed, open_ = closed.union(state.where("up is null")), state.where("up is not null")
+    rooted = closed.select("conv", "id", "steps", "total")
     r, c = rooted.alias("r"), jumps[0].alias("c")
     leaves = r.join(c, same("r", "c") & (F.col("r.id") == F.col("c.up")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("total"), "id"))
