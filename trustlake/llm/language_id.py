@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import free_name, table
+from trustlake.llm.shared import free_name, slices, table
 
 ORDER = 5
 TRAIN_DOCS = 600
@@ -37,7 +37,7 @@ REJECT_MARGIN = 4.0
 SEED = 17
 UNKNOWN = "und"
 _EDGE = 1  # the symbol around texts; 0 is the space
-_EDGE_CHAR = ""
+_EDGE_CHAR = "\ue000"
 _CHUNK = 1 << 19
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(2 * ORDER)], np.uint64)
 
@@ -255,6 +255,18 @@ def _scale(n: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip(n, 1, 400) / 400)
 
 
+def _named(m: Model, values: list[str | None]) -> pa.StructArray:
+    entropy, n = m.entropies(values)
+    folded = _folding()
+    some = np.array([bool(t) and bool((folded[np.frombuffer(t[:64].encode("utf-32-le", "replace"), "<u4")] > _EDGE).any() or any(map(str.isalpha, t))) for t in values], bool)
+    best = entropy.argmin(axis=1)
+    low = entropy[np.arange(len(best)), best]
+    score = 1 / np.exp((low[:, None] - entropy) * np.minimum(n, 40)[:, None]).sum(axis=1)
+    rejected = ~some | ((low - m.centre[best]) * _scale(n) > REJECT_MARGIN * m.reach[best])
+    langs = [m.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
+    return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(low, mask=~some), pa.array(rejected)], ["lang", "score", "entropy", "rejected"])
+
+
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with a struct column language_id: lang, score (0 to 1), entropy (nats per character), rejected."""
     shape = "lang string, score double, entropy double, rejected boolean"
@@ -265,16 +277,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     @F.arrow_udf(f"struct<{shape.replace(' ', ':').replace(',:', ',')}>")
     def named(texts: pa.Array) -> pa.Array:
-        m, values = shared.value, texts.to_pylist()
-        entropy, n = m.entropies(values)
-        table_ = _folding()
-        some = np.array([bool(t) and bool((table_[np.frombuffer(t[:64].encode("utf-32-le", "replace"), "<u4")] > _EDGE).any() or any(map(str.isalpha, t))) for t in values])
-        best = entropy.argmin(axis=1)
-        low = entropy[np.arange(len(best)), best]
-        score = 1 / np.exp((low[:, None] - entropy) * np.minimum(n, 40)[:, None]).sum(axis=1)
-        rejected = ~some | ((low - m.centre[best]) * _scale(n) > REJECT_MARGIN * m.reach[best])
-        langs = [m.languages[b] if s else UNKNOWN for b, s in zip(best.tolist(), some.tolist(), strict=True)]
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.where(some, score, 0.0)), pa.array(low, mask=~some), pa.array(rejected)], ["lang", "score", "entropy", "rejected"])
+        return pa.concat_arrays([_named(shared.value, some.to_pylist()) for some in slices(texts)] or [_named(shared.value, [])])
 
     return docs.withColumn(name, named(F.col(text_col).cast("string")))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import free_name, table
+from trustlake.llm.shared import free_name, slices, table
 
 ROUNDS = 8
 KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ip", "date")
@@ -263,7 +263,7 @@ def pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<text:string,found:map<string,int>>")
     def replaced(texts: pa.Array) -> pa.Array:
-        pairs = [pseudonymize(t, secret) for t in texts.to_pylist()]
+        pairs = [pseudonymize(t, secret) for some in slices(texts) for t in some.to_pylist()]
         found = pa.array([sorted(f.items()) for _, f in pairs], pa.map_(pa.string(), pa.int32()))
         return pa.StructArray.from_arrays([pa.array([t for t, _ in pairs], pa.string()), found], ["text", "found"])
 

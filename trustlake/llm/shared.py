@@ -73,12 +73,23 @@ def range_bounds(ids: DataFrame, column: str, n: int) -> np.ndarray:
     return np.unique(np.asarray(cuts, np.float64).astype(np.int64))
 
 
+def range_numbers(values: pa.Array, bounds: np.ndarray) -> pa.Array:
+    """The number of the range that each long is in: how many bounds are at or below it; null counts as the lowest."""
+    numbers = np.searchsorted(bounds, values.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
+    return pa.array(numbers.astype(np.int32))
+
+
 def range_number(column: Column, bounds: np.ndarray) -> Column:
-    """The number of the range a long is in: how many bounds are at or below it; null counts as the lowest."""
+    """range_numbers of a column."""
 
     @F.arrow_udf("int")
     def number(values: pa.Array) -> pa.Array:
-        numbers = np.searchsorted(bounds, values.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-        return pa.array(numbers.astype(np.int32))
+        return range_numbers(values, bounds)
 
     return number(column)
+
+
+def slices(values: pa.Array, rows: int = 512):
+    """Pieces of an Arrow column or batch, so that only some rows at a time become Python objects."""
+    for at in range(0, len(values), rows):
+        yield values.slice(at, rows)

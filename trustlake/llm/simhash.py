@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import free_name, table, written
+from trustlake.llm.shared import free_name, slices, table, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -61,7 +61,7 @@ def fingerprint(text: Column, width: int = SHINGLE) -> Column:
 
     @F.arrow_udf("long")
     def signatures(texts: pa.Array) -> pa.Array:
-        return pa.array([signature(x, width) for x in texts.cast(pa.binary()).to_pylist()], pa.int64())
+        return pa.array([signature(x, width) for some in slices(texts) for x in some.cast(pa.binary()).to_pylist()], pa.int64())
 
     return signatures(text)
 

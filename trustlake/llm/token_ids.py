@@ -32,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import partitions, range_bounds, range_number, shared_path, table, written
+from trustlake.llm.shared import partitions, range_bounds, range_numbers, shared_path, table, written
 
 BLOCK_TOKENS = 1 << 18
 END_ID = 1
 #: Chunks of text whose ids a worker remembers, twice: those before are dropped, which changes no result.
-MEMORY = 300_000
+MEMORY = 240_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -185,7 +185,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, text_col: str =
         for batch in batches:
             pairs = [encode_ids(shared.value[np.frombuffer(x.as_buffer(), "<u4")]) for x in batch.column(1)]
             counts = pa.array([len(x.as_buffer()) // 4 for x in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, *(pa.array(x, pa.binary()) for x in (zip(*pairs, strict=True) if pairs else ((), ())))], ["id", "n", "control", "data"])
+            coded_ = [pa.array(x, pa.binary()) for x in (zip(*pairs, strict=True) if pairs else ((), ()))]
+            yield pa.RecordBatch.from_arrays([range_numbers(batch.column(0), bounds), batch.column(0), counts, *coded_], ["range", "id", "n", "control", "data"])
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, docs, total = TaskContext.get().partitionId(), 0, [], 0
@@ -199,8 +200,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, text_col: str =
         if docs:
             yield _block(shard, block, docs)
 
-    ordered = rows.mapInArrow(coded, "id long, n long, control binary, data binary")
-    ordered = ordered.repartitionById(partitions(spark), range_number(F.col("id"), bounds))
+    ordered = rows.mapInArrow(coded, "range int, id long, n long, control binary, data binary")
+    ordered = ordered.repartitionById(partitions(spark), F.col("range")).drop("range")
     ordered = ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "data", "control")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 

@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import ALNUM_TABLE, free_name, table, written
+from trustlake.llm.shared import ALNUM_TABLE, free_name, slices, table, written
 
 TRAIN_ROWS = 20_000
 TREES = 20
@@ -119,7 +119,7 @@ def _with_features(docs: DataFrame, text_col: str, lexicon: Lexicon, name: str)
     def featured(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(Lexicon(*shared.value))
-        return pa.array([features(x, held[0]) for x in texts.cast(pa.binary()).to_pylist()], pa.list_(pa.float64()))
+        return pa.array([features(x, held[0]) for some in slices(texts) for x in some.cast(pa.binary()).to_pylist()], pa.list_(pa.float64()))
 
     return docs.withColumn(name, array_to_vector(featured(F.col(text_col).cast("string"))))
 
