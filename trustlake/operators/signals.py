@@ -50,14 +50,16 @@ def age(docs: DataFrame, as_of: datetime, warning_days: int = schema.AGE_WARNING
     return rows.select("doc_id", *_SIGNAL(AGE, F.array(F.lit(0)), "age", F.when(critical, "critical").otherwise("warning"), message, found))
 
 
-_NEWEST = (F.coalesce(F.unix_micros("last_modified"), F.lit(-(1 << 62))).alias("t"), (-F.col("doc_ord")).alias("o"), "id", "title")
+def _newest(*more: str) -> Column:
+    """The newest page of a group: by date, then the first fetched."""
+    return F.max(F.struct(F.coalesce(F.unix_micros("last_modified"), F.lit(-(1 << 62))).alias("t"), (-F.col("doc_ord")).alias("o"), "id", "title", *more))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """Every page but the newest of those with equal content; without dates the first fetched is kept.
 
     The newest is aggregated before the join, so a group of copies of any size meets one row."""
-    newest = docs.groupBy("content_hash").agg(F.max(F.struct(*_NEWEST)).alias("new"), F.count("*").alias("n")).where("n > 1").select("content_hash", "new")
+    newest = docs.groupBy("content_hash").agg(_newest().alias("new"), F.count("*").alias("n")).where("n > 1").select("content_hash", "new")
     rows = docs.select("id", "doc_ord", "content_hash").join(newest, "content_hash").where(F.col("doc_ord") != -F.col("new.o"))
     found = schema.details(duplicate_of=F.col("new.id"), duplicate_title=F.col("new.title"), similarity=F.lit(100.0))
     return rows.select(F.col("id").alias("doc_id"), *_SIGNAL(SIMILARITY, F.array(F.lit(0), F.col("doc_ord")), "duplicate", "critical", F.format_string("Exact duplicate of '%s'", "new.title"), found))
@@ -87,7 +89,7 @@ def near_duplicates(docs: DataFrame, threshold: float = schema.SIMILARITY_THRESH
     rest, those that are similar are linked to it and leave the bucket, and what remains begins again with its own newest
     class; so a bucket of many copies costs one comparison a member. Pairs below about half of their tokens in
     common may not meet (bands of BAND_ROWS of BANDS); every pair reported is verified."""
-    newest = docs.groupBy("content_hash").agg(F.max(F.struct(*_NEWEST, "content")).alias("r"))
+    newest = docs.groupBy("content_hash").agg(_newest("content").alias("r"))
     classes = newest.select(F.col("r.id").alias("id"), F.col("r.title").alias("title"), F.col("r.t").alias("t"), F.col("r.o").alias("o"), F.col("r.content").alias("content"))
     classes = written(classes, "near-classes")
     c = F.col("content")
