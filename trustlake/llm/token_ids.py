@@ -20,7 +20,6 @@ empty file; other columns are not written.
 
 from __future__ import annotations
 
-import json
 import string
 from array import array
 from collections.abc import Callable, Iterable, Iterator
@@ -88,8 +87,8 @@ class _Chunks(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.old: dict[str, bytes] = {}
-        spec = json.loads(self.tokenizer.to_str())
-        self.plain = bool(spec["normalizer"]) and "Lowercase" in str(spec["normalizer"]) and "ByteLevel" in str(spec["pre_tokenizer"])
+        normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer  # their own specifications, without the vocabulary's
+        self.plain = bool(normalizer and splitter) and b"Lowercase" in normalizer.__getstate__() and b"ByteLevel" in splitter.__getstate__()
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= MEMORY:  # the chunks seen since the last time stay for one more round
@@ -147,6 +146,7 @@ def tokenize(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: st
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([encode(t) + end for t in some.column(1).to_pylist()], pa.binary())], ["id", "ids"])
+        pa.default_memory_pool().release_unused()  # a worker waits for its next task without what this one held
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return written(rows.mapInArrow(encoded, "id long, ids binary"), "token-rows")
