@@ -38,7 +38,7 @@ SEED = 17
 UNKNOWN = "und"
 _EDGE = 1  # the symbol around texts; 0 is the space
 _EDGE_CHAR = "\ue000"
-_CHUNK = 1 << 19
+_CHUNK = 1 << 17
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(2 * ORDER)], np.uint64)
 
 
