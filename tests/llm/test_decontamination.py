@@ -55,6 +55,17 @@ def test_blocks_of_items_agree(spark, monkeypatch):
     assert got == {i: brute(t, items) for i, t, *_ in rows}
 
 
+def test_partly_copied_items_are_found(spark):
+    # nowhereword is in no document, so only windows without it can occur
+    quote = "m0 m1 m2 m3 m4 m5 m6 m7 m8 m9 m10 m11"
+    items = [(1, f"{quote} nowhereword m13 m14"), (2, "nowhereword m0 m1"), (3, f"nowhereword {quote}"), (4, f"m0 nowhereword {quote[3:]}")]
+    rows = [(1, f"x {quote} y", "en", "a"), (2, "m0 m1 m13 m14", "en", "a"), (3, f"{quote[:-4]} z", "en", "a")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.id: (r.n_words, r.n_hit, r["items"]) for r in D.hits(*D.find(docs(spark, rows), benchmark)).collect()}
+    assert got == {i: brute(t, items) for i, t, *_ in rows} and got[1][1:] == (12, ["1", "3", "4"])
+    assert [r.doc_id for r in D.drop_contaminated(docs(spark, rows), benchmark).collect()] == [2]
+
+
 def test_proximity(spark):
     item = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda")], "item_id long, text string")
     far = " filler" * 30

@@ -180,8 +180,12 @@ def search(index: DataFrame, items: list[tuple[str, list[int]]], counts: dict[in
     for id_, term in items:
         order = sorted(range(len(term)), key=lambda o: (counts.get(term[o], 0), o))
         rare = list(dict.fromkeys(term[o] for o in order))[:NEAR_TERMS]
-        if term and all(t in counts for t in rare):
-            plans.append((id_, term, order, rare))
+        # a window with a word that no document has occurs nowhere, the item's other windows may; such a word is among the rarest
+        absent = np.cumsum([0, *(t not in counts for t in term)])
+        width = min(window, len(term))
+        firsts = np.flatnonzero(absent[width:] == absent[: len(absent) - width]).tolist()
+        if term and firsts:
+            plans.append((id_, term, order, [] if absent[-1] else rare, firsts))
     shared = index.sparkSession.sparkContext.broadcast(plans)
 
     def matches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +203,12 @@ def search(index: DataFrame, items: list[tuple[str, list[int]]], counts: dict[in
                         spans = [{"first": a, "last": b} for a, b in _merged(p - starts[d], width)]
                         out.append({"segment": row["segment"], "doc": d, "item": id_, "kind": kind, "spans": spans})
 
-                for id_, term, order, rare in shared.value:
+                for id_, term, order, rare, firsts in shared.value:
                     width = min(window, len(term))
-                    hits = [_phrases(lists, term, order, s, width) for s in range(len(term) - width + 1)]
+                    hits = [_phrases(lists, term, order, s, width) for s in firsts]
                     if len(places := np.unique(np.concatenate(hits))):
                         put(id_, "exact", places, width)
-                    if len(places := _near(lists, rare, NEAR_SPAN)):
+                    if rare and len(places := _near(lists, rare, NEAR_SPAN)):
                         put(id_, "near", places, 1)
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=_MATCH_ARROW)
