@@ -86,6 +86,33 @@ def test_near_duplicates_link_every_copy(spark):
     assert got == {f"d{n}": "d0" for n in range(1, 9)}
 
 
+def test_near_duplicates_match_brute_force(spark):
+    import random
+
+    from trustlake.functions.similarity import similarity
+
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(60)]
+    chain = [words[:]]
+    for k in range(5):  # each edit is near the last one, the ends are not near each other
+        chain.append([f"{'qxzvj'[k] * 6}{i}" if k * 11 <= i < k * 11 + 9 else w for i, w in enumerate(chain[-1])])
+    solid = "".join(rng.choice("\u65e5\u672c\u8a9e\u6587\u5b57\u6c34\u706b") for _ in range(80))
+    texts = [*map(" ".join, chain), solid, solid[:40] + "x" + solid[41:], solid[:-3], "", "  ", "a", *[" ".join(rng.choices(words, k=n)) for n in (5, 30, 300, 300)]]
+    texts += [texts[-1] + " tail", texts[-2].replace("word1", "Word1"), " ".join(w + "s" for w in words)]
+    given = [{"content": t, "age": rng.choice([None, 1, 2, 3])} for t in texts]
+    docs = S.prepare(pages(spark, *given))
+    rank = lambda n: (-given[n]["age"] if given[n]["age"] is not None else -(10**6), -n)
+    expected = set()
+    for a in range(len(texts)):
+        for b in range(a):
+            if (score := similarity(texts[a], texts[b])) >= 80:
+                old, new = sorted((a, b), key=rank)
+                expected.add((f"d{old}", f"d{new}", round(score, 1)))
+    rows = S.near_duplicates(docs).collect()
+    got = {(r.doc_id, r.details.similar_to, r.details.similarity) for r in rows}
+    assert got == expected and len(rows) == len(got) > 10
+
+
 def test_broken_links(spark):
     docs = pages(spark, {"content": "https://a.example/x and https://b.example/y http://localhost/z"}, {"content": "https://a.example/x"})
     assert {r.url for r in S.extracted_urls(docs).collect()} == {"https://a.example/x", "https://b.example/y"}

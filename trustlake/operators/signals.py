@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from trustlake import schema
 from trustlake.functions import text as T
-from trustlake.functions.similarity import similarity_of
+from trustlake.functions.similarity import close_pairs, compared
 from trustlake.functions.web import host, private_host
 from trustlake.plans.tables import written
 
@@ -78,46 +78,29 @@ def version_markers(docs: DataFrame, duplicate: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), *_SIGNAL(SIMILARITY, F.array(F.lit(1), F.col("doc_ord")), "version_marker", "critical", message, found))
 
 
-BANDS, BAND_ROWS = 20, 3
+BLOCK = 512
 
 
 def near_duplicates(docs: DataFrame, threshold: float = schema.SIMILARITY_THRESHOLD) -> DataFrame:
     """The older page of each pair of different contents whose similarity reaches the threshold.
 
-    Pages of equal content are one class and its newest page stands for it. Classes meet where a band of
-    min-hashes of their tokens (first, middle and last window) is equal. A band's bucket is not spelt out in pairs: its newest class is compared with the
-    rest, those that are similar are linked to it and leave the bucket, and what remains begins again with its own newest
-    class; so a bucket of many copies costs one comparison a member. Pairs below about half of their tokens in
-    common may not meet (bands of BAND_ROWS of BANDS); every pair reported is verified."""
+    Pages of equal content are one class and its newest page stands for it. The classes are dealt to blocks, and each pair of
+    blocks is one group: its pairs of classes are dropped where lengths or characters in common rule the threshold out,
+    and the rest are scored, so no pair is missed. This is quadratic in the number of classes. A page's rows
+    stand together, the one that names its newest counterpart last."""
     newest = docs.groupBy("content_hash").agg(_newest("content").alias("r"))
-    classes = newest.select(F.col("r.id").alias("id"), F.col("r.title").alias("title"), F.col("r.t").alias("t"), F.col("r.o").alias("o"), F.col("r.content").alias("content"))
-    classes = written(classes, "near-classes")
-    c = F.col("content")
-    parts = F.concat_ws(" ", F.substring(c, 1, 1000), F.expr("substring(content, cast(greatest(0, (length(content) - 1000) div 2) as int) + 1, 1000)"), F.expr("right(content, 1000)"))
-    tokens = F.array_distinct(F.split(T.strip(parts), r"(?U)\s+"))
-    base = F.transform("tokens", lambda w: F.xxhash64(w))
-    seeded = lambda i: lambda h: F.xxhash64(h, F.lit(i))
-    mins = [F.array_min(F.transform("hashes", seeded(i))) for i in range(BANDS * BAND_ROWS)]
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.col("mins")[b * BAND_ROWS + k] for k in range(BAND_ROWS)]).alias("key")) for b in range(BANDS)])
-    keyed = classes.select("id", "t", "o", tokens.alias("tokens")).select("id", "t", "o", base.alias("hashes")).select("id", "t", "o", F.array(*mins).alias("mins"))
-    keyed = keyed.select("id", "t", "o", F.explode(bands).alias("b")).select("id", "t", "o", "b.band", "b.key")
-    rest, links = written(keyed, "near-bands"), None
-    while True:
-        heads = rest.groupBy("band", "key").agg(F.max(F.struct("t", "o", "id")).alias("h"), F.count("*").alias("n")).where("n > 1").select("band", "key", F.col("h.id").alias("head"))
-        members = written(rest.join(heads, ["band", "key"]).where("id <> head"), "near-members")
-        pairs = members.select("id", "head").distinct()
-        a, b = classes.alias("a"), classes.alias("b")
-        scored = pairs.join(a, pairs["id"] == F.col("a.id")).join(b, pairs["head"] == F.col("b.id"))
-        scored = scored.select(pairs["id"], pairs["head"], F.col("a.o").alias("o"), F.col("b.o").alias("head_o"), F.col("b.title").alias("title"), similarity_of("a.content", "b.content").alias("s"))
-        close = written(scored.where(F.col("s.score") >= threshold * 100), "near-links")
-        links = close if links is None else links.union(close)
-        rest = written(members.join(close, ["id", "head"], "left_anti").select("id", "t", "o", "band", "key"), "near-rest")
-        if not rest.limit(1).count():
-            break
-    rows = links.dropDuplicates(["id", "head"])
-    found = schema.details(similar_to=F.col("head"), similar_title=F.col("title"), similarity=F.col("s.rounded"))
+    classes = written(newest.select("r.*"), "near-classes")
+    blocks = max(8, -(-classes.count() // BLOCK))
+    parts = classes.select("id", "t", "o", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"), compared("content").alias("parts"))
+    parts = written(parts, "near-parts").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    grouped = parts.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
+    grouped = grouped.repartition(min(blocks * (blocks + 1), 4000), "i", "j").groupBy("i", "j")
+    pairs = written(grouped.applyInPandas(close_pairs(threshold * 100), "id string, t long, o long, head string, head_t long, head_o long, score double, rounded double, whole string"), "near-pairs")
+    rows = pairs.join(classes.select(F.col("id").alias("head"), "title"), "head")
+    rows = rows.repartition("id").sortWithinPartitions("id", "head_t", "head_o")
+    found = schema.details(similar_to=F.col("head"), similar_title=F.col("title"), similarity=F.col("rounded"))
     order = F.array(F.lit(2), F.least(-F.col("o"), -F.col("head_o")), F.greatest(-F.col("o"), -F.col("head_o")))
-    return rows.select(F.col("id").alias("doc_id"), *_SIGNAL(SIMILARITY, order, "near_duplicate", "warning", F.format_string("~%s%% similar to '%s'", "s.whole", "title"), found))
+    return rows.select(F.col("id").alias("doc_id"), *_SIGNAL(SIMILARITY, order, "near_duplicate", "warning", F.format_string("~%s%% similar to '%s'", "whole", "title"), found))
 
 
 # Wordings before a version that make it a historical one.
