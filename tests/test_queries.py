@@ -41,6 +41,15 @@ def test_runs(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
 
 
+def test_counts_are_those_of_the_audit(spark, sf):
+    verdicts = entry.queries()["audit_pipeline"](spark, sf)
+    counts = entry.queries()["status_counts"](spark, sf).first()
+    assert {r.status: r["count"] for r in verdicts.groupBy("status").count().collect()} == {k: v for k, v in counts.asDict().items() if k != "total" and v}
+    docs = core.S.prepare(core.kb(spark, sf))
+    near = core._results(spark, sf).where("exists(signals, s -> s.signal_type = 'near_duplicate')")
+    assert {r.document_id for r in near.collect()} == {r.doc_id for r in core.S.near_duplicates(docs).collect()} != set()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
 

@@ -282,7 +282,7 @@ def neighbour_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _settings() -> A.Settings:
-    return A.Settings(AS_OF, near_duplicates=False)
+    return A.Settings(AS_OF)
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +292,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def audit_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict, with all operators but web probes."""
-    return A.audit(kb(spark, sf_dir), A.Settings(AS_OF)).select("document_id", "status", "confidence", "confidence_reason", "suggested_replacement_id", F.col("trust_metadata.lifecycle").alias("lifecycle"), F.col("trust_metadata.audit_priority").alias("audit_priority"))
+    return A.audit(kb(spark, sf_dir), _settings()).select("document_id", "status", "confidence", "confidence_reason", "suggested_replacement_id", F.col("trust_metadata.lifecycle").alias("lifecycle"), F.col("trust_metadata.audit_priority").alias("audit_priority"))
 
 
 @query()
