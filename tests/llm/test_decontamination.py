@@ -74,6 +74,30 @@ def test_proximity(spark):
     assert got[1] == (0, ["1"]) and got[2] == (0, []) and got[3] == (0, [])
 
 
+def test_proximity_matches_brute_force(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.sample(list("abcdefghijklmnop"), rng.choice([2, 3, 5, 7])))) for i in range(12)] + [(12, "alpha beta gamma"), (13, "lonely"), (14, "alpha missing")]
+    # the nearest beta is not the one that fits; gamma beta and alpha stand near each other in two documents only
+    rows = [(0, f"{'x ' * 92}beta{' x' * 7} alpha{' x' * 9} beta x x gamma", "en", "a"), (1, "x gamma beta", "en", "a"), (2, "alpha x", "en", "a"), (3, "", "en", "a")]
+    rows += [(i, " ".join(rng.choices([*"abcdefghijklmnop", "y"], [1] * 16 + [rng.choice([5, 40, 120])], k=rng.randrange(120))), "en", "a") for i in range(4, 90)]
+    count = {}
+    for _, t, *_ in rows:
+        for w in words(t):
+            count[w] = count.get(w, 0) + 1
+    expected = {}
+    for i, t, *_ in rows:
+        w, near = words(t), set()
+        for item, q in items:
+            # the rarest, in the item's order where counts are equal
+            rare = set(sorted(dict.fromkeys(words(q)), key=lambda x: count.get(x, 0))[:5])
+            if len(rare) > 1 and any(rare <= set(w[s : s + 20]) for s in range(len(w))):
+                near.add(str(item))
+        expected[i] = sorted(near)
+    found = D.find(docs(spark, rows).coalesce(1), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.id: r.near_items for r in D.hits(*found).collect()}
+    assert got == expected and got[0] == ["12"] and not got[1] and not got[2] and sum(map(len, got.values())) > 50
+
+
 def test_large_gaps_are_packed():
     import numpy as np
 

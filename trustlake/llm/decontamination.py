@@ -153,25 +153,35 @@ def _phrases(lists: dict[int, np.ndarray], term: list[int], order: list[int], fi
     return got
 
 
-def _near(lists: dict[int, np.ndarray], rare: list[int], span: int) -> np.ndarray:
-    """Places of rare[0] that have each other term within a stretch of span words that starts at the earliest one."""
-    got = lists.get(rare[0])
-    if got is None or len(rare) < 2:
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far each of a is from the nearest of b."""
+    at = np.searchsorted(b, a)
+    return np.minimum(np.abs(b[np.minimum(at, len(b) - 1)] - a), np.abs(b[np.maximum(at - 1, 0)] - a))
+
+
+def _near(lists: dict[int, np.ndarray], rare: list[int], span: int, starts: np.ndarray) -> np.ndarray:
+    """Places of rare[0] that lie with each other term in one stretch of span words of a document; starts: the documents'."""
+    have = [lists.get(t) for t in rare]
+    if len(have) < 2 or any(h is None for h in have):
         return np.empty(0, np.int64)
-    lowest, highest = got.copy(), got.copy()
-    for t in rare[1:]:
-        have = lists.get(t)
-        if have is None:
-            return got[:0]
-        at = np.searchsorted(have, got)
-        after, before = have[np.minimum(at, len(have) - 1)], have[np.maximum(at - 1, 0)]
-        near = np.where(np.abs(after - got) <= np.abs(before - got), after, before)
-        lowest, highest = np.minimum(lowest, near), np.maximum(highest, near)
-        keep = highest - lowest < span
-        got, lowest, highest = got[keep], lowest[keep], highest[keep]
+    got = have[0]
+    for h in have[1:]:
+        got = got[_apart(got, h) < span]
         if not len(got):
-            break
-    return got
+            return got
+    have = [h[_apart(h, got) < span] for h in have]
+    # each place as a stretch's last: the terms' last places up to it, of which the lowest tells how long the stretch is
+    ends = np.sort(np.concatenate(have))
+    lows = ends
+    for h in have:
+        at = np.searchsorted(h, ends, side="right") - 1
+        lows = np.minimum(lows, np.where(at < 0, -span, h[at]))
+    doc = lambda x: np.searchsorted(starts, x, side="right")
+    ends = ends[(ends - lows < span) & (doc(lows) == doc(ends))]
+    if not len(ends):
+        return got[:0]
+    after = ends[np.minimum(np.searchsorted(ends, got), len(ends) - 1)]
+    return got[(after >= got) & (after - got < span) & (doc(after) == doc(got))]
 
 
 def search(index: DataFrame, items: list[tuple[str, list[int]]], counts: dict[int, int], window: int = WINDOW) -> DataFrame:
@@ -208,7 +218,7 @@ def search(index: DataFrame, items: list[tuple[str, list[int]]], counts: dict[in
                     hits = [_phrases(lists, term, order, s, width) for s in firsts]
                     if len(places := np.unique(np.concatenate(hits))):
                         put(id_, "exact", places, width)
-                    if rare and len(places := _near(lists, rare, NEAR_SPAN)):
+                    if len(places := _near(lists, rare, NEAR_SPAN, starts)):
                         put(id_, "near", places, 1)
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=_MATCH_ARROW)
