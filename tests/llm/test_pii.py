@@ -43,6 +43,36 @@ def test_equal_values_stay_linked_and_forms_hold():
     assert pii.pseudonymize(text, b"j" * 32)[0] != new
 
 
+ALONE = {"ssn": "123-45-6789", "date": "2024-01-05", "phone": "555-123-4567", "card": "4111 1111 1111 1111"}
+
+
+@pytest.mark.parametrize("kind", sorted(ALONE))
+def test_numbers_side_by_side(kind):
+    value = ALONE[kind]
+    new = pii.pseudonymize(value, KEY)[0]
+    assert new != value
+    for n in range(1000, 1100):  # in one of ten, the joint number passes the card's check
+        for before in (f"id {n} ", f"{n}5 "):
+            assert pii.pseudonymize(f"{before}{value}", KEY) == (f"{before}{new}", {kind: 1})
+    for other, text in ALONE.items():
+        got, found = pii.pseudonymize(f"{value} {text}", KEY)
+        assert got == f"{new} {pii.pseudonymize(text, KEY)[0]}" and sum(found.values()) == 2, other
+    if kind == "card":
+        for tail in ("12/27", *(f"{n}" for n in range(100, 200))):
+            assert pii.pseudonymize(f"{value} {tail}", KEY) == (f"{new} {tail}", {kind: 1})
+
+
+def test_dates_of_one_digit():
+    seen = set()
+    for text in ("31/1/2024", "1.2.2024", "1-2-2024", "13.5.2024", "5/13/2024", "05/3/2024", "12-5-2024", "2024-1-5", "2024/10/5"):
+        new, found = pii.pseudonymize(f"on {text}.", KEY)
+        assert found == {"date": 1} and pii._read_date(new[3:-1])[0] == pii._read_date(text)[0]
+        seen.add(new)
+    days = [f"{d}/{m}/2024" for d in range(13, 29) for m in range(1, 10)] + [f"{m}.{d}.2024" for d in range(1, 10) for m in range(1, 13)]
+    assert len(seen) == 9 and len({pii._date(KEY, d) for d in days}) == len(days)
+    assert pii.pseudonymize("31/4/2024, 30.2.2024, 2024-2-30", KEY)[1] == {}
+
+
 def test_invalid_numbers_stay():
     text = "order 4111 1111 1111 1112, 2021-02-30, 999.1.1.1, 000-12-3456, version 1.2.3.4.5, 12345678901234567890123"
     assert pii.pseudonymize(text, KEY) == (text, {})

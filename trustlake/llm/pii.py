@@ -8,7 +8,8 @@ Check digits are computed anew; where a form has a rule (a valid month, no 000 a
 result obeys it. Equal values of a kind have equal pseudonyms in all documents; other text stays.
 
 Defined results: a null text stays null; empty texts and texts without such data are unchanged; numbers that fail their
-check are left alone unless they are valid as another kind; repeated rows get equal results; whole texts are read at any length; an
+check are left alone unless they are valid as another kind, and what they hold is tried from each group of digits on; of
+neighbours that pass a card's check together by chance the likelier reading is taken; repeated rows get equal results; whole texts are read at any length; an
 empty table gives no rows; other columns pass through.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -146,9 +147,11 @@ _DATES = [
     (re.compile(r"(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d{2})(?P=s)(?P<d>\d{2})$"), "{y:04d}{s}{m:02d}{s}{d:02d}"),
     (re.compile(r"(?P<m>0[1-9]|1[0-2])(?P<s>[-/.])(?P<d>\d{2})(?P=s)(?P<y>\d{4})$"), "{m:02d}{s}{d:02d}{s}{y:04d}"),
     (re.compile(r"(?P<d>\d{2})(?P<s>[-/.])(?P<m>\d{2})(?P=s)(?P<y>\d{4})$"), "{d:02d}{s}{m:02d}{s}{y:04d}"),
-    (re.compile(r"(?P<m>[1-9]|1[0-2])(?P<s>/)(?P<d>\d{1,2})(?P=s)(?P<y>\d{4})$"), "{m}{s}{d}{s}{y:04d}"),
+    (re.compile(r"(?P<m>0?[1-9]|1[0-2])(?P<s>[-/.])(?P<d>\d{1,2})(?P=s)(?P<y>\d{4})$"), "{m}{s}{d}{s}{y:04d}"),
     (re.compile(rf"(?P<n>{'|'.join(_MONTHS)})(?P<s> )(?P<d>\d{{1,2}}), (?P<y>\d{{4}})$"), "{n} {d}, {y:04d}"),
     (re.compile(rf"(?P<d>\d{{1,2}})(?P<s> )(?P<n>{'|'.join(_MONTHS)}) (?P<y>\d{{4}})$"), "{d} {n} {y:04d}"),
+    (re.compile(r"(?P<d>\d{1,2})(?P<s>[-/.])(?P<m>0?[1-9]|1[0-2])(?P=s)(?P<y>\d{4})$"), "{d}{s}{m}{s}{y:04d}"),
+    (re.compile(r"(?P<y>\d{4})(?P<s>[-/])(?P<m>0?[1-9]|1[0-2])(?P=s)(?P<d>\d{1,2})$"), "{y:04d}{s}{m}{s}{d}"),
 ]
 
 
@@ -198,16 +201,69 @@ def _secret(key: bytes, t: str) -> str | None:
 
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _SECRETS = re.compile(r"(?<![A-Za-z0-9])(AKIA)([0-9A-Z]{12,})(?![A-Za-z0-9])|(?i:(\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?))([A-Za-z0-9+/_-]{6,})")
-_NUMBERS = re.compile(
-    r"(?<![\w@])(?<!\d\.)(?:(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-    r"|(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-    rf"|(?P<date>\d{{4}}([-/.])\d{{2}}\4\d{{2}}|\d{{1,2}}([-/.])\d{{1,2}}\5\d{{4}}|(?:{'|'.join(_MONTHS)}) \d{{1,2}}, \d{{4}}|\d{{1,2}} (?:{'|'.join(_MONTHS)}) \d{{4}})(?![\w]|[-/]\d)"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w]|-\d)"
-    r"|(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|-\d)"
-    r"|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]|-\d))"
-)
+_FORMS = {
+    "iban": r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "ip": r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)",
+    "date": rf"(?P<date>\d{{4}}(?:(?P<ymd>[-/.])\d{{2}}(?P=ymd)\d{{2}}|(?P<y1>[-/])\d{{1,2}}(?P=y1)\d{{1,2}})|\d{{1,2}}(?P<dmy>[-/.])\d{{1,2}}(?P=dmy)\d{{4}}|(?:{'|'.join(_MONTHS)}) \d{{1,2}}, \d{{4}}|\d{{1,2}} (?:{'|'.join(_MONTHS)}) \d{{4}})(?![\w]|[-/]\d)",
+    "ssn": r"(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w]|-\d)",
+    "card": r"(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|-\d)",
+    "phone": r"(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]|-\d)",
+}
+_BEFORE = r"(?<![\w@])(?<!\d\.)"
+_NUMBERS = re.compile(f"{_BEFORE}(?:{'|'.join(_FORMS.values())})")
+_EACH = {kind: re.compile(_BEFORE + form) for kind, form in _FORMS.items()}
+#: How cards are written, the likelier first: lengths of their groups.
+_LAYOUTS = [(4, 4, 4, 4), (4, 6, 5), *[(n,) for n in range(13, 20)], (4, 4, 4, 4, 3), (4, 6, 4), (4, 4, 5), (4, 3, 3, 3)]
 _RULES: dict[str, Callable[[bytes, str], str | None]] = {"iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 _DIGIT = re.compile(r"\d{2}")
+
+
+def _layout(t: str) -> int:
+    """The place in _LAYOUTS of a number with one kind of separator; behind them other groups or first digits than
+    payment cards have, and then mixed separators."""
+    groups = tuple(map(len, re.split(r"[ -]", t)))
+    if " " in t and "-" in t:
+        return len(_LAYOUTS) + 1
+    return _LAYOUTS.index(groups) if groups in _LAYOUTS and re.match(r"2[2-7]|[3-6]", t) else len(_LAYOUTS)
+
+
+def _valid(key: bytes, part: str, start: int, kind: str, layouts: int = 99) -> tuple[int, str, str] | None:
+    """(end, kind, pseudonym) of the valid value of a kind that starts at start; its last groups may belong to a neighbour."""
+    if (m := _EACH[kind].match(part, start)) is None:
+        return None
+    ends = [m.end()]
+    if kind in ("card", "iban"):
+        ends += [start + g.start() for g in reversed(list(re.finditer(r"[ -]", m[0]))) if _EACH[kind].fullmatch(part, start, start + g.start())]
+    if kind == "card":
+        ends = sorted((e for e in ends if _layout(part[start:e]) <= layouts), key=lambda e: _layout(part[start:e]))
+    for end in ends:
+        if (new := _RULES[kind](key, part[start:end])) is not None and not (kind == "card" and layouts == 99 and _joined(key, part, start, end)):
+            return end, kind, new
+    return None
+
+
+def _joined(key: bytes, part: str, start: int, end: int) -> bool:
+    """Whether a card of unusual groups is neighbours that pass its check by chance, as a likelier value starts among them."""
+    t = part[start:end]
+    if (layout := _layout(t)) < len(_LAYOUTS):
+        return False
+    others = [k for k in _EACH if k != "card"] if layout > len(_LAYOUTS) else []
+    for s in [start, *(start + g.end() for g in re.finditer(r"[ -]", t))]:
+        if any(_valid(key, part, s, k) for k in others) or (s > start and _valid(key, part, s, "card", len(_LAYOUTS) - 1)):
+            return True
+    return False
+
+
+def _values(key: bytes, part: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of the valid values among a text's numbers. Where none is valid at a place, the next group of digits is tried."""
+    at = 0
+    while m := _NUMBERS.search(part, at):
+        kind, at = m.lastgroup, m.start() + 1
+        new = _RULES[kind](key, m[0]) if kind != "card" else None
+        got = (m.end(), kind, new) if new is not None else next(filter(None, (_valid(key, part, m.start(), k) for k in _EACH)), None)
+        if got:
+            yield m.start(), *got
+            at = got[0]
 _KEYWORD = re.compile(r"AKIA|pass|pwd|secret|token|key", re.IGNORECASE)
 
 
@@ -221,12 +277,10 @@ def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, dict[str, in
         found[kind] = found.get(kind, 0) + 1
         return new
 
-    def number(m: re.Match) -> str:
-        kind = m.lastgroup
-        new = _RULES[kind](key, m[0])
-        if new is None and kind == "card" and len(m[0]) <= 14 and m[0].count("-") + m[0].count(" ") == 2:
-            kind, new = "phone", _phone(key, m[0])
-        return put(kind, m[0], new)
+    def places(part: str, pattern: re.Pattern, rule: Callable[[re.Match], str]) -> Iterator[tuple[int, int, str]]:
+        if pattern is _NUMBERS:
+            return ((start, end, put(kind, part[start:end], new)) for start, end, kind, new in _values(key, part))
+        return ((m.start(), m.end(), rule(m)) for m in pattern.finditer(part))
 
     def secret(m: re.Match) -> str:
         return (m[1] or m[3]) + put("secret", m[2] or m[4], _secret(key, m[2] or m[4]))
@@ -237,7 +291,7 @@ def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, dict[str, in
         if emails or keywords or _DIGIT.search(text):
             # found stretches are kept apart, so that no rule reads another's pseudonym
             parts = [text]
-            for rule, pattern in (((lambda m: put("email", m[0], _email(key, m[0]))), _EMAIL if emails else None), (secret, _SECRETS if keywords else None), (number, _NUMBERS)):
+            for rule, pattern in (((lambda m: put("email", m[0], _email(key, m[0]))), _EMAIL if emails else None), (secret, _SECRETS if keywords else None), (None, _NUMBERS)):
                 if pattern is None:
                     continue
                 cut = []
@@ -246,11 +300,10 @@ def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, dict[str, in
                         cut.append(part)
                         continue
                     done = 0
-                    for m in pattern.finditer(part):
-                        new = rule(m)
-                        if new != m[0]:
-                            cut += [part[done : m.start()], new]
-                            done = m.end()
+                    for start, end, new in places(part, pattern, rule):
+                        if new != part[start:end]:
+                            cut += [part[done:start], new]
+                            done = end
                     cut.append(part[done:])
                 parts = cut
             text = "".join(parts)
