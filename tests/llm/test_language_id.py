@@ -75,6 +75,27 @@ def test_noise_is_rejected(spark, model):
     assert sum(r.rejected for r in found) >= 18
 
 
+def test_noise_near_a_language_of_few_rows_is_rejected(spark):
+    rng = random.Random(8)
+    few = "kala vesi talo aamu kivi joki valo yli alla läpi juhla"
+    texts = lambda n: " ".join(rng.choice(few.split()) for _ in range(n))
+    given = [*rows(), *((1000 + i, texts(40), "fi", "a") for i in range(12))]
+    model = L.train(docs(spark, given))
+    assert np.isfinite(model.reach).all()
+    noise = ["".join(rng.choice("qxzjkvwyþŋ ") for _ in range(300)) for _ in range(40)]
+    own = [texts(40) for _ in range(20)]
+    named = L._named(model, noise + own).to_pylist()
+    assert {x["lang"] for x in named[40:]} == {"fi"} and not any(x["rejected"] for x in named[40:])
+    assert sum(x["rejected"] for x in named[:40]) >= 38 and "fi" in {x["lang"] for x in named[:40]}
+
+
+def test_limits_of_languages_with_few_rows():
+    own, entropy, n = np.array([0] * 6 + [1]), np.array([1.0, 1.1, 1.2, 1.0, 1.1, 1.2, 2.0]), np.full(7, 400)
+    centre, reach = L.limits(3, own, entropy, np.ones(7, bool), n)
+    assert centre == pytest.approx([1.1, 2.0, 1.1]) and reach == pytest.approx([0.1, 0.1, 0.1])
+    assert np.isinf(L.limits(2, own[:0], entropy[:0], np.ones(0, bool), n[:0])[1]).all()
+
+
 def test_edges(spark, model):
     found = {r.doc_id: r.language_id for r in L.identify(docs(spark, clash=False), model).collect()}
     assert [found[i].lang for i in (2, 3, 4, 8)] == ["und"] * 4 and all(found[i].rejected and found[i].score == 0 for i in (2, 3, 4, 8))

@@ -9,7 +9,9 @@ one of context hashes with the logs of the back-off weights. A text is given the
 
 Rejection is calibrated on sampled rows that were not counted: of each language the mean cross-entropy under
 its own model and how far, scaled by the root of the length, the worst of them lies above it. A text further
-above than REJECT_MARGIN times that is rejected, as is a text without letters.
+above than REJECT_MARGIN times that is rejected, as is a text without letters. A language with fewer than 5 such rows that
+are identified rightly has the mean of those it has, or of all languages' without any, and the largest distance of the other languages; only where no
+language has a row to calibrate with is no text with letters rejected.
 
 Defined results: null and empty texts and texts without letters are `und`, score 0 and rejected; null labels are
 not learned; equal cross-entropies go to the first language by code point; repeated rows get equal results; without labelled rows
@@ -238,16 +240,34 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
             yield pa.RecordBatch.from_pydict({"own": pa.array(own, pa.int32()), "entropy": pa.array(entropy[np.arange(len(own)), own]), "best": pa.array(entropy.argmin(axis=1) == own), "n": pa.array(n)})
 
     held = rows.where("calibrates").select("text", "label").mapInArrow(measured, "own int, entropy double, best boolean, n long")
-    held = held.where("own >= 0 and best and n > 0").toArrow()
-    own, entropy, n = (held[c].to_numpy() for c in ("own", "entropy", "n"))
-    centre, reach = np.zeros(len(languages)), np.full(len(languages), np.inf)
-    for i in range(len(languages)):
-        if (mine := own == i).sum() >= 5:
+    held = held.where("own >= 0 and n > 0").toArrow()
+    model.centre, model.reach = limits(len(languages), *(held[c].to_numpy() for c in ("own", "entropy", "best", "n")))
+    return model
+
+
+def limits(languages: int, own: np.ndarray, entropy: np.ndarray, best: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and reach of each language from the rows that calibrate: language, cross-entropy under its model, whether that is the lowest, length."""
+    centre, reach = np.zeros(languages), np.full(languages, np.inf)
+    best = best.astype(bool)
+    for i in range(languages):
+        if (mine := (own == i) & best).sum() >= 5:
             long = mine & (n >= np.median(n[mine]))
             centre[i] = entropy[long].mean()
             reach[i] = max(0.05, float(((entropy[mine] - centre[i]) * _scale(n[mine])).max()))
-    model.centre, model.reach = centre, reach
-    return model
+    if not len(own):
+        return centre, reach
+    few = np.isinf(reach)
+    # the pooled rows: of languages with enough, or all there are; a language's own rows tell at least where its centre is
+    pool = best & ~few[own] if not few.all() else np.ones(len(own), bool)
+    for i in np.flatnonzero(few):
+        mine = own == i
+        centre[i] = entropy[mine].mean() if mine.any() else entropy[pool].mean()
+    if few.all():
+        pooled = max(0.05, float(((entropy - centre[own]) * _scale(n)).max()))
+    else:
+        pooled = float(reach[~few].max())
+    reach[few] = pooled
+    return centre, reach
 
 
 def _scale(n: np.ndarray) -> np.ndarray:
