@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import ALNUM_TABLE, free_name, table, written
+from trustlake.llm.shared import ALNUM_TABLE, free_name, sized_hint, table, written
 
 WINDOW = 10
 NEAR_TERMS = 5
@@ -272,9 +272,11 @@ def hits(directory: DataFrame, matches: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs in which no test window occurs. Rows that share an id go together; null ids stay unless hit, and go together."""
-    found = hits(*find(docs, benchmark, text_col, id_col)).where("n_hit > 0")
+    directory, matches = find(docs, benchmark, text_col, id_col)
+    hit = sized_hint(written(matches.where("kind = 'exact'").select("segment", "doc").distinct(), "decontamination-hit"))
     bad = free_name(docs, "bad_")
-    found = found.select(F.col("id").alias(bad)).distinct()
+    found = directory.join(hit, ["segment", "doc"], "left_semi").select(F.col("id").alias(bad)).distinct()
+    found = sized_hint(written(found, "decontamination-bad"))
     return docs.join(found, docs[id_col].cast("long").eqNullSafe(found[bad]), "left_anti")
 
 

@@ -54,6 +54,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A side of a join with at most this many rows of a few numbers is broadcast (some ten MB); a larger one is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def sized_hint(small: DataFrame) -> DataFrame:
+    """small (rows of a few numbers, cheap to count), marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

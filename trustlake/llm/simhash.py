@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import free_name, slices, table, written
+from trustlake.llm.shared import free_name, slices, sized_hint, table, written
 
 RADIUS = 2
 SHINGLE = 3
@@ -95,9 +95,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root is the component's least node.
 
     Alternating large-star and small-star steps; each halves long chains and is written to the shared
-    folder. A node's least neighbour is aggregated before the join, and a hot node is split by AQE."""
+    folder. A node's least neighbour is aggregated before the join, and a hot node is split by AQE. It ends when
+    a round leaves every edge as it was."""
     edges = written(edges.select("a", "b"), "cc-edges")
-    state = None
+    before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -108,42 +109,66 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.union(least.select("a", F.col("m").alias("b")))
         edges = written(small.where("a <> b").distinct(), "cc-small")
         now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == state:
+        # equal sums only hint at equal edges; both sides are distinct, so no edge that is new and equal numbers prove it
+        if before and now == before[1] and not edges.subtract(before[0]).limit(1).count():
             break
-        state = now
+        before = edges, now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
 
 
-def component_ids(marked: DataFrame, fp: str, id_col: str) -> DataFrame:
-    """(fp, component_id) for each distinct fingerprint of marked: the least id that links lead to."""
+def rooted(marked: DataFrame, fp: str, id_col: str) -> DataFrame:
+    """(fp, least_id, root) for each distinct fingerprint of marked, written: its least id and its component's least fingerprint."""
     nodes = written(marked.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("least_id")), "simhash-nodes")
     root = components(links(nodes.select("fp")))
     of = nodes.join(root, nodes.fp == root.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    of = written(of, "simhash-roots")
+    return written(of, "simhash-roots")
+
+
+def component_ids(marked: DataFrame, fp: str, id_col: str) -> DataFrame:
+    """(fp, component_id) for each distinct fingerprint of marked: the least id that links lead to."""
+    of = rooted(marked, fp, id_col)
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return of.join(least, "root").select("fp", "component_id")
 
 
+def _marked(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(id_col, fingerprint) of every row, written."""
+    return written(docs.select(F.col(id_col), fingerprint(F.col(text_col)).alias("fingerprint")), "simhash-docs")
+
+
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: its id, `fingerprint` (signed long) and `component_id`."""
-    marked = written(docs.select(F.col(id_col).alias(id_col), fingerprint(F.col(text_col)).alias("fingerprint")), "simhash-docs")
+    marked = _marked(docs, text_col, id_col)
     found = component_ids(marked, "fingerprint", id_col)
     return marked.join(found, marked.fingerprint == found.fp, "left").drop("fp")
 
 
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that remain: of each component one row, the first by id (repeated ids: one of them)."""
-    columns = docs.columns
-    fp, comp = free_name(docs, "fp_"), free_name(docs, "comp_")
-    small = classes(docs, text_col, id_col)
-    kept = small.groupBy(F.col("component_id").alias(comp)).agg(F.min(F.struct(F.col(id_col), "fingerprint")).alias("k"))
-    kept = kept.select(F.col("k")[id_col].alias("kept_id_"), F.col("k.fingerprint").alias(fp))
-    rows = docs.withColumn(fp, fingerprint(F.col(text_col)))
-    rows = rows.join(kept, (rows[id_col].eqNullSafe(kept["kept_id_"])) & (rows[fp] == kept[fp]), "left_semi")
-    order = Window.partitionBy(id_col, fp).orderBy(text_col)
-    turn = free_name(docs, "turn_")
-    return rows.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).select(*columns)
+    """The rows of docs that remain: of each component one row, the first by id, null ids last.
+
+    Which rows go is settled on ids and fingerprints alone, and texts are fingerprinted once. Rows whose id no other row
+    has are then told by it; of rows that share an id or have none, the kept fingerprint's least row is aggregated."""
+    marked = _marked(docs.select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")), "text_", "id_")
+    of = rooted(marked, "fingerprint", "id_")
+    first = of.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("none"), "least_id", "fp")).alias("k"))
+    first = first.select(F.col("k.least_id").alias("kept_id"), F.col("k.fp").alias("kept_fp"))
+    pairs = marked.groupBy("id_", "fingerprint").agg(F.count("*").alias("n"))
+    pairs = pairs.join(first, pairs.id_.eqNullSafe(first.kept_id) & (pairs.fingerprint == first.kept_fp), "left")
+    ids = pairs.groupBy("id_").agg(F.sum("n").alias("n"), F.max(F.col("kept_fp").isNotNull()).alias("kept"))
+    shared = (F.col("n") > 1) | F.col("id_").isNull()
+    aside = written(ids.where(shared | ~F.col("kept")).select("id_", shared.alias("shared")), "simhash-aside")
+    name = free_name(docs, "aside_")
+    out = docs.where(F.col(id_col).isNotNull()).join(sized_hint(aside.select(F.col("id_").alias(name))), F.col(id_col) == F.col(name), "left_anti")
+    again = aside.where("shared").select(F.col("id_").alias(name))
+    if not again.limit(1).count():
+        return out
+    row, fp = free_name(docs, "row_"), free_name(docs, "fp_")
+    rows = docs.join(sized_hint(again), docs[id_col].eqNullSafe(again[name]), "left_semi")
+    rows = rows.select(F.struct(*docs.columns).alias(row), F.col(id_col).alias(name), F.col(text_col).alias("text_"), fingerprint(F.col(text_col)).alias(fp))
+    rows = rows.join(first, rows[name].eqNullSafe(first.kept_id) & (rows[fp] == first.kept_fp), "left_semi")
+    rows = rows.groupBy(name, fp).agg(F.min_by(row, F.struct("text_")).alias(row))
+    return out.unionByName(rows.select(*[F.col(row)[c].alias(c) for c in docs.columns]))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
