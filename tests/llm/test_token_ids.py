@@ -31,6 +31,12 @@ def test_remembered_chunks_encode_as_the_whole_text(text):
     assert np.frombuffer(token_ids.encoder(path)(text), "<u4").tolist() == whole
 
 
+def test_a_tokenizer_that_keeps_spaces_gets_whole_texts(path):
+    other = path.replace("word_bpe_49k", "byte_bpe_50k")
+    text = "two  spaces, a\nline end and   Words "
+    assert np.frombuffer(token_ids.encoder(other)(text), "<u4").tolist() == _tokenizer(other).encode(text, add_special_tokens=False).ids
+
+
 _known = {}
 
 

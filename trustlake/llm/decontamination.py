@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import ALNUM_TABLE, free_name, sized_hint, table, written
+from trustlake.llm.shared import ALNUM_TABLE, free_name, released, sized_hint, table, written
 
 WINDOW = 10
 NEAR_TERMS = 5
@@ -108,9 +108,12 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str = "
                     key, ids, terms, lengths, total = key + 1, [], [], [], 0
         if ids:
             yield _arrow([_segment(key, ids, terms, lengths)])
+        released()
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return written(rows.mapInArrow(segments, SEGMENT), "decontamination-index")
+    index = written(rows.mapInArrow(segments, SEGMENT), "decontamination-index")
+    shared.destroy()
+    return index
 
 
 def term_counts(index: DataFrame) -> dict[int, int]:
@@ -222,6 +225,7 @@ def search(index: DataFrame, items: list[tuple[str, list[int]]], counts: dict[in
                         put(id_, "near", places, 1)
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=_MATCH_ARROW)
+        released()
 
     return index.select("segment", "starts", "terms", "counts", "positions").mapInArrow(matches, MATCH)
 
@@ -289,6 +293,8 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"),
+        F.sha2(F.array_join("near_items", ","), 256).alias("near_sha256"),
     )
 
 
@@ -302,8 +308,17 @@ widths AS (SELECT DISTINCT width FROM win),
 places AS (SELECT doc_id, width, s, array_to_string(w[s:s + width - 1], ' ') AS win FROM (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS s FROM d, widths WHERE len(w) >= width)),
 hit AS (SELECT doc_id, item, s, a.width FROM places a JOIN win USING (width, win)),
 n_hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + width)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id),
+posting AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM d),
+freq AS (SELECT t, count(*) AS n FROM posting GROUP BY t),
+term AS (SELECT item, w, t, min(o) AS o FROM (SELECT item, w, unnest(w) AS t, generate_subscripts(w, 1) AS o FROM n) GROUP BY item, w, t),
+rare AS (SELECT item, w, t, coalesce(freq.n, 0) AS n FROM term LEFT JOIN freq USING (t) QUALIFY row_number() OVER (PARTITION BY item, w ORDER BY coalesce(freq.n, 0), o) <= {NEAR_TERMS}),
+asked AS (SELECT item, w, count(*) AS k FROM rare GROUP BY item, w HAVING count(*) > 1 AND min(n) > 0),
+together AS (SELECT doc_id, item, k, count(DISTINCT t) OVER (PARTITION BY doc_id, item, w ORDER BY p RANGE BETWEEN {NEAR_SPAN - 1} PRECEDING AND CURRENT ROW) AS found
+  FROM posting JOIN rare USING (t) JOIN asked USING (item, w)),
+near AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS l FROM (SELECT DISTINCT doc_id, item FROM together WHERE found = k) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(items.l, '')) AS items_sha256, coalesce(n_hit.n, 0) > 0 AS contaminated
-FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id)
+  sha256(coalesce(items.l, '')) AS items_sha256, coalesce(n_hit.n, 0) > 0 AS contaminated,
+  CAST(coalesce(near.n, 0) AS BIGINT) AS n_near, sha256(coalesce(near.l, '')) AS near_sha256
+FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near USING (doc_id)
 """

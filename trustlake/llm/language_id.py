@@ -241,6 +241,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_c
 
     held = rows.where("calibrates").select("text", "label").mapInArrow(measured, "own int, entropy double, best boolean, n long")
     held = held.where("own >= 0 and n > 0").toArrow()
+    shared.destroy()
     model.centre, model.reach = limits(len(languages), *(held[c].to_numpy() for c in ("own", "entropy", "best", "n")))
     return model
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -102,3 +104,12 @@ def slices(values: pa.Array, rows: int = 512):
     """Pieces of an Arrow column or batch, so that only some rows at a time become Python objects."""
     for at in range(0, len(values), rows):
         yield values.slice(at, rows)
+
+
+def released() -> None:
+    """Give what a task has freed back to the system: its Python worker waits for the next task, beside others of the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

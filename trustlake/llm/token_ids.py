@@ -7,7 +7,7 @@ executor can write or read any block. A block holds some hundred thousand ids of
   begins with a new byte, and bits left over in its last one are 0;
 - `data`: the ids' low bytes, little-endian, 1 to 4 an id;
 - `doc_ids`, `doc_tokens`: the documents of the block and how many ids each has (a null id is kept);
-- `shard`, `block`: its place in the order.
+- `shard`, `block`: its place in the order; `start`: how many ids of the shard stand before it.
 
 What is coded is not the vocabulary's id but its frequency rank in the corpus (0: the most frequent; ties by
 id), so frequent ids take one byte. The table of ranks, one row per used id, is written beside the blocks.
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import partitions, range_bounds, range_numbers, shared_path, table, written
+from trustlake.llm.shared import partitions, range_bounds, range_numbers, released, shared_path, table, written
 
 BLOCK_TOKENS = 1 << 18
 END_ID = 1
@@ -88,7 +88,9 @@ class _Chunks(dict):
         self.model = self.tokenizer.model
         self.old: dict[str, bytes] = {}
         normalizer, splitter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer  # their own specifications, without the vocabulary's
-        self.plain = bool(normalizer and splitter) and b"Lowercase" in normalizer.__getstate__() and b"ByteLevel" in splitter.__getstate__()
+        rules = [normalizer.__getstate__(), splitter.__getstate__()] if normalizer and splitter else [b"", b""]
+        #: Whether spaces only part words: case is folded, and what stands between words is thrown away.
+        self.plain = b"Lowercase" in rules[0] and b"ByteLevel" in rules[1] and b'"behavior":"Removed","invert":true' in rules[1]
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= MEMORY:  # the chunks seen since the last time stay for one more round
@@ -118,18 +120,18 @@ class _Chunks(dict):
 
 @cache
 def encoder(path: str) -> Callable[[str | None], bytes]:
-    """text -> its ids as little-endian unsigned 32-bit integers; one for each tokenizer and worker process.
+    """text -> its ids as little-endian unsigned 32-bit integers; one for each tokenizer and task.
 
-    For a tokenizer that splits at the space before it looks words up, the ids of a text are those of its stretches
-    between spaces, one after another; these repeat, so each worker remembers them. A text that has a special token's
-    marks is encoded as a whole."""
+    For a tokenizer that throws spaces away before it looks words up, the ids of a text are those of its stretches
+    between spaces, one after another; these repeat, so a task remembers them. A text that has a special token's
+    marks, and every text of another kind of tokenizer, is encoded as a whole."""
     chunks = _Chunks(path)
     marks = [t.content for t in chunks.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
-        if any(m in text for m in marks):
+        if not chunks.plain or any(m in text for m in marks):
             return chunks._whole(text)
         return b"".join(map(chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
@@ -146,7 +148,9 @@ def tokenize(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: st
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([encode(t) + end for t in some.column(1).to_pylist()], pa.binary())], ["id", "ids"])
-        pa.default_memory_pool().release_unused()  # a worker waits for its next task without what this one held
+        del encode
+        encoder.cache_clear()
+        released()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return written(rows.mapInArrow(encoded, "id long, ids binary"), "token-rows")
@@ -189,30 +193,35 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, text_col: str =
             yield pa.RecordBatch.from_arrays([range_numbers(batch.column(0), bounds), batch.column(0), counts, *coded_], ["range", "id", "n", "control", "data"])
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block, docs, total = TaskContext.get().partitionId(), 0, [], 0
+        shard, block, start, docs, total = TaskContext.get().partitionId(), 0, 0, [], 0
         for batch in batches:
-            for doc in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                docs.append(doc)
-                total += doc[1]
-                if total >= BLOCK_TOKENS:
-                    yield _block(shard, block, docs)
-                    block, docs, total = block + 1, [], 0
+            for at in range(0, batch.num_rows, 512):
+                for doc in zip(*(batch.column(i).slice(at, 512).to_pylist() for i in range(4)), strict=True):
+                    docs.append(doc)
+                    total += doc[1]
+                    if total >= BLOCK_TOKENS:
+                        yield _block(shard, block, start, docs)
+                        block, start, docs, total = block + 1, start + total, [], 0
         if docs:
-            yield _block(shard, block, docs)
+            yield _block(shard, block, start, docs)
 
     ordered = rows.mapInArrow(coded, "range int, id long, n long, control binary, data binary")
     ordered = ordered.repartitionById(partitions(spark), F.col("range")).drop("range")
     ordered = ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "data", "control")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    shared.destroy()
 
 
-BLOCKS = "shard int, block int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, control binary, data binary"
+BLOCKS = "shard int, block int, start long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, control binary, data binary"
 
 
-def _block(shard: int, block: int, docs: list[tuple]) -> pa.RecordBatch:
+def _block(shard: int, block: int, start: int, docs: list[tuple]) -> pa.RecordBatch:
     ids, counts, control, data = zip(*docs, strict=True)
-    kinds = [("shard", pa.int32()), ("block", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())]
-    values = (shard, block, sum(counts), list(ids), list(counts), b"".join(control), b"".join(data))
+    kinds = [
+        ("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+        ("doc_tokens", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary()),
+    ]
+    values = (shard, block, start, sum(counts), list(ids), list(counts), b"".join(control), b"".join(data))
     return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, (_, kind) in zip(values, kinds, strict=True)], [n for n, _ in kinds])
 
 
@@ -221,13 +230,10 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     by_rank = np.array([r.token for r in spark.read.schema("rank int, token long").parquet(f"{path}/ranks").orderBy("rank").collect()], "<u4")
     shared = spark.sparkContext.broadcast(by_rank)
     stored = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    # places: sums inside each shard, and over the shards, of which there are as many as partitions
-    inside = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # where each shard begins: as many rows as the file has shards, which are its writer's partitions and not its documents
     shards = stored.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     shards = shards.select("shard", F.coalesce(before, F.lit(0)).alias("shard_start"))
-    places = stored.select("shard", "block", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside")).join(F.broadcast(shards), "shard")
-    places = places.select("shard", "block", (F.col("inside") + F.col("shard_start")).alias("start"))
 
     def documents(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,10 +242,14 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(row["doc_tokens"])
                 texts = [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 n = len(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(ends - row["doc_tokens"]), pa.array(row["doc_tokens"], pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "shard", "block", "offset", "n_tokens", "ids"])
-
-    rows = stored.mapInArrow(documents, "doc_id long, shard int, block int, offset long, n_tokens long, ids binary")
-    return rows.join(F.broadcast(places), ["shard", "block"]).select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids")
+                columns = {
+                    "doc_id": pa.array(row["doc_ids"], pa.int64()), "shard": pa.array([row["shard"]] * n, pa.int32()), "start": pa.array(row["start"] + ends - row["doc_tokens"], pa.int64()),
+                    "n_tokens": pa.array(row["doc_tokens"], pa.int64()), "ids": pa.array(texts, pa.binary()),
+                }
+                yield pa.RecordBatch.from_pydict(columns)
+
+    rows = stored.mapInArrow(documents, "doc_id long, shard int, start long, n_tokens long, ids binary")
+    return rows.join(F.broadcast(shards), "shard").select("doc_id", (F.col("start") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
 
 
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
