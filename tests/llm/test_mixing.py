@@ -55,6 +55,15 @@ def test_sources_come_near_their_targets(spark, corpus):
     assert {r.id_: r.placed for r in again} == {r.id_: r.placed for r in rows}
 
 
+def test_large_last_blocks_are_cut_and_fitted_as_near(spark, corpus, monkeypatch):
+    monkeypatch.setattr(mixing, "FIT_ROWS", 6)
+    monkeypatch.setattr(mixing, "CUT", 4)
+    meta = corpus.select(*mixing.sized(corpus, "text", "source", "doc_id"))
+    rows = mixing.placements(meta).groupBy("source_", "target").agg(F.sum(F.col("size_") * F.size("placed")).alias("taken"), F.max(F.size("placed")).alias("most")).collect()
+    for r in rows:
+        assert abs(r.taken - r.target) <= max(20, 0.02 * r.target) and r.most <= 3, r
+
+
 def test_one_large_document_among_small_ones(spark):
     rows = [(i, "w " * n, "en", "a") for i, n in enumerate([1, 1, 2, 3, 500, 90, 3, 40, 7, 7])] + [(100 + i, "w " * 50, "en", "b") for i in range(20)]
     meta = docs(spark, rows).transform(lambda d: d.select(*mixing.sized(d, "text", "source", "doc_id")))

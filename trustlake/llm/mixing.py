@@ -6,7 +6,8 @@
 2. Targets: sources in code point order (null last) weigh 5, 2, 1 in turn and share the total size; a
    target stops at CAP times its source's size and the excess goes to the others by weight.
 3. A source gives floor(target / size) whole passes and then whole blocks in permuted order while they
-   fit. In the one block that does not fit, documents are taken in permuted order, each if it still fits,
+   fit. The one block that does not fit is cut into CUT smaller ones, of which again those are taken that fit, until
+   the one left has at most FIT_ROWS documents; there they are taken in permuted order, each if it still fits,
    and exchanged one at a time while that brings the source nearer to its target.
 4. The block draws of all sources are split over the output shards: at each node of a binary tree
    the left half's share is one multivariate-hypergeometric draw from the node's block quotas. Leaves
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import SPACE_WORD, free_name, table, written
+from trustlake.llm.shared import SPACE_WORD, free_name, sized_hint, table, written
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -38,8 +39,9 @@ BLOCK_DOCS = 512
 SEED = 20240229
 #: The source table is held on the driver; more sources than this raise an error.
 MAX_SOURCES = 100_000
-#: Plan rows up to this number are broadcast (some 100 bytes each); above it the planner joins them.
-BROADCAST_ROWS = 200_000
+#: Rows of one block whose documents are fitted singly, in one task a source; a larger block is cut into CUT first.
+FIT_ROWS = 20_000
+CUT = 1024
 
 
 def word_count(text: Column) -> Column:
@@ -84,34 +86,56 @@ def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray
 
 
 def _fits(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows (place, size, n, room) of one block: those that are taken.
+    """Rows (s, place, size, n, room) of one source's last block: those that are taken.
 
     In permuted order each unit is taken if it still fits; then the add, drop or swap that comes nearest to
     the room is made as long as one comes nearer."""
     pdf = pdf.sort_values(["place", "size"], kind="stable")
     words = pdf["size"].to_numpy(np.int64) * pdf["n"].to_numpy(np.int64)
     room, taken = int(pdf["room"].iloc[0]), np.zeros(len(pdf), bool)
-    for i, n in enumerate(words):
+    for i, n in enumerate(words.tolist()):
         if n <= room:
-            taken[i], room = True, room - int(n)
+            taken[i], room = True, room - n
     while room:
         inside, outside = np.flatnonzero(taken), np.flatnonzero(~taken)
         outside = outside[np.argsort(words[outside], kind="stable")]
-        gains, moves = [words[outside], -words[inside]], [(None, j) for j in outside] + [(i, None) for i in inside]
+        none = np.full(max(len(inside), len(outside)), -1)
+        drops, adds = [none[: len(outside)], inside], [outside, none[: len(inside)]]
         if len(inside) and len(outside):
             at = np.searchsorted(words[outside], words[inside] + room)
-            for near in (np.minimum(at, len(outside) - 1), np.maximum(at - 1, 0)):
-                gains.append(words[outside[near]] - words[inside])
-                moves += list(zip(inside, outside[near], strict=True))
-        left = np.abs(room - np.concatenate(gains))
-        best = int(left.argmin())
-        if left[best] >= abs(room):
+            drops += [inside, inside]
+            adds += [outside[np.minimum(at, len(outside) - 1)], outside[np.maximum(at - 1, 0)]]
+        drop, add = np.concatenate(drops), np.concatenate(adds)
+        gain = np.where(add < 0, 0, words[add]) - np.where(drop < 0, 0, words[drop])
+        best = int(np.abs(room - gain).argmin())
+        if abs(room - int(gain[best])) >= abs(room):
             break
-        room -= int(np.concatenate(gains)[best])
-        for i, state in zip(moves[best], (False, True), strict=True):
-            if i is not None:
-                taken[i] = state
-    return pdf.loc[taken, ["s", "block", "place", "size"]]
+        room -= int(gain[best])
+        if drop[best] >= 0:
+            taken[drop[best]] = False
+        if add[best] >= 0:
+            taken[add[best]] = True
+    return pdf.loc[taken, ["s", "place", "size"]]
+
+
+def _edge_units(units: DataFrame, seed: int) -> DataFrame:
+    """(s, place, size) of the units that are taken of each source's block that does not fit whole.
+
+    units: (s, place, size, n, room) of those blocks. As long as one has over FIT_ROWS units, all are cut by further hashes: pieces that fit are taken in order, and the first that does not is looked at next, with the room that is left."""
+    kept, level = None, 0
+    while (units.groupBy("s").count().agg(F.max("count")).first()[0] or 0) > FIT_ROWS:
+        level += 1
+        units = units.withColumn("piece", F.pmod(F.xxhash64("place", "size", F.lit(seed + level)), F.lit(CUT)).cast("int"))
+        order = Window.partitionBy("s").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)  # at most CUT rows a source
+        pieces = units.groupBy("s", "room", "piece").agg(F.sum(F.col("size") * F.col("n")).alias("words")).withColumn("upto", F.sum("words").over(order))
+        left = F.col("room") - F.col("upto") + F.col("words")
+        pieces = written(pieces.where(left > 0).select("s", "piece", left.alias("left"), (F.col("upto") <= F.col("room")).alias("fits")), "mix-pieces")
+        cut = written(units.drop("room").join(sized_hint(pieces), ["s", "piece"]), "mix-cut")
+        whole = cut.where("fits").select("s", "place", "size")
+        kept = whole if kept is None else kept.union(whole)
+        units = cut.where("not fits").select("s", "place", "size", "n", F.col("left").alias("room"))
+    fitted = units.groupBy("s").applyInPandas(_fits, "s int, place long, size long")
+    return fitted if kept is None else kept.union(fitted)
 
 
 def placements(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, meta: DataFrame | None = None) -> DataFrame:
@@ -146,8 +170,8 @@ def placements(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights:
     part = (F.col("upto") > F.col("room")) & (F.col("upto") - F.col("words") < F.col("room"))
     blocks = blocks.select("s", "block", "whole", F.when(part, F.col("room") - F.col("upto") + F.col("words")).alias("room"), (whole + part.cast("int")).alias("passes"))
     edge = blocks.where("room is not null").select("s", "block", "room")
-    fitted = units.drop("room").join(F.broadcast(edge), ["s", "block"]).select("s", "block", "place", "size", "n", "room")
-    fitted = fitted.groupBy("s", "block").applyInPandas(_fits, "s int, block int, place long, size long")
+    fitted = written(units.drop("room").join(F.broadcast(edge), ["s", "block"]).select("s", "place", "size", "n", "room"), "mix-edge")  # edge: a row a source
+    fitted = _edge_units(fitted, seed)
 
     quota = {r.s: r.n for r in blocks.groupBy("s").agg(F.sum("passes").alias("n")).collect()}
     ends = np.cumsum(split_quotas([quota.get(i, 0) for i in range(len(plan))], shards, seed), axis=0).T if plan else []
@@ -159,11 +183,9 @@ def placements(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights:
     draws = draws.withColumn("draw", F.struct(F.col("pass").cast("int").alias("pass"), shard.cast("int").alias("shard"), (F.col("room").isNotNull() & (F.col("pass") == F.col("whole"))).alias("part")))
     draws = written(draws.groupBy("s", "block").agg(F.sort_array(F.collect_list("draw")).alias("draws")), "mix-draws")
     fitted = written(fitted.withColumn("fits", F.lit(True)), "mix-fitted")
-    draws = F.broadcast(draws) if draws.count() <= BROADCAST_ROWS else draws
-    fitted = F.broadcast(fitted) if fitted.count() <= BROADCAST_ROWS else fitted
-    out = dealt(rows).join(draws, ["s", "block"], "left")
-    fitted = fitted.withColumnRenamed("size", "size_")
-    out = out.join(fitted, ["s", "block", "place", "size_"], "left")
+    out = dealt(rows).join(sized_hint(draws), ["s", "block"], "left")
+    fitted = sized_hint(fitted.withColumnRenamed("size", "size_"))
+    out = out.join(fitted, ["s", "place", "size_"], "left")
     taken = F.filter(F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int,part:boolean>>")), lambda d: ~d["part"] | F.coalesce(F.col("fits"), F.lit(False)))
     out = out.withColumn("placed", F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"))))
     return out.drop("s", "block", "draws", "fits", "whole", "room", "blocks")
