@@ -1,28 +1,30 @@
 """License scans: an exact containment join of license templates with text blocks, with DataFrame functions only.
 
-A block is a line, or of a line over BLOCK_WORDS words each stretch of BLOCK_WORDS words that starts at a multiple of
-half that. A template is found in a block that has at least THRESHOLD of the template's distinct words.
+A block is each stretch of BLOCK_WORDS words of the text that starts at a multiple of half that, whatever lines the words
+stand on: notices in files are wrapped. A template is found in a block that has at least THRESHOLD of its distinct words.
 
 Template words are put in one order, the corpus' rarest first, by their counts over all documents. A template
-of n words that needs m of them can only be in blocks that have one of its n - m + 1 rarest: its prefix. Blocks
-are joined with templates on prefix words; a pair is dropped if the block has fewer than m words (length) or if
-what follows the word in the template's and the block's order cannot make up m (position; it is tested at the first
-word that both have). The rest are counted exactly. The template side is the constant list below, so
-its tables are small whatever the corpus is.
+of n words that needs m of them can only be in blocks that have one of its n - m + 1 rarest: its prefix. Prefix words
+are an index of the templates; each row looks its blocks' words up in it. A pair is dropped if the block has fewer than m
+known words (length) or if what follows the word in the template's and the block's order cannot make up m (position; it is
+tested at the first word that both have). The rest are counted exactly. The templates are the constant list below, so
+the index is a constant of the plan whatever the corpus is: no row is shuffled, and rows that share an id stay apart.
 
 Defined results: null and empty texts have no words, places or labels; repeated rows and equal blocks are each
-scanned; very long lines are cut into overlapping blocks and nothing is left out; an empty table gives no rows;
+scanned; very long texts are cut into overlapping blocks and nothing is left out; an empty table gives no rows;
 other columns pass through.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import free_name, lower_ascii, table, written
+from trustlake.llm.shared import free_name, lower_ascii, table
 
 THRESHOLD = 0.9
 BLOCK_WORDS = 64
@@ -85,66 +87,98 @@ def base_places(words: Column) -> dict[str, Column]:
     }
 
 
-def blocks(words_of_line: Column) -> Column:
-    """The blocks of a line's words: arrays of at most BLOCK_WORDS words."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def word_ranks(docs: DataFrame, text_col: str) -> dict[str, int]:
+    """Template words by their place in the order: the fewer occurrences in docs, the lower."""
+    vocabulary = sorted({w for ws in _template_words().values() for w in ws})
+    words = docs.select(F.explode(F.split(plain_words(F.col(text_col).cast("string")), " ")).alias("w"))
+    counts = {r.w: r["count"] for r in words.where(F.col("w").isin(vocabulary)).groupBy("w").count().collect()}  # a row a template word
+    return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
+
+
+def found_templates(words: Column, rank: dict[str, int]) -> Column:
+    """array of (start, label, score) of the blocks of plain words that meet the threshold; start: the block's first word."""
+    index: dict[int, list[Column]] = {}
+    for label, ws in _template_words().items():
+        ranks, need = sorted(map(rank.get, ws)), math.ceil(THRESHOLD * len(ws))
+        for i, r in enumerate(ranks[: len(ws) - need + 1]):
+            values = {"label": label, "i": i, "n": len(ws), "need": need, "ranks": ranks}
+            index.setdefault(r, []).append(F.struct(*[F.lit(v).alias(k) for k, v in values.items()]))
+    templates = F.create_map(*[x for r, ts in index.items() for x in (F.lit(r), F.array(*ts))])
+    order = F.create_map(*[F.lit(x) for wr in rank.items() for x in wr])
     half = BLOCK_WORDS // 2
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words_of_line) - half - 1), F.lit(half))
-    return F.transform(starts, lambda s: F.slice(words_of_line, s + 1, BLOCK_WORDS))
+    hint = reduce(lambda a, b: a | b, (F.contains(words, F.lit(w)) for w, r in rank.items() if r in index))
+
+    def known(ws: Column) -> Column:
+        """(p, r): places and ranks of the template words."""
+        placed = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda x: x["w"].isin(list(rank)))
+        return F.transform(placed, lambda x: F.struct(x["p"].alias("p"), F.element_at(order, x["w"]).alias("r")))
+
+    def starts(places: Column, n_words: Column) -> Column:
+        """Where the blocks that hold a prefix word begin."""
+        at = F.transform(F.filter(places, lambda x: x["r"].isin(list(index))), lambda x: (x["p"] - x["p"] % half).cast("int"))
+        both = F.array_distinct(F.concat(at, F.transform(at, lambda s: s - half)))
+        return F.filter(both, lambda s: (s >= 0) & ((s == 0) | (s < n_words - half)))
+
+    def pairs(block: Column, start: Column) -> Column:
+        """The block's ranks, rarest first, looked up in the index."""
+
+        def tried(r: Column, j: Column) -> Column:
+            def one(t: Column) -> Column:
+                first = F.array_position(F.transform(block, lambda x: F.array_contains(t["ranks"], x)), F.lit(True)) - 1
+                length = F.size(block) >= t["need"]
+                position = 1 + F.least(t["n"] - t["i"] - 1, F.size(block) - j - 1) >= t["need"]
+                shared = F.size(F.array_intersect(block, t["ranks"]))
+                found = F.struct(start.alias("start"), t["label"].alias("label"), (shared / t["n"]).alias("score"))
+                return F.when(length & position & (first == j) & (shared >= t["need"]), found)
+
+            return F.transform(F.coalesce(F.element_at(templates, r), F.array().cast(_TEMPLATES)), one)
+
+        return F.array_compact(F.flatten(F.transform(block, tried)))
+
+    def scanned(ws: Column) -> Column:
+        def in_block(places: Column, s: Column) -> Column:
+            mine = F.filter(places, lambda x: (x["p"] >= s) & (x["p"] < s + BLOCK_WORDS))
+            return F.array_sort(F.array_distinct(F.transform(mine, lambda x: x["r"])))
+
+        return _let(known(ws), lambda ps: F.flatten(F.transform(starts(ps, F.size(ws)), lambda s: _let(in_block(ps, s), lambda b: pairs(b, s)))))
+
+    return F.when(hint, _let(F.split(words, " "), scanned)).otherwise(F.array().cast("array<struct<start:int,label:string,score:double>>"))
+
+
+_TEMPLATES = "array<struct<label:string,i:int,n:int,need:int,ranks:array<int>>>"
 
 
 def matches(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id_col, block, label, score) of every block that meets the threshold; block: its words, score: its containment."""
-    spark = docs.sparkSession
-    templates = _template_words()
-    vocabulary = sorted({w for ws in templates.values() for w in ws})
-    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"))
-    seen = rows.select(F.explode(F.split(plain_words(F.col("text_")), " ")).alias("w")).where(F.col("w").isin(vocabulary))
-    counts = {r.w: r["count"] for r in seen.groupBy("w").count().collect()}  # as many rows as template words
-    rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    prefixes = []
-    for label, ws in templates.items():
-        ordered, need = sorted(ws, key=rank.get), math.ceil(THRESHOLD * len(ws))
-        prefixes += [(w, label, i, len(ws), need, ordered) for i, w in enumerate(ordered[: len(ws) - need + 1])]
-    index = F.broadcast(spark.createDataFrame(prefixes, "w string, label string, i int, n int, need int, template array<string>"))
-    first_words = sorted({w for w, *_ in prefixes})
-
-    hinted = rows.where(F.lower("text_").rlike("|".join(first_words)))
-    lines = hinted.select("id_", F.explode(F.split("text_", "\n")).alias("line")).where(F.lower("line").rlike("|".join(first_words)))
-    words = lines.select("id_", F.split(plain_words(F.col("line")), " ").alias("ws"))
-    cut = words.select("id_", F.explode(blocks(F.col("ws"))).alias("block"))
-    known = F.filter(F.array_distinct("block"), lambda w: w.isin(vocabulary))
-    order = F.create_map(*[x for w, i in rank.items() for x in (F.lit(w), F.lit(i))])
-    known = F.transform(F.array_sort(F.transform(known, lambda w: F.struct(F.element_at(order, w).alias("r"), w.alias("w")))), lambda s: s["w"])
-    cut = cut.select("id_", F.array_join("block", " ").alias("block"), known.alias("known"))
-    pairs = cut.select("id_", "block", "known", F.posexplode("known").alias("j", "w")).join(index, "w")
-    first = F.array_position(F.transform("known", lambda w: F.array_contains("template", w)), F.lit(True)) - 1
-    length = F.size("known") >= F.col("need")
-    position = 1 + F.least(F.col("n") - F.col("i") - 1, F.size("known") - F.col("j") - 1) >= F.col("need")
-    shared = F.size(F.array_intersect("known", "template"))
-    found = pairs.where(length & (F.col("j") == first) & position).withColumn("score", shared / F.col("n")).where(shared >= F.col("need"))
-    return found.select(F.col("id_").alias(id_col), "block", "label", "score")
+    """(id_col, start, block, label, score) of every block that meets the threshold; block: its words, score: its containment."""
+    words = plain_words(F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).alias("id_"), words.alias("words_"))
+    rows = rows.select("id_", "words_", F.explode(found_templates(F.col("words_"), word_ranks(docs, text_col))).alias("m"))
+    block = F.array_join(F.slice(F.split("words_", " "), F.col("m.start") + 1, BLOCK_WORDS), " ")
+    return rows.select(F.col("id_").alias(id_col), "m.start", block.alias("block"), "m.label", "m.score")
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs with a struct column license_scan: n_words, n_base, first_word, last_word, base_labels, labels (arrays), score."""
-    name, key = free_name(docs, "license_scan"), free_name(docs, "license_key")
-    found = matches(docs, text_col, id_col).groupBy(F.col(id_col).alias(key)).agg(F.collect_set("label").alias("l_"), F.max("score").alias("s_"))
-    found = written(found, "license-found")
-    words, got = free_name(docs, "plain_words"), free_name(docs, "found_")
-    found = found.select(key, F.struct("l_", "s_").alias(got))
+    name, words, found = (free_name(docs, c) for c in ("license_scan", "plain_words", "found_"))
+    rows = docs.withColumn(words, plain_words(F.col(text_col).cast("string")))
     base = base_places(F.col(words))
-    rows = docs.withColumn(words, plain_words(F.col(text_col).cast("string"))).withColumn(name, F.struct(*[c.alias(n) for n, c in base.items()])).drop(words)
-    rows = rows.join(found, rows[id_col].eqNullSafe(found[key]), "left").drop(key)
-    empty = F.array().cast("array<string>")
-    labels = F.array_sort(F.array_union(F.col(f"{name}.base_labels"), F.coalesce(F.col(f"{got}.l_"), empty)))
-    score = F.when(F.col(f"{name}.n_base") > 0, 1.0).otherwise(F.coalesce(F.col(f"{got}.s_"), F.lit(0.0)))
-    whole = F.struct(*[F.col(f"{name}.{n}").alias(n) for n in base if n != "base_labels"], F.array_sort(F.col(f"{name}.base_labels")).alias("base_labels"), labels.alias("labels"), score.alias("score"))
-    return rows.withColumn(name, whole).drop(got)
+    rows = rows.withColumns({name: F.struct(*[c.alias(n) for n, c in base.items()]), found: found_templates(F.col(words), word_ranks(docs, text_col))}).drop(words)
+    labels = F.array_sort(F.array_union(F.col(f"{name}.base_labels"), F.array_distinct(F.col(found)["label"])))
+    score = F.when(F.col(f"{name}.n_base") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.col(found)["score"]), F.lit(0.0)))
+    whole = [F.col(f"{name}.{n}").alias(n) for n in base if n != "base_labels"]
+    whole += [F.array_sort(F.col(f"{name}.base_labels")).alias("base_labels"), labels.alias("labels"), score.alias("score")]
+    return rows.withColumn(name, F.struct(*whole)).drop(found)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license_scan.*")
-    return got.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+    lists = [F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")]
+    return got.select("doc_id", "n_words", "n_base", "first_word", "last_word", *lists, "score")
 
 
 def _oracle() -> str:
@@ -158,8 +192,7 @@ p(ph, label) AS (VALUES {phrases}),
 base AS (SELECT doc_id, label, s FROM (SELECT doc_id, w, ph, label, unnest(range(0, len(w) - len(ph) + 1)) AS s FROM d, p WHERE len(w) >= len(ph) AND list_contains(w, ph[1])) WHERE w[s + 1:s + len(ph)] = ph),
 b AS (SELECT doc_id, count(*) AS n, min(s) AS f, max(s) AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY doc_id),
 t(label, tw) AS (VALUES {lists}),
-line AS (SELECT doc_id, {words % "unnest(string_split(text, chr(10)))"} AS w FROM d),
-block AS (SELECT doc_id, w[s + 1:s + {BLOCK_WORDS}] AS w FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - {half + 1}) + 1, {half})) AS s FROM line)),
+block AS (SELECT doc_id, w[s + 1:s + {BLOCK_WORDS}] AS w FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - {half + 1}) + 1, {half})) AS s FROM d)),
 hit AS (SELECT doc_id, label, len(list_intersect(list_distinct(w), tw)) / len(tw) AS score FROM block, t WHERE len(list_intersect(list_distinct(w), tw)) >= ceil({THRESHOLD} * len(tw))),
 a AS (SELECT doc_id, label, score FROM hit UNION ALL SELECT doc_id, label, 1.0 FROM base),
 m AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM a GROUP BY doc_id)
