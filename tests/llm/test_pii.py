@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from edges import docs, none
@@ -43,6 +44,41 @@ def test_equal_values_stay_linked_and_forms_hold():
     assert pii.pseudonymize(text, b"j" * 32)[0] != new
 
 
+def test_one_value_in_several_forms_is_linked():
+    one = lambda t: pii.pseudonymize(t, KEY)[0]
+    for day in ("2001-02-03", "1999-12-31", "2050-06-13"):
+        y, m, d = map(int, day.split("-"))
+        forms = [day, f"{y}-{m}-{d}", f"{m:02d}/{d:02d}/{y}", f"{pii._MONTHS[m - 1]} {d}, {y}", f"{d} {pii._MONTHS[m - 1]} {y}"] + ([f"{d}/{m}/{y}", f"{d:02d}.{m:02d}.{y}"] if d > 12 else [])
+        assert len({pii._read_date(one(f))[1] for f in forms}) == 1 and one(day) != day, day
+    assert one("Jo@x.org").lower() == one("jo@x.org") != "jo@x.org"
+    phones = ["(555) 123-4567", "555-123-4567", "555.123.4567", "+1 555 123 4567"]
+    assert len({re.sub(r"\D", "", one(p))[-10:] for p in phones}) == 1
+
+
+def test_each_kind_maps_days_one_to_one():
+    days = [f"2001-{m:02d}-{d:02d}" for m in range(1, 13) for d in range(1, 29)]
+    assert len({pii._date(KEY, d) for d in days}) == len(days)
+
+
+def test_prose_is_left_alone_and_code_is_not():
+    for text in ("see 1.2.3.4 and token: information", "Password: required", "the secret: everything", "a@ b @c x@y"):
+        assert pii.pseudonymize(text, KEY) == (text, {})
+    for text in ('token: "information"', "password=letmein", "api_key: Ab3dE6", "ip 10.2.3.4", "..jo@x.org!"):
+        assert pii.pseudonymize(text, KEY)[0] != text, text
+
+
+def test_long_runs_are_read_in_step_with_their_length():
+    began = time.time()
+    for text in ("a" * 1_000_000 + "@", "a.b@" * 250_000, "a@" + "b." * 400_000, "token " * 150_000, "1 " * 300_000, "12-" * 200_000):
+        pii.pseudonymize(text, KEY)
+    assert time.time() - began < 60
+
+
+def test_a_key_is_demanded(spark):
+    with pytest.raises(ValueError):
+        pii.pseudonyms(docs(spark), "")
+
+
 ALONE = {"ssn": "123-45-6789", "date": "2024-01-05", "phone": "555-123-4567", "card": "4111 1111 1111 1111"}
 
 

@@ -5,7 +5,10 @@ are found by their form and validated; e-mail addresses, access keys and passwor
 value is read as a number over its variable characters and put through a keyed Feistel network
 whose halves are added to, modulo their ranges, so the result is a permutation of the values of that form.
 Check digits are computed anew; where a form has a rule (a valid month, no 000 area) the network is walked until the
-result obeys it. Equal values of a kind have equal pseudonyms in all documents; other text stays.
+result obeys it. The value is permuted and then written in the form that it had: separators, the case of letters and the
+order of a date are no part of it, so one value has one pseudonym in all documents however it is written. Other text stays.
+An address of single digits (1.2.3.4) is read as the number of a section or version, and a word behind `token:` as prose
+unless it has a digit or capitals inside, is quoted, or stands behind `=`.
 
 Defined results: a null text stays null; empty texts and texts without such data are unchanged; numbers that fail their
 check are left alone unless they are valid as another kind, and what they hold is tried from each group of digits on; of
@@ -28,8 +31,9 @@ from trustlake.llm.shared import free_name, slices, table
 
 ROUNDS = 8
 KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "ip", "date")
-#: Used where the session names no key in trustlake.pii.key; pseudonyms are only as private as the key.
-DEFAULT_KEY = "set trustlake.pii.key"
+#: What the registered query uses where the session names no key in trustlake.pii.key. It is public, so it protects nothing: the
+#: operator itself has no default.
+TEST_KEY = "public key of the test tables"
 
 _MONTHS = "January February March April May June July August September October November December".split()
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -58,6 +62,8 @@ def permuted(key: bytes, tweak: str, text: str, ranges: dict[int, tuple[int, int
     choices; the network is walked until valid(result). (text itself is valid, so the walk ends.)"""
     at = [i for i, c in enumerate(text) if c.isascii() and c.isalnum()]
     low = {i: (ranges or {}).get(i, (0, _radix(text[i]))) for i in at}
+    # what a value is: its letters and digits, whatever stands between them and whatever the letters' case
+    kinds = "".join("9" if text[i].isdigit() else "a" for i in at) + f"|{[k for k, i in enumerate(at) if i in (ranges or {})]}"
     if not at:
         return text
     half = len(at) // 2
@@ -68,9 +74,8 @@ def permuted(key: bytes, tweak: str, text: str, ranges: dict[int, tuple[int, int
     for i in at:
         c = text[i]
         value = value * low[i][1] + (int(c) - low[i][0] if c.isdigit() else ord(c.lower()) - 97)
-    form = "".join("9" if c.isdigit() else "A" if c.isascii() and c.isupper() else "a" if c.isascii() and c.isalpha() else c for c in text)
     while True:
-        value = feistel(key, f"{tweak}|{form}|{sorted(ranges or ())}", value, left, right)
+        value = feistel(key, f"{tweak}|{kinds}", value, left, right)
         out, rest = list(text), value
         for i in reversed(at):
             rest, digit = divmod(rest, low[i][1])
@@ -128,7 +133,7 @@ def _phone(key: bytes, t: str) -> str | None:
 
 def _ip(key: bytes, t: str) -> str | None:
     parts = t.split(".")
-    if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
+    if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts) or all(len(p) == 1 for p in parts):
         return None
     value = feistel(key, "ip", sum(int(p) << 8 * (3 - i) for i, p in enumerate(parts)), 1 << 16, 1 << 16)
     return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
@@ -170,18 +175,19 @@ def _read_date(t: str) -> tuple[int, int, str] | None:
 
 
 def _date(key: bytes, t: str) -> str | None:
+    """Another date in the same form. Days up to 12 stay among themselves, as do later ones, so that the result is read as it is
+    meant: 25/03/2001 is read by its day, 03/04/2001 month first."""
     if (got := _read_date(t)) is None:
         return None
     form, day, mark = got
+    old = datetime.date.fromordinal(day + _FIRST_DAY)
     side = int(_DAYS**0.5) + 1
     while True:
-        day = feistel(key, f"date|{form}|{mark}", day, side, side)
-        if day >= _DAYS:
-            continue
-        d = datetime.date.fromordinal(day + _FIRST_DAY)
-        out = _DATES[form][1].format(y=d.year, m=d.month, d=d.day, n=_MONTHS[d.month - 1], s=mark)
-        if (back := _read_date(out)) and back[0] == form:
-            return out
+        day = feistel(key, "date", day, side, side)
+        if day < _DAYS:
+            d = datetime.date.fromordinal(day + _FIRST_DAY)
+            if (d.day > 12) == (old.day > 12):
+                return _DATES[form][1].format(y=d.year, m=d.month, d=d.day, n=_MONTHS[d.month - 1], s=mark)
 
 
 def _email(key: bytes, t: str) -> str | None:
@@ -199,8 +205,28 @@ def _secret(key: bytes, t: str) -> str | None:
     return f"{value:0{len(t)}x}" if t == t.lower() else f"{value:0{len(t)}X}"
 
 
-_EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 _SECRETS = re.compile(r"(?<![A-Za-z0-9])(AKIA)([0-9A-Z]{12,})(?![A-Za-z0-9])|(?i:(\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?))([A-Za-z0-9+/_-]{6,})")
+_CODED = re.compile(r"\d|[a-z][A-Z]|[A-Z]{2}.*[a-z]")
+
+
+def _emails(part: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the e-mail addresses: from each @ back over what may stand before it, and on over the domain."""
+    done, at = 0, part.find("@")
+    while at >= 0:
+        start = at
+        while start > done and part[start - 1] in _LOCAL:
+            start -= 1
+        while start < at and not part[start].isalnum():
+            start += 1
+        done = at + 1
+        if start < at and (domain := _DOMAIN.match(part, at + 1)):
+            done = domain.end()
+            yield start, done
+        at = part.find("@", done)
+
+
 _FORMS = {
     "iban": r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)",
@@ -264,6 +290,8 @@ def _values(key: bytes, part: str) -> Iterator[tuple[int, int, str, str]]:
         if got:
             yield m.start(), *got
             at = got[0]
+
+
 _KEYWORD = re.compile(r"AKIA|pass|pwd|secret|token|key", re.IGNORECASE)
 
 
@@ -280,9 +308,13 @@ def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, dict[str, in
     def places(part: str, pattern: re.Pattern, rule: Callable[[re.Match], str]) -> Iterator[tuple[int, int, str]]:
         if pattern is _NUMBERS:
             return ((start, end, put(kind, part[start:end], new)) for start, end, kind, new in _values(key, part))
+        if pattern is _DOMAIN:
+            return ((start, end, put("email", part[start:end], _email(key, part[start:end]))) for start, end in _emails(part))
         return ((m.start(), m.end(), rule(m)) for m in pattern.finditer(part))
 
     def secret(m: re.Match) -> str:
+        if m[4] and not ("=" in m[3] or m[3][-1] in "\"'" or _CODED.search(m[4])):
+            return m[0]
         return (m[1] or m[3]) + put("secret", m[2] or m[4], _secret(key, m[2] or m[4]))
 
     if text:
@@ -291,7 +323,7 @@ def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, dict[str, in
         if emails or keywords or _DIGIT.search(text):
             # found stretches are kept apart, so that no rule reads another's pseudonym
             parts = [text]
-            for rule, pattern in (((lambda m: put("email", m[0], _email(key, m[0]))), _EMAIL if emails else None), (secret, _SECRETS if keywords else None), (None, _NUMBERS)):
+            for rule, pattern in ((None, _DOMAIN if emails else None), (secret, _SECRETS if keywords else None), (None, _NUMBERS)):
                 if pattern is None:
                     continue
                 cut = []
@@ -311,7 +343,11 @@ def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, dict[str, in
 
 
 def pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """docs with text_col replaced and a column pii of counts by kind (map<string,int>, empty without values)."""
+    """docs with text_col replaced and a column pii of counts by kind (map<string,int>, empty without values).
+
+    Whoever knows the key can undo the pseudonyms; an empty key raises ValueError."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
 
     @F.arrow_udf("struct<text:string,found:map<string,int>>")
@@ -326,7 +362,7 @@ def pseudonyms(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
 
 
 def op9_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("trustlake.pii.key", DEFAULT_KEY)
+    key = spark.conf.get("trustlake.pii.key", TEST_KEY)
     found = pseudonyms(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
     counts = [F.coalesce(F.element_at("pii", k), F.lit(0)).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", "text", *counts)
