@@ -5,9 +5,10 @@ beginnings, how many of those stand within NEAR words of a second-person word, t
 of capitals, of exclamation and question marks, of other punctuation, of words written with digits or marks inside,
 of such words that spell a lexicon word, and the logarithm of the length.
 
-A sample of at most about TRAIN_ROWS labelled rows is split by a hash: one part gives the learned lexicons (words and
-beginnings that stand in far more of the toxic texts than of the others), one the trees (Spark ML), one the
-isotonic curve that turns the trees' margin into a probability.
+A sample of at most about TRAIN_ROWS labelled rows is learned by cross-fitting over FOLDS folds, so that each row serves every
+step: the features of a fold's rows come from the lexicons (words and beginnings that stand in far more of the toxic texts
+than of the others) of the other folds, and the margins that the isotonic curve turns into probabilities from trees (Spark ML) of
+the other folds. Scores use the lexicons and trees of all rows.
 
 Defined results: null and empty texts have zero features and get the score of such a text; null labels are not
 learned, and of repeated labels the highest holds; without labelled rows of both kinds every score is the share of
@@ -20,6 +21,7 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,10 @@ from trustlake.llm.shared import ALNUM_TABLE, free_name, slices, table, written
 TRAIN_ROWS = 20_000
 TREES = 20
 DEPTH = 4
+FOLDS = 3
 NEAR = 5
 BEGINNING = 4
-LEXICON_MIN_DOCS = 5
+LEXICON_MIN_DOCS = 4
 LEXICON_SIZE = 5_000
 THRESHOLD = 0.3
 SEED = 29
@@ -44,7 +47,7 @@ SEED = 29
 # Insults, and words of the second person in several languages.
 INSULTS = frozenset(
     "idiot idiots stupid moron morons loser losers pathetic worthless disgusting trash scum clown dumb jerk fool retard bastard bitch asshole shit fuck fucking crap freak pig vermin imbecile "
-    "dumm dummkopf trottel arschloch abschaum con connard salaud abruti imbécile idiota estúpido imbécil basura tonto".split()
+    "dumm dummkopf trottel arschloch abschaum connard salaud abruti imbécile idiota estúpido imbécil basura tonto".split()
 )
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer sie tu te toi ton ta tes vous votre vos tú usted ustedes ti tuyo vosotros".split())
 
@@ -124,30 +127,38 @@ def _with_features(docs: DataFrame, text_col: str, lexicon: Lexicon, name: str)
     return docs.withColumn(name, array_to_vector(featured(F.col(text_col).cast("string"))))
 
 
-def _learned_lexicon(rows: DataFrame) -> Lexicon:
-    """Words and beginnings of rows (text, toxic) whose share of toxic texts is far above that of all."""
-    totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    if not toxic or not clean:
-        return Lexicon()
+def _lexicons(rows: DataFrame) -> list[Lexicon]:
+    """Of rows (text, toxic, fold) the words and beginnings whose share of toxic texts is far above that of others: for each
+    fold those of the other folds' rows, and last those of all rows. Texts are read once."""
+    totals = {(r.fold, r.toxic): r["count"] for r in rows.groupBy("fold", "toxic").count().collect()}
 
     def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, marks = [], []
-            for raw, mark in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out, marks, folds = [], [], []
+            for raw, mark, fold in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 words = set((raw or b"").translate(ALNUM_TABLE).split())
                 got = {b"w" + w for w in words} | {b"b" + b for b in map(beginning, words) if b}
                 out += got
                 marks += [mark] * len(got)
-            yield pa.RecordBatch.from_pydict({"part": pa.array(out, pa.binary()), "toxic": pa.array(marks, pa.int32())})
-
-    counts = rows.select("text", F.col("toxic").cast("int")).mapInArrow(parts, "part binary, toxic int")
-    counts = counts.groupBy("part").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where(F.col("t") >= LEXICON_MIN_DOCS)
-    # log-odds less two standard errors
-    odds = F.log((F.col("t") + 0.5) / toxic) - F.log((F.col("c") + 0.5) / clean) - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = counts.withColumn("odds", odds).where("odds > 0.7").orderBy(F.desc("odds"), "part").limit(LEXICON_SIZE).collect()
-    found = [bytes(r.part) for r in best]
-    return Lexicon(frozenset(p[1:] for p in found if p[:1] == b"w"), frozenset(p[1:] for p in found if p[:1] == b"b"))
+                folds += [fold] * len(got)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(out, pa.binary()), "toxic": pa.array(marks, pa.int32()), "fold": pa.array(folds, pa.int32())})
+
+    counts = rows.select("text", F.col("toxic").cast("int"), F.col("fold").cast("int")).mapInArrow(parts, "part binary, toxic int, fold int")
+    each = [F.count_if((F.col("toxic") == t) & (F.col("fold") != k)).alias(f"n{t}_{k}") for k in range(FOLDS + 1) for t in (0, 1)]
+    counts = written(counts.groupBy("part").agg(*each).where(F.greatest(*[F.col(f"n1_{k}") for k in range(FOLDS + 1)]) >= LEXICON_MIN_DOCS), "toxicity-parts")
+    out = []
+    for k in range(FOLDS + 1):
+        clean, toxic = (sum(n for (fold, t), n in totals.items() if t == kind and fold != k) for kind in (0, 1))
+        if not toxic or not clean:
+            out.append(Lexicon())
+            continue
+        t, c = F.col(f"n1_{k}"), F.col(f"n0_{k}")
+        # log-odds less two standard errors
+        odds = F.log((t + 0.5) / toxic) - F.log((c + 0.5) / clean) - 2 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        best = counts.where(t >= LEXICON_MIN_DOCS).select("part", odds.alias("odds")).where("odds > 0.7").orderBy(F.desc("odds"), "part").limit(LEXICON_SIZE).collect()
+        found = [bytes(r.part) for r in best]
+        out.append(Lexicon(frozenset(p[1:] for p in found if p[:1] == b"w"), frozenset(p[1:] for p in found if p[:1] == b"b")))
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
@@ -155,20 +166,25 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     rows = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id_")).agg(F.max(label_col).cast("int").alias("toxic"))
     n = rows.count()
     chance = F.pmod(F.xxhash64(F.col("id_").cast("string"), F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.where(chance < min(1.0, train_rows / max(n, 1))).withColumn("part", F.pmod(F.xxhash64(F.col("id_").cast("string"), F.lit(SEED + 1)), F.lit(10)))
-    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text")).join(rows, "id_").select("text", "toxic", "part")
+    fold = F.pmod(F.xxhash64(F.col("id_").cast("string"), F.lit(SEED + 1)), F.lit(FOLDS)).cast("int")
+    rows = rows.where(chance < min(1.0, train_rows / max(n, 1))).withColumn("fold", fold)
+    rows = docs.select(F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text")).join(rows, "id_").select("text", "toxic", "fold")
     rows = written(rows, "toxicity-train")
     share = rows.agg(F.avg("toxic")).first()[0] or 0.0
-    kinds = {(r.p, r.toxic) for r in rows.groupBy(F.when(F.col("part") < 4, 0).when(F.col("part") < 8, 1).otherwise(2).alias("p"), "toxic").count().collect()}
-    if not {(1, 0), (1, 1), (2, 0), (2, 1)} <= kinds:
+    kinds = {(r.fold, r.toxic) for r in rows.select("fold", "toxic").distinct().collect()}
+    if not all(any(f != k and t == toxic for f, t in kinds) for k in range(FOLDS) for toxic in (0, 1)):
         return Model(None, None, None, float(share))
-    lexicon = _learned_lexicon(rows.where("part < 4"))
-    ready = _with_features(rows.where("part >= 4"), "text", lexicon, "features").select("features", F.col("toxic").cast("double").alias("label"), "part")
-    ready = written(ready.select(vector_to_array("features").alias("f"), "label", "part"), "toxicity-features").withColumn("features", array_to_vector("f"))
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=5, seed=SEED, maxMemoryInMB=64).fit(ready.where("part < 8").coalesce(4))
-    margins = trees.transform(ready.where("part >= 8")).select(vector_to_array("rawPrediction")[1].alias("margin"), "label")
-    curve = IsotonicRegression(featuresCol="margin").fit(margins)
-    return Model(lexicon, trees, curve, float(share))
+    lexicons = _lexicons(rows)
+    ready = [_with_features(rows.where(F.col("fold") == k), "text", lexicons[k], "features") for k in range(FOLDS)]
+    ready = [r.select(vector_to_array("features").alias("f"), F.col("toxic").cast("double").alias("label"), "fold") for r in ready]
+    ready = written(reduce(DataFrame.union, ready), "toxicity-features").withColumn("features", array_to_vector("f"))
+    learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=5, seed=SEED, maxMemoryInMB=64)
+    margins = []
+    for k in range(FOLDS):
+        trees = learner.fit(ready.where(F.col("fold") != k).coalesce(4))
+        margins.append(trees.transform(ready.where(F.col("fold") == k)).select(vector_to_array("rawPrediction")[1].alias("margin"), "label"))
+    curve = IsotonicRegression(featuresCol="margin").fit(written(reduce(DataFrame.union, margins), "toxicity-margins"))
+    return Model(lexicons[-1], learner.fit(ready.coalesce(4)), curve, float(share))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
