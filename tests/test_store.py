@@ -1,12 +1,14 @@
 """Scans into a store, the lease, landed sources, reports, the command line and continuous scans."""
 
 import json
+import os
 from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from trustlake import cli, config, reports
+from trustlake.operators import findings as W
 from trustlake.plans.audit import Settings
 from trustlake.sources import landed
 from trustlake.sources.demo import demo
@@ -51,6 +53,71 @@ def test_lease(spark, tmp_path):
     assert not store.scanning(later)
 
 
+def folders(store):
+    return {p.name.split("-")[0] + "-" for p in store.folder.iterdir() if p.is_dir()}, sum(p.is_dir() for p in store.folder.iterdir())
+
+
+def test_a_lock_of_a_dead_process_is_taken_over(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    lock = store.folder / "store.lock"
+    lock.touch()
+    with pytest.raises(FileExistsError), store._locked(wait=0.1):
+        pass
+    old = datetime.now().timestamp() - 60
+    os.utime(lock, (old, old))
+    assert store.try_start(datetime.now(UTC)) and not lock.exists()
+
+
+def test_triage_during_a_scan_is_kept(spark, tmp_path, monkeypatch):
+    store, docs = Store(spark, str(tmp_path / "s")), demo(spark, NOW)
+    store.run(docs, Settings(NOW, near_duplicates=False))
+    key = store.findings().where("workflow_state = 'open'").first().finding_key
+    whole, done = W.merge, []
+
+    def merge(findings, *args):
+        out = whole(findings, *args)
+        if not done:  # while the scan merges what it read, someone acknowledges a finding
+            done.append(store.update_finding(key, NOW, state="acknowledged"))
+        return out
+
+    monkeypatch.setattr("trustlake.store.W.merge", merge)
+    store.run(docs, Settings(NOW, near_duplicates=False))
+    found = {r.finding_key: r for r in store.findings().collect()}
+    assert done == [True] and found[key].workflow_state == "acknowledged" and {r.last_seen_scan_id for r in found.values()} <= {1, 2}
+
+
+def test_pruned_and_failed_scans_leave_no_data(spark, tmp_path):
+    store, docs = Store(spark, str(tmp_path / "s")), demo(spark, NOW)
+    for _ in range(2):
+        store.run(docs, Settings(NOW, near_duplicates=False))
+    assert store.sweep() == 0 and store.sweep(older=-1) == 1 and folders(store)[1] == 5  # two scans' results and what they looked at, and the findings
+    assert store.prune(keep=1) == 1 and folders(store)[1] == 3
+    with pytest.raises(Exception):
+        store.run(docs.drop("content"), Settings(NOW))
+    assert folders(store)[1] == 3
+    store.fail(2, "token=abc")
+    assert store.results() is None and {r.error for r in store.scans().where("scan_id = 2").collect()} == {"token=[REDACTED]"}
+
+
+def test_a_scan_with_its_findings(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    scan, _, _ = store.run(demo(spark, NOW), Settings(NOW, near_duplicates=False))
+    keys = [r.finding_key for r in store.findings().orderBy("finding_key").collect()]
+    later = NOW + timedelta(days=3)
+    assert store.update_finding(keys[0], NOW, state="snoozed", snoozed_until=later) and store.update_finding(keys[1], NOW, state="dismissed", note="known")
+    found = store.findings()
+    rows = {r.workflow.finding_key if r.workflow else r.document_id: r for r in W.results_with_workflow(store.results(), found, NOW, scan).collect()}
+    assert len(rows) == 10 and sum(r.workflow is not None for r in rows.values()) == len(keys) == 6
+    assert (rows[keys[0]].workflow.is_actionable, rows[keys[1]].workflow.is_actionable, rows[keys[2]].workflow.is_actionable) == (False, False, True)
+    assert rows[keys[1]].workflow.note == "known" and rows[keys[2]].workflow.assigned_owner == ""
+    assert all(r.workflow is None for r in W.results_with_workflow(store.results(), found.withColumn("last_checked_scan_id", F.lit(9)), NOW, scan).collect())
+    counts = lambda *a: {r.workflow_state: r.n for r in W.state_counts(found, *a).collect()}
+    assert counts() == counts(NOW, scan, True) == {"open": 4, "snoozed": 1, "dismissed": 1} and counts(NOW, scan + 1, True) == {}
+    assert counts(NOW, scan, False) == {"open": 4} and counts(later, scan, False) == {"open": 4, "snoozed": 1}
+    one = store.finding(keys[0]).collect()
+    assert [(r.workflow_state, r.status in ("stale", "needs_review")) for r in one] == [("snoozed", True)] and store.finding("none").count() == 0
+
+
 def test_wiki_pages(spark, tmp_path):
     page = {"id": "7", "status": "current", "title": "T", "body": {"storage": {"value": "<p>Replaced by <a href='/wiki/x'>X</a></p>"}}, "version": {"number": 2, "when": "2026-01-02T03:04:05.000Z"}, "ancestors": [{"id": "1", "title": "Root", "space": {"key": "ENG"}}], "_links": {"webui": "/p/7"}}
     (tmp_path / "pages.json").write_text("\n".join(map(json.dumps, [page, page | {"id": "8", "body": {"storage": {"value": "<p> </p>"}}}, page | {"id": "9", "ancestors": []}])))

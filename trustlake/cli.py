@@ -66,7 +66,8 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "history":
         scan_history(store.scans(), store.results(), args.limit).show(args.limit, truncate=False)
     elif args.command == "findings":
-        W.queue(store.findings(), now, args.scan, args.state, args.all).show(1000, truncate=False)
+        for r in W.queue(store.findings(), now, args.scan, args.state, args.all).toLocalIterator():
+            print(f"{r.finding_key}  {r.workflow_state:<13} {r.document_id}  {r.title}")
     else:
         given = {"state": args.state, "note": args.note, "assigned_owner": args.owner, "due_date": args.due, "snoozed_until": args.until, "dismissal_reason": args.reason}
         key = W.by_prefix(store.findings(), args.finding)
