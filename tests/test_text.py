@@ -1,5 +1,6 @@
 """Column functions against Python's own regular expressions and by hand."""
 
+import random
 import re
 
 import pytest
@@ -88,3 +89,13 @@ def test_markup():
     got = anchors('<p>Replaced by <a href="/x/y">New <b>One</b></a> now</p><a href="z">Z</a><li>open <a href="q">Q</a>', "https://h.example/wiki")
     assert got == [{"href": "https://h.example/x/y", "text": "New One", "context": "Replaced by New One now"}, {"href": "https://h.example/wiki/z", "text": "Z", "context": "Z"}]
     assert absolute("https://o.example/", "https://h.example") == "https://o.example/" and absolute("a", "") == "a"
+
+
+def test_fields_read_from_their_lines_are_those_of_the_text(spark):
+    rng = random.Random(3)
+    parts = ["Status:", "status :", "Owner: Bob", "Maintained  by:", "DRI:x", "\n", "\n\n", " ", "Current", "Last reviewed: 2025-01-02 x", "Canonical: true", "Canonical: yes no", "Scope: region=eu; Version = 2", "Version: 3", "feature state: beta", "text", "Applies\nto: all", "Plan:\n\n  pro"]
+    rows = [("".join(rng.choice(parts) + rng.choice(["", "\n", "\n"]) for _ in range(rng.randrange(1, 9))),) for _ in range(1500)]
+    frame = spark.createDataFrame(rows, "c string").withColumn("l", T.field_lines(F.col("c")))
+    both = [F.struct(T.body_metadata(F.col(x)).alias("m"), F.map_entries(T.applicability(F.col(x))).alias("s")) for x in ("c", "l")]
+    wrong = frame.select("c", "l", both[0].alias("a"), both[1].alias("b")).where("not (a <=> b)").limit(5).collect()
+    assert wrong == [] and frame.where("l <> ''").count() > 1000

@@ -28,14 +28,17 @@ def days_since(when: Column, as_of: datetime) -> Column:
 
 
 def prepare(docs: DataFrame) -> DataFrame:
-    """Documents with what several operators need: title parts, body fields, scope, version key and content hash."""
+    """Documents with what several operators need: title parts, body fields, scope, version key and content hash. An operator that
+    is given these rows unwritten reads and computes just the columns that it uses."""
     return (
         docs.withColumn("content_hash", T.content_hash(F.col("content")))
         .withColumn("title_parts", T.title_parts(F.col("title")))
         .withColumn("base", F.col("title_parts.base"))
-        .withColumn("pm", T.body_metadata(F.col("content")))
-        .withColumn("scope", T.applicability(F.col("content")))
+        .withColumn("lines_", T.field_lines(F.col("content")))
+        .withColumn("pm", T.body_metadata(F.col("lines_")))
+        .withColumn("scope", T.applicability(F.col("lines_")))
         .withColumn("version_key", T.version_key(F.col("title"), F.col("content")))
+        .drop("lines_")
     )
 
 
@@ -175,6 +178,7 @@ def _cascade(rows: DataFrame, docs: DataFrame, steps: list[tuple[str, Column, Co
 def references(docs: DataFrame) -> DataFrame:
     """Titles that a page refers to: found once, several times or not at all among the pages of the scan."""
     rows = docs.select("id", F.posexplode(T.references(F.col("content"))).alias("k", "ref")).withColumn("norm", T.base_title(F.col("ref")))
+    rows = written(rows, "references")  # texts are read once, and what is joined are titles
     rows = _cascade(rows, docs, [("exact", F.lower("ref"), F.lower("title")), ("base", F.col("norm"), F.col("base"))])
     n, one = F.coalesce(F.size("targets"), F.lit(0)), F.get("targets", 0)
     variant = F.col("step") == "base"
@@ -203,6 +207,7 @@ def internal_links(docs: DataFrame) -> DataFrame:
     rows = docs.select("id", F.col("url").alias("page"), F.posexplode("links").alias("k", "l"))
     some = lambda c: F.nullif(c, F.lit(""))
     rows = rows.select("id", "page", "k", *[some(F.col(f"l.{f}")).alias(f) for f in ("url", "target_id", "target_title", "text", "context")])
+    rows = written(rows, "links")
     slash = lambda c: F.regexp_replace(c, "/+$", "")
     rows = _cascade(rows, docs, [
         ("id", F.col("target_id"), F.col("id")), ("url", slash(F.col("url")), slash(some(F.col("url")))),
@@ -253,6 +258,7 @@ def superseded(docs: DataFrame) -> DataFrame:
     year = F.when(p["version"].rlike(r"^\d{4}$"), p["version"].try_cast("int"))
     numbers = F.when(year.isNull(), F.transform(F.regexp_extract_all(p["version"], F.lit(r"(?U)\d+"), F.lit(0)), lambda n: n.try_cast("decimal(38,0)")))
     rows = docs.select("id", "doc_ord", "title", "base", p["version"].alias("v"), p["stale"].alias("mark"), year.alias("year"), numbers.alias("numbers"), F.map_entries("scope").alias("scope"))
+    rows = written(rows, "siblings")
     # a page's first sibling: the family's first page, or for that page the next one
     member = F.struct("doc_ord", "id", "title")
     first = rows.groupBy("base").agg(F.min(member).alias("first"))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir; a local one only in local mode, where one machine runs all (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="trustlake-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

@@ -159,17 +159,23 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
   {_sql_field('Deprecated' + chr(92) + 's+as' + chr(92) + 's+of')} AS deprecated_as_of, regexp_matches(content, '(?i)(?:^|\\n)\\s*Canonical\\s*[:]\\s*(true|yes)\\s*(?:\\n|$)') AS canonical,
   {_sql_field('Review' + chr(92) + 's+cadence')} AS review_cadence, {_sql_field('Applies' + chr(92) + 's+to')} AS applies_to FROM kb""")
 def body_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kb(spark, sf_dir).select("id", T.body_metadata(F.col("content")).alias("pm")).select("id", "pm.*")
+    rows = kb(spark, sf_dir).select("id", T.field_lines(F.col("content")).alias("lines"))
+    return rows.select("id", T.body_metadata(F.col("lines")).alias("pm")).select("id", "pm.*")
 
 
 _SCOPE_SQL = _sql_field("Scope")
 
 
+_DIMENSIONS = {k: k.replace("_", chr(92) + "s+") for k in T.SCOPE_FIELDS}
+_SCOPE_COLUMNS = ",\n  ".join(f"coalesce({_sql_field(name)}, nullif(trim(regexp_extract(line, '(?i)(?:^|;) *{k}=([^;]*)', 1)), '')) AS {k}" for k, name in _DIMENSIONS.items())
+
+
 @query(f"""WITH {KB_SQL}, s AS (SELECT id, content, {_SCOPE_SQL} AS line FROM kb)
-SELECT id, coalesce({_sql_field('Version')}, nullif(regexp_extract(line, 'version=([^;]*)', 1), '')) AS version, coalesce({_sql_field('Region')}, nullif(regexp_extract(line, 'region=([^;]*)', 1), '')) AS region, {_sql_field('Environment')} AS environment FROM s""")
+SELECT id, {_SCOPE_COLUMNS} FROM s""")
 def applicability_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scope = kb(spark, sf_dir).select("id", T.applicability(F.col("content")).alias("s"))
-    return scope.select("id", *[F.element_at("s", k).alias(k) for k in ("version", "region", "environment")])
+    rows = kb(spark, sf_dir).select("id", T.field_lines(F.col("content")).alias("lines"))
+    scope = rows.select("id", T.applicability(F.col("lines")).alias("s"))
+    return scope.select("id", *[F.element_at("s", k).alias(k) for k in T.SCOPE_FIELDS])
 
 
 _VERSION_SQL = "list_max(list_transform(list_concat(regexp_extract_all(title || ' ' || content[:500], '(?i)\\bv(\\d+(?:\\.\\d+)*)\\b', 1), regexp_extract_all(title || ' ' || content[:500], '(?i)\\bversion\\s+(\\d+(?:\\.\\d+)*)\\b', 1)), lambda v: list_transform(string_split(v, '.'), lambda n: CAST(n AS BIGINT))))"
@@ -179,7 +185,8 @@ _VERSION_SQL = "list_max(list_transform(list_concat(regexp_extract_all(title ||
 top AS (SELECT base, arg_max(id, (ver, -doc_ord)) AS top_id, max(ver) AS top FROM v WHERE ver IS NOT NULL GROUP BY base)
 SELECT id AS doc_id, 'v' || array_to_string(ver, '.') AS found_version, 'v' || array_to_string(top, '.') AS current_version, top_id AS current_doc_id FROM v JOIN top USING (base) WHERE ver < top AND id NOT IN (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY sha256(content) ORDER BY last_modified DESC NULLS LAST, doc_ord) AS rn FROM kb) WHERE rn > 1)""")
 def version_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = written(_prepared(spark, sf_dir), "query-kb")
+    docs = _prepared(spark, sf_dir).select("id", "doc_ord", "title", "base", "version_key", "content_hash", "last_modified")
+    docs = written(docs, "query-versions")
     return S.version_markers(docs, S.duplicates(docs)).select("doc_id", "details.found_version", "details.current_version", "details.current_doc_id")
 
 
@@ -195,21 +202,21 @@ resolved AS (SELECT e.id, e.k, e.ref, coalesce(e.ids, b.ids, []) AS ids, e.ids I
 SELECT id AS doc_id, k, CASE len(ids) WHEN 0 THEN 'unresolved_reference' WHEN 1 THEN 'resolved_reference' ELSE 'ambiguous_reference' END AS signal_type, ref AS referenced_title,
   CASE WHEN len(ids) = 1 THEN ids[1] END AS resolved_doc_id, CASE WHEN len(ids) = 1 AND by_base THEN 'base_title_variant' END AS match_type, CASE WHEN len(ids) > 1 THEN array_to_string(ids, ',') END AS matching FROM resolved""")
 def references_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.references(written(_prepared(spark, sf_dir), "query-kb"))
+    found = S.references(_prepared(spark, sf_dir))
     return found.select("doc_id", F.element_at("sig_ord", 1).alias("k"), "signal_type", "details.referenced_title", "details.resolved_doc_id", "details.match_type", F.array_join("details.matching_doc_ids", ",").alias("matching"))
 
 
 @query(f"""WITH {KB_SQL}, {_RESOLVED_SQL}, link AS (SELECT kb.id, t.id AS tid FROM kb JOIN kb t ON rtrim(kb.link_url, '/') = t.url WHERE kb.id <> t.id AND NOT regexp_matches(kb.link_text, '(?i)replaced|migration from')),
 edge AS (SELECT id, ids[1] AS tid FROM resolved WHERE len(ids) = 1 UNION SELECT id, tid FROM link) SELECT tid AS doc_id, CAST(count(DISTINCT id) AS INTEGER) AS incoming FROM edge GROUP BY tid""")
 def incoming_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = written(_prepared(spark, sf_dir), "query-kb")
+    docs = _prepared(spark, sf_dir)
     return S.incoming_counts(S.references(docs).unionByName(S.internal_links(docs)))
 
 
 @query(f"""WITH {KB_SQL}, l AS (SELECT kb.id, kb.link_url, kb.link_text, list(t.id ORDER BY t.doc_ord) FILTER (t.id IS NOT NULL AND t.id <> kb.id) AS ids FROM kb LEFT JOIN kb t ON rtrim(kb.link_url, '/') = t.url WHERE kb.link_url IS NOT NULL GROUP BY ALL)
 SELECT id AS doc_id, CASE WHEN ids IS NULL THEN 'broken_internal_link' WHEN link_text LIKE 'replaced by%' THEN 'replacement_link' WHEN link_text LIKE 'migration from%' THEN 'backlink_from_successor' ELSE 'resolved_internal_link' END AS signal_type, link_url AS url, ids[1] AS target_id FROM l""")
 def internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.internal_links(written(_prepared(spark, sf_dir), "query-kb")).select("doc_id", "signal_type", "details.url", "details.target_id")
+    return S.internal_links(_prepared(spark, sf_dir)).select("doc_id", "signal_type", "details.url", "details.target_id")
 
 
 @query(f"""WITH {KB_SQL}, u AS (SELECT id, unnest(list_distinct(list_transform(regexp_extract_all(content, 'https?://[^\\s<>"'')]+'), lambda x: rtrim(x, '.,;:!?)')))) AS url FROM kb)
@@ -227,7 +234,17 @@ def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.broken_links(docs, probes).select("doc_id", "details.url", "details.status_code")
 
 
-@query()
+_API_SQL = r"'v\d+\.\d+(?:\.\d+)?'"
+_PAST_SQL = r"(?i)(?:migrat\w+\s+from|upgrad\w+\s+from|previously|formerly|deprecated|replaced\s+by|instead\s+of|no\s+longer|was\s+in|changed\s+from|prior\s+to|before)\s+"
+
+
+@query(f"""WITH {KB_SQL}, m AS (SELECT id, content, regexp_extract_all(content, {_API_SQL}) AS m, regexp_split_to_array(content, {_API_SQL}) AS g FROM kb WHERE regexp_matches(content, {_API_SQL})),
+each AS (SELECT id, content, m, g, unnest(range(1, len(m) + 1)) AS k FROM m),
+place AS (SELECT id, content, m[k] AS v, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS p FROM each),
+near AS (SELECT *, substr(lower(content), greatest(0, p - 100) + 1, p + length(v) + 50 - greatest(0, p - 100)) AS around,
+  trim(substr(content, greatest(0, p - 60) + 1, p - greatest(0, p - 60)), ' ' || chr(9) || chr(10)) AS said FROM place)
+SELECT id AS doc_id, 'References ' || chr(39) || 'API ' || v || chr(39) || ' but current version is ' || chr(39) || 'v2.0' || chr(39) AS message, v AS found_version FROM near
+WHERE v <> 'v2.0' AND contains(around, 'api') AND NOT regexp_matches(said, '{_PAST_SQL}')""")
 def version_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.version_refs(kb(spark, sf_dir), {"API": "v2.0"}).select("doc_id", "message", "details.found_version")
 
@@ -259,7 +276,7 @@ sib AS (SELECT * FROM m UNION ALL SELECT * FROM o)"""
 
 @query(f"WITH {KB_SQL}, {_SIBLING_SQL} SELECT id AS doc_id, reason FROM sib")
 def scan_supersession(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.superseded(written(_prepared(spark, sf_dir), "query-kb"))
+    return S.superseded(_prepared(spark, sf_dir))
 
 
 @query(f"WITH {KB_SQL} SELECT id, substr(sha256(source_type || ':' || id || ':' || 'stale'), 1, 24) AS finding_key FROM kb")
@@ -362,10 +379,65 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.carried(results, 4, ids).drop("suggested_replacement_id")
 
 
-@query("SELECT scan_id FROM (VALUES (1), (2)) t(scan_id)")
+@query("""WITH s AS (SELECT doc_id AS scan_id, CASE WHEN doc_id % 10 = 3 THEN 'running' ELSE 'completed' END AS status FROM documents)
+SELECT scan_id FROM (SELECT scan_id, row_number() OVER (ORDER BY scan_id DESC) AS n FROM s WHERE status <> 'running') WHERE n > 20""")
 def expired_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = spark.createDataFrame([(i, "running" if i == 5 else "completed") for i in range(1, 6)], "scan_id int, status string")
-    return H.expired_scans(scans, keep=2)
+    state = F.when(F.col("doc_id") % 10 == 3, "running").otherwise("completed")
+    return H.expired_scans(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("scan_id"), state.alias("status")))
+
+
+# Findings of the third scan, by rules of their page's number.
+_STATE_LIST = ("open", "acknowledged", "snoozed", "accepted_risk", "dismissed", "fixed")
+_FINDING_SQL = f"""f AS (SELECT substr(sha256('kb:' || doc_id || ':' || CASE WHEN doc_id % 2 = 0 THEN 'stale' ELSE 'needs_review' END), 1, 24) AS finding_key, CAST(doc_id AS VARCHAR) AS document_id,
+  {list(_STATE_LIST)}[doc_id % 6 + 1] AS workflow_state, CASE WHEN doc_id % 6 = 2 THEN {_AS_OF_SQL} + to_days(CAST(doc_id % 5 - 2 AS INTEGER)) END AS snoozed_until,
+  CASE WHEN doc_id % 4 = 1 THEN 'note ' || doc_id END AS note, 2 + doc_id % 2 AS checked FROM documents),
+g AS (SELECT *, workflow_state NOT IN ('accepted_risk', 'dismissed', 'fixed') AND NOT (workflow_state = 'snoozed' AND coalesce(snoozed_until > {_AS_OF_SQL}, false)) AS act FROM f)"""
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    none = F.lit(None).cast("string")
+    status = F.when(n % 2 == 0, "stale").otherwise("needs_review")
+    asleep = F.timestamp_add("DAY", (n % 5 - 2).cast("int"), F.lit(AS_OF))
+    values = {
+        "finding_key": T.finding_key(F.lit("kb"), n.cast("string"), status), "document_id": n.cast("string"), "source_type": F.lit("kb"), "title": F.concat(F.lit("T"), n),
+        "workflow_state": F.element_at(F.array(*map(F.lit, _STATE_LIST)), (n % 6 + 1).cast("int")), "note": F.when(n % 4 == 1, F.concat(F.lit("note "), n)),
+        "assigned_owner": none, "due_date": none, "snoozed_until": F.when(n % 6 == 2, asleep), "dismissal_reason": none, "evidence_hash": none,
+        "first_seen_scan_id": n % 3 + 1, "last_seen_scan_id": n % 2 + 2, "last_checked_scan_id": n % 2 + 2, "updated_at": F.lit(AS_OF),
+    }
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*[v.alias(k) for k, v in values.items()])
+
+
+@query(f"""WITH {_FINDING_SQL}, s AS (SELECT 'all' AS asked, workflow_state FROM g UNION ALL SELECT 'scan 3', workflow_state FROM g WHERE checked = 3 UNION ALL SELECT 'to do', workflow_state FROM g WHERE act)
+SELECT asked, workflow_state, count(*) AS n FROM s GROUP BY ALL""")
+def workflow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _findings(spark, sf_dir)
+    asked = {"all": (None, None, True), "scan 3": (None, 3, True), "to do": (AS_OF, None, False)}
+    found = [W.state_counts(rows, *a).select(F.lit(k).alias("asked"), "workflow_state", "n") for k, a in asked.items()]
+    return found[0].union(found[1]).union(found[2])
+
+
+@query(f"""WITH {_SCAN_SQL}, {_FINDING_SQL}
+SELECT r.document_id, r.status, g.finding_key, g.workflow_state AS state, CASE WHEN g.finding_key IS NOT NULL THEN coalesce(g.note, '') END AS note, g.act AS is_actionable
+FROM r LEFT JOIN g ON g.checked = 3 AND g.finding_key = substr(sha256('kb:' || r.document_id || ':' || r.status), 1, 24) WHERE r.scan_id = 3""")
+def results_with_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = _scans(spark, sf_dir)[1].withColumn("source_type", F.lit("kb"))
+    rows = W.results_with_workflow(results, _findings(spark, sf_dir), AS_OF, 3)
+    return rows.select("document_id", "status", "workflow.finding_key", "workflow.state", "workflow.note", "workflow.is_actionable")
+
+
+@query(f"WITH {_FINDING_SQL} SELECT finding_key, document_id, workflow_state FROM g WHERE act AND checked = 3")
+def workflow_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.queue(_findings(spark, sf_dir), AS_OF, scan_id=3).select("finding_key", "document_id", "workflow_state")
+
+
+@query(f"""WITH {_FINDING_SQL} SELECT finding_key, CASE WHEN document_id = '8' THEN 'dismissed' ELSE workflow_state END AS workflow_state, CASE WHEN document_id <> '8' THEN snoozed_until END AS snoozed_until,
+  CASE WHEN document_id = '8' THEN 'known' ELSE note END AS note FROM g""")
+def finding_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings after one of them, a snoozed one, is dismissed."""
+    rows = _findings(spark, sf_dir)
+    key = rows.where("document_id = '8'").first().finding_key
+    return W.update(rows, key, AS_OF, state="dismissed", note="known").select("finding_key", "workflow_state", "snoozed_until", "note")
 
 
 @query(f"WITH {KB_SQL} SELECT id, content_hash FROM (SELECT id, sha256(content) AS content_hash, doc_ord FROM kb) WHERE doc_ord % 9 <> 4")
