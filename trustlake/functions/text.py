@@ -90,14 +90,13 @@ _NAMES = (
     r"Status|Owner|Maintained\s+by|DRI|Last\s+reviewed|Replaced\s+by|Superseded\s+by|Deprecated\s+as\s+of|Canonical|Review\s+cadence|Applies\s+to|Scope|"
     r"Product|Version|Audience|Environment|Region|Plan|Feature\s+state|Feature\s+flag"
 )
-_FIELD_LINE = rx(rf"(?:^|\n)(?=(\s*(?:{_NAMES})\s*[:]\s*[^\n]*))")
+_TO_LAST_FIELD = rx(rf"\A(?s:.*)(?:^|\n)\s*(?:{_NAMES})\s*[:]\s*[^\n]*")
 
 
 def field_lines(content: Column) -> Column:
-    """The lines of all body fields, one after another: where the fields are read from these, the text itself is passed once.
-
-    A line is looked ahead at, so that one that ends a field without a value may begin the next."""
-    return F.array_join(all_found(content, _FIELD_LINE), "\n")
+    """The text up to the end of its last field line; '' without one. Fields stand at the top of pages: the text is passed once
+    for this, and each field is looked for in what is left."""
+    return F.regexp_extract(content, _TO_LAST_FIELD, 0)
 
 
 def body_metadata(content: Column) -> Column:
