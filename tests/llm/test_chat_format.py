@@ -49,6 +49,22 @@ def test_edges(spark):
     assert [r.text for r in C.paths(twice).collect()] == ["x"]
 
 
+def test_a_long_conversation_is_numbered_over_many_ranges(spark):
+    turns = [(7, i % 50 if i % 3 else None, ("user", "assistant", None)[i % 5 % 3], f"{'same start of many texts ' * 2}{i % 211}" if i % 7 else None) for i in range(4000)]
+    few = [(None, 2, "user", "b"), (None, 1, "user", "a"), (None, 1, "user", "a"), (8, 0, "user", "x")]
+    rows = spark.createDataFrame(turns + few, "conv_id long, turn long, role string, text string")
+    got = {}
+    for r in C.linear(rows).collect():
+        assert r.parent == r.id - 1
+        got.setdefault(r.conv, []).append((r.id, r.role, r.text))
+    key = lambda r: tuple((x is not None, x) for x in r[1:])
+    for conv in (7, None, 8):
+        expected = sorted((r for r in turns + few if r[0] == conv), key=key)
+        assert sorted(got[conv], key=lambda x: x[0]) == [(i + 1, *r[2:]) for i, r in enumerate(expected)]
+    assert C.ranged(rows).where("conv = 7").select(F.shiftright("place", 33)).distinct().count() > 1
+    assert C.linear(rows.limit(0)).count() == 0
+
+
 def test_query(spark, sf):
     rows = {r.conv_id: r for r in C.op6_chat_format(spark, sf).collect()}
     text = "\\### Assistant: </turn> ok"

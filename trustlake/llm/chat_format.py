@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import shared_path, table, written
+from trustlake.llm.shared import partitions, shared_path, sized_hint, table, written
 
 PIECE = 64
 LOSS_ROLE = "assistant"
@@ -101,10 +101,34 @@ def read_turns(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("turns", turns).withColumn("learned", learned)
 
 
+def ranged(conversations: DataFrame) -> DataFrame:
+    """(conv, place, role, text), written: rows in the order of conversation, turn, role and text over all files; the upper bits of
+    `place` are a range's number, the lower ones a row's place in it.
+
+    A long conversation runs over several ranges. Rows are dealt by the first characters of a text, which keeps the driver's
+    sample for the ranges small."""
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role")]
+    rows = conversations.select("conv_id", "turn", "role", "text")
+    rows = rows.repartitionByRange(partitions(conversations.sparkSession), *order, F.substring("text", 1, 32).asc_nulls_first())
+    rows = rows.sortWithinPartitions(*order, F.col("text").asc_nulls_first())
+    return written(rows.select(F.col("conv_id").alias("conv"), F.monotonically_increasing_id().alias("place"), "role", "text"), "chat-rows")
+
+
+_RANGE_BITS = 33  # those of monotonically_increasing_id below its partition's number
+
+
 def linear(conversations: DataFrame) -> DataFrame:
-    """Messages of conversations (conv_id, turn, role, text): each turn answers the one before it."""
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    rows = conversations.select(F.col("conv_id").alias("conv"), number.alias("id"), "role", "text")
+    """Messages of conversations (conv_id, turn, role, text): each turn answers the one before it.
+
+    No task holds a conversation to number it: a message's number is its place among its conversation's rows of its range, behind
+    those of earlier ranges, of which there is one row for each conversation and range."""
+    rows = ranged(conversations).withColumn("range", F.shiftright("place", _RANGE_BITS))
+    parts = rows.groupBy("conv", "range").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("conv", "range", (F.coalesce(before, F.lit(0)) + 1 - F.col("first")).alias("shift"))
+    r, p = rows.alias("r"), sized_hint(parts).alias("p")
+    rows = r.join(p, F.col("r.conv").eqNullSafe(F.col("p.conv")) & (F.col("r.range") == F.col("p.range")))
+    rows = rows.select("r.conv", (F.col("r.place") + F.col("p.shift")).alias("id"), "r.role", "r.text")
     return rows.select("conv", "id", (F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
