@@ -462,6 +462,56 @@ def finding_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.update(rows, key, AS_OF, state="dismissed", note="known").select("finding_key", "workflow_state", "snoozed_until", "note")
 
 
+# Results of a fourth scan, by rules of their page's number: seen findings, new ones, and pages that have become current.
+_FOURTH_SQL = """e AS (SELECT doc_id AS n, CASE WHEN doc_id % 8 = 5 THEN 'unknown' WHEN doc_id % 4 = 0 THEN 'stale' WHEN doc_id % 4 = 3 THEN 'current' ELSE 'needs_review' END AS status,
+  CASE doc_id % 10 WHEN 5 THEN true WHEN 9 THEN false END AS flag FROM documents WHERE doc_id % 11 <> 4),
+h AS (SELECT *, CAST(n AS VARCHAR) AS page, substr(sha256(concat_ws('|', status, CASE WHEN n % 3 = 0 THEN 'age:critical:' || n || ' days:age_days=' || n || ';matching_doc_ids=[' || n || ',b]' END,
+  'sum ' || status, 'x', 'y', CASE WHEN n % 2 = 0 THEN 'm' END, 'act')), 1, 16) AS hash FROM e),
+seen AS (SELECT page, hash, n % 5 <> 1 AS fresh, substr(sha256('kb:' || n || ':' || status), 1, 24) AS seen_key FROM h WHERE status <> 'current' AND coalesce(flag, status IN ('stale', 'needs_review'))),
+old AS (SELECT f.*, CAST(f.document_id AS BIGINT) AS n, CASE WHEN CAST(f.document_id AS BIGINT) % 5 = 0 THEN h.hash END AS old_hash FROM f LEFT JOIN h ON h.page = f.document_id),
+j AS (SELECT coalesce(finding_key, seen_key) AS key, coalesce(document_id, page) AS doc, workflow_state AS state, snoozed_until, note, n, checked, old_hash, hash, fresh, seen_key IS NOT NULL AS is_seen,
+  finding_key IS NOT NULL AS is_old, CAST(coalesce(document_id, page) AS BIGINT) % 11 <> 4 AS in_scan FROM old FULL JOIN seen ON finding_key = seen_key)"""
+
+
+def _fourth_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    status = F.when(n % 8 == 5, "unknown").when(n % 4 == 0, "stale").when(n % 4 == 3, "current").otherwise("needs_review")
+    text = n.cast("string")
+    found = schema.details(age_days=n, matching_doc_ids=F.array(F.lit("b"), text))
+    age = F.struct(F.lit("age").alias("signal_type"), F.lit("critical").alias("severity"), F.concat(text, F.lit(" days")).alias("message"), found.alias("details"))
+    none = F.array().cast("array<string>")
+    evidence = {
+        "summary": F.concat(F.lit("sum "), status), "positive_evidence": none, "review_risks": F.array(F.lit("y"), F.lit("x")),
+        "missing_evidence": F.when(n % 2 == 0, F.array(F.lit("m"))).otherwise(none), "recommended_action": F.lit("act"),
+    }
+    values = {
+        "doc_ord": n, "document_id": text, "source_type": F.lit("kb"), "title": F.concat(F.lit("R"), n), "status": status,
+        "signals": F.when(n % 3 == 0, F.array(age)).otherwise(F.array().cast(f"array<{schema.SIGNAL_TYPE}>")),
+        "trust_metadata": F.struct(F.when(n % 10 == 5, True).when(n % 10 == 9, False).alias("requires_human_audit")),
+        "trust_evidence": F.struct(*[v.alias(k) for k, v in evidence.items()]),
+    }
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where(n % 11 != 4)
+    return rows.select(*[v.alias(k) for k, v in values.items()])
+
+
+@query(f"""WITH {_FINDING_SQL}, {_FOURTH_SQL},
+c AS (SELECT *, CASE WHEN is_seen AND NOT is_old THEN 'new' WHEN is_seen AND (state = 'snoozed' AND coalesce(snoozed_until <= {_AS_OF_SQL}, false) OR state IN ('accepted_risk', 'dismissed', 'fixed') AND old_hash IS DISTINCT FROM hash) THEN 'reopened'
+  WHEN is_seen THEN 'updated' WHEN in_scan AND state <> 'fixed' THEN 'auto_fixed' END AS change FROM j),
+r AS (SELECT *, coalesce(change IN ('new', 'reopened') OR (change = 'updated' AND fresh), false) AS renewed FROM c)
+SELECT key AS finding_key, doc AS document_id, CASE WHEN renewed THEN 'R' || doc ELSE 'T' || doc END AS title, CASE WHEN change IN ('new', 'reopened') THEN 'open' WHEN change = 'auto_fixed' THEN 'fixed' ELSE state END AS workflow_state,
+  CASE WHEN change = 'auto_fixed' THEN 'No longer detected in scan #4' ELSE note END AS note, coalesce(change, '') <> 'reopened' AND snoozed_until IS NOT NULL AS has_snooze, CASE WHEN renewed THEN hash ELSE old_hash END AS evidence_hash,
+  CASE WHEN is_old THEN n % 3 + 1 ELSE 4 END AS first_seen_scan_id, CASE WHEN renewed THEN 4 ELSE checked END AS last_seen_scan_id, CASE WHEN change IS NOT NULL OR in_scan THEN 4 ELSE checked END AS last_checked_scan_id, change FROM r""")
+def workflow_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings after a fourth scan, some of whose pages were not looked at again; every fifth finding knows its evidence."""
+    results = _fourth_scan(spark, sf_dir)
+    fifth = F.col("document_id").cast("long") % 5
+    known = results.where(fifth == 0).select("document_id", W.evidence_hash(F.col("status"), F.col("signals"), F.col("trust_evidence")).alias("evidence_hash"))
+    findings = _findings(spark, sf_dir).drop("evidence_hash").join(known, "document_id", "left")
+    merged = W.merge(findings, results, 4, AS_OF, reanalyzed=results.where(fifth != 1), scanned=results)
+    kept = ("finding_key", "document_id", "title", "workflow_state", "note", "evidence_hash", "first_seen_scan_id", "last_seen_scan_id", "last_checked_scan_id", "change")
+    return merged.select(*kept, F.col("snoozed_until").isNotNull().alias("has_snooze"))
+
+
 @query(f"WITH {KB_SQL} SELECT id, content_hash FROM (SELECT id, sha256(content) AS content_hash, doc_ord FROM kb) WHERE doc_ord % 9 <> 4")
 def unchanged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kb(spark, sf_dir)
