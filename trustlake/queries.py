@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlake import schema
@@ -20,6 +20,7 @@ from trustlake.operators import findings as W
 from trustlake.operators import history as H
 from trustlake.operators import signals as S
 from trustlake.plans import audit as A
+from trustlake.plans import classify as C
 from trustlake.plans.tables import written
 
 AS_OF = datetime(2026, 1, 15, 12, tzinfo=UTC)
@@ -361,6 +362,92 @@ def findings_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.with_audit(W.queue(merged, AS_OF), results).select("finding_key", "document_id", "workflow_state", "status", "confidence")
 
 
+# Signals, referrers and siblings by rules of a page's number, so that the classifier's rules meet one another.
+def _any_sql(source: str, words: tuple[str, ...]) -> str:
+    return f"regexp_matches({source}, {_quoted('|'.join(words))})"
+
+
+def _cases_sql(clues, test: Callable[[str], str], at: int, put: int) -> str:
+    return " ".join(f"WHEN {test(c[at])} THEN {_quoted(c[put])}" for c in clues)
+
+
+def _in_text(source: str) -> Callable[[str], str]:
+    return lambda pattern: f"regexp_matches({source}, {_quoted('(?i)' + pattern)})"
+
+
+def _set_sql(*items: str) -> str:
+    return f"list_filter(CAST([{', '.join(items)}] AS VARCHAR[]), lambda r: r IS NOT NULL)"
+
+
+def _has_sql(reasons: str, *parts: str, source: str = "lower(r)") -> str:
+    return f"len(list_filter({reasons}, lambda r: {' AND '.join(f'contains({source}, {_quoted(x)})' for x in parts)})) > 0"
+
+
+_LOW_STATUS = lambda words: _any_sql("low", words)
+_STATED_SQL = "'Status field indicates ''' || status_text || ''''"
+_GUESS_SQL = "contains(lower(r), 'related page in this scan')"
+_MARK_SQL = "contains(lower(r), 'stale suffix')"
+_CADENCE_SQL = " ".join(f"WHEN '{k}' THEN {v}" for k, v in schema.CADENCE_DAYS.items())
+_VERDICT_SQL = f"""pm AS ({ORACLES['body_metadata']}),
+x AS (SELECT doc_ord AS n, title, content, archived, last_modified, pm.*, lower(status_text) AS low, doc_ord % 4 AS inc, doc_ord % 3 = 0 AS ref,
+  CAST(floor((epoch_us({_AS_OF_SQL}) - epoch_us(CAST(last_reviewed AS TIMESTAMP))) / 86400000000) AS INTEGER) AS days, CASE lower(trim(review_cadence)) {_CADENCE_SQL} END AS lim,
+  CASE doc_ord % 13 WHEN 6 THEN 'Superseded by a related page in this scan: ''S'' (version v2 > v1)' WHEN 7 THEN 'Title has stale suffix ''(draft)'' and a newer page ''S'' exists in this scan' END AS sib FROM kb JOIN pm USING (id)),
+y AS (SELECT *, {_set_sql("CASE WHEN n % 7 = 2 THEN 'Exact duplicate of ''D' || n || '''' END", "CASE WHEN n % 11 = 3 THEN 'Contains v1, but v2 exists in ''C' || n || '''' END", f"CASE WHEN {_LOW_STATUS(C.STALE_WORDS)} THEN {_STATED_SQL} END",
+    f"CASE {_cases_sql(C.PHRASES, _in_text('content'), 0, 1)} END", "'Replaced by ''' || replaced_by || ''''", "'Deprecated as of ' || deprecated_as_of", "CASE WHEN archived THEN 'Source metadata indicates page is archived' END", "sib")} AS told,
+  {_set_sql("CASE WHEN inc >= 2 THEN 'Referenced by ' || inc || ' other documents' END", f"CASE WHEN contains(low, 'current') THEN {_STATED_SQL} END", "CASE WHEN canonical THEN 'Marked as canonical document' END")} AS strong,
+  {_set_sql(f"CASE WHEN NOT contains(low, 'current') AND {_LOW_STATUS(C.SUPPORT_WORDS)} THEN {_STATED_SQL} END", "CASE WHEN ref THEN 'All 1 outgoing references resolve correctly' END", "CASE WHEN n % 4 = 1 THEN 'All 1 internal links resolve correctly' END",
+    "CASE WHEN days <= 180 THEN 'Last reviewed ' || last_reviewed END", "'Has designated owner: ' || owner")} AS further FROM x),
+z AS (SELECT *, CASE WHEN len(strong) > 0 THEN list_concat(strong, further) ELSE [] END AS trust, list_filter(told, lambda r: NOT {_GUESS_SQL}) AS firm,
+  list_filter(told, lambda r: NOT {_GUESS_SQL} AND NOT ({_MARK_SQL} AND regexp_matches(lower(r), '''draft''|\\(draft\\)'))) AS firmer,
+  CASE WHEN archived THEN 'archived' WHEN replaced_by IS NOT NULL THEN 'superseded' WHEN deprecated_as_of IS NOT NULL THEN 'deprecated' {_cases_sql(C.NEGATIVE_STATUS, _LOW_STATUS, 0, 1)} ELSE
+    coalesce(list_filter(list_transform(list_filter(told, lambda r: NOT {_GUESS_SQL} AND NOT {_MARK_SQL}), lambda r: CASE {_cases_sql(C.REASON_CLUES, lambda w: _any_sql('lower(r)', w), 0, 1)} END), lambda m: m IS NOT NULL)[1],
+      CASE {_cases_sql(C.TITLE_CLUES, _in_text('title'), 0, 1)} {_cases_sql(C.BODY_CLUES, _in_text('content'), 0, 1)} {_cases_sql(C.POSITIVE_STATUS, _LOW_STATUS, 0, 1)}
+      WHEN canonical THEN 'current' WHEN applies_to IS NOT NULL THEN 'supported' WHEN sib IS NOT NULL THEN 'superseded' ELSE 'unknown' END) END AS state FROM y),
+u AS (SELECT *, CASE WHEN state IN ('experimental', 'draft') THEN firmer WHEN state IN ('supported', 'current') THEN firm ELSE told END AS stale,
+  {_set_sql("CASE WHEN state IN ('deprecated', 'superseded', 'archived') AND len(trust) > 0 THEN 'Lifecycle is ''' || state || ''' but trust evidence exists — human review needed' END", "CASE WHEN state = 'supported' AND len(firm) < len(told) THEN 'Lifecycle is ''supported'' — scan-local version supersession suppressed' END")} AS against,
+  {_set_sql("CASE WHEN n % 5 = 1 THEN 'Not modified in ' || n || ' days' END", "CASE WHEN n % 6 = 1 THEN 'Contains unresolved reference: Q' || n END", "CASE WHEN n % 9 = 4 THEN '86% similar to ''N' || n || '''' END", "CASE WHEN n % 8 = 3 THEN 'Contains 2 broken links' END",
+    "CASE WHEN state IN ('experimental', 'draft') AND len(firmer) = 0 THEN 'Document lifecycle is ''' || state || ''' — needs review before relying on content' END", "CASE WHEN state = 'current' AND len(told) > 0 AND len(firm) = 0 THEN 'Lifecycle is ''current'' but inferred version supersession exists — needs review' END",
+    "CASE WHEN days > 365 THEN 'Last reviewed ' || last_reviewed || ' (' || days || ' days ago)' END", "CASE WHEN days > lim THEN 'Review cadence is ''' || review_cadence || ''' but last reviewed ' || days || ' days ago (max ' || lim || ')' END")} AS risks FROM z),
+v AS (SELECT *, len(trust) > 0 OR len(against) > 0 AS disputed, CASE WHEN len(stale) > 0 THEN CASE WHEN len(trust) > 0 OR len(against) > 0 THEN 'needs_review' ELSE 'stale' END WHEN len(risks) > 0 THEN 'needs_review' WHEN len(trust) > 0 THEN 'current' ELSE 'unknown' END AS status,
+  lower(array_to_string(risks, ' ')) AS said, CASE WHEN NOT {_LOW_STATUS((*C.STALE_WORDS, 'current'))} THEN 'Status: ' || status_text END AS plain FROM u),
+w AS (SELECT *, list_concat(risks, {_set_sql("CASE WHEN NOT regexp_matches(said, 'referenced by|incoming') THEN CASE inc WHEN 0 THEN 'No incoming references' WHEN 1 THEN 'Referenced by 1 document' ELSE 'Referenced by ' || inc || ' documents' END END",
+    "CASE WHEN NOT contains(said, 'status') THEN plain END", "CASE WHEN NOT contains(said, 'resolve') AND ref THEN 'All 1 outgoing references resolve' END", "CASE WHEN NOT contains(said, 'owner') THEN 'Owner: ' || owner END")}[1:3]) AS noted,
+  {_set_sql("CASE inc WHEN 0 THEN 'No incoming references from other documents' WHEN 1 THEN 'Only 1 incoming reference (minimum 2 needed for trust)' END", "CASE WHEN ref AND inc = 0 THEN 'Outgoing references resolve, but no documents reference this page' WHEN ref AND inc = 1 THEN 'Outgoing references resolve, but only 1 document references this page' END",
+    "CASE WHEN last_reviewed IS NULL THEN 'No ''Last reviewed'' date in document body' END", "plain")} AS lacking,
+  CASE n % 5 WHEN 1 THEN 15 WHEN 2 THEN 10 ELSE 0 END + CASE WHEN n % 7 = 2 THEN 45 ELSE 0 END + CASE WHEN n % 11 = 3 THEN 50 ELSE 0 END + CASE WHEN {_LOW_STATUS(C.STALE_WORDS)} THEN 30 ELSE 0 END + CASE WHEN {_has_sql('stale', 'Body text says', source='r')} THEN 30 ELSE 0 END
+  + CASE WHEN {_has_sql('stale', 'archived', 'metadata')} THEN 25 ELSE 0 END + CASE WHEN {_has_sql('stale', 'superseded by a related page')} THEN 25 ELSE 0 END + CASE WHEN {_has_sql('stale', 'replaced by')} THEN 35 ELSE 0 END + CASE WHEN {_has_sql('stale', 'deprecated as of')} THEN 30 ELSE 0 END AS points FROM v),
+s AS (SELECT *, greatest(30, least(95, points + CASE WHEN n % 5 IN (1, 2) AND points > 10 THEN 10 ELSE 0 END)) AS score, CASE WHEN len(stale) > 0 AND disputed THEN list_concat(['Contradictory evidence: stale signals conflict with trust signals'], against, stale, trust)
+  WHEN len(stale) > 0 THEN stale WHEN len(risks) > 0 THEN noted WHEN len(trust) > 0 THEN trust WHEN len(lacking) > 0 THEN lacking ELSE ['Insufficient positive trust evidence'] END AS reasons FROM w)"""
+
+
+@query(f"""WITH {KB_SQL}, {_VERDICT_SQL} SELECT id, status, state AS lifecycle, array_to_string(reasons, '; ') AS confidence_reason,
+  CAST(CASE WHEN len(stale) > 0 THEN CASE WHEN disputed THEN least(70, score) ELSE score END
+    WHEN len(risks) > 0 THEN least(90, 35 + CASE WHEN n % 6 = 1 THEN 10 ELSE 0 END + CASE WHEN n % 8 = 3 THEN 16 ELSE 0 END + CASE WHEN n % 9 = 4 THEN 15 ELSE 0 END + CASE WHEN n % 5 = 1 THEN 10 ELSE 0 END
+      + CASE WHEN {_has_sql('reasons', 'Status field', source='r')} THEN 15 ELSE 0 END + CASE WHEN {_has_sql('reasons', 'Last reviewed', source='r')} THEN 10 ELSE 0 END)
+    WHEN len(trust) > 0 THEN least(100, 50 + list_sum(list_transform(trust, lambda r: CASE WHEN starts_with(r, 'Referenced by') THEN 10 + 4 * least(inc, 5) WHEN contains(r, 'Status field indicates') THEN CASE WHEN contains(r, 'Current') THEN 12 ELSE 5 END
+      WHEN r = 'Marked as canonical document' THEN 15 WHEN contains(r, 'outgoing references resolve') THEN 5 WHEN contains(r, 'Last reviewed') THEN 10 WHEN contains(r, 'designated owner') THEN 6 ELSE 0 END)))
+    WHEN last_modified IS NULL THEN 15 ELSE 25 END AS INTEGER) AS confidence_hundredths FROM s""")
+def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's verdicts on pages whose signals, referrers and siblings are given."""
+    n = F.col("doc_ord")
+    numbered = lambda letter: F.concat(F.lit(letter), n)
+
+    def signal(holds, kind: str, severity="warning", **found) -> Column:
+        row = {"signal_type": F.lit(kind), "severity": F.lit(severity) if isinstance(severity, str) else severity, "message": F.lit(kind), "details": schema.details(**found)}
+        return F.when(holds, F.struct(*[v.alias(k) for k, v in row.items()]))
+
+    signals = F.array_compact(F.array(
+        signal((n % 5).isin(1, 2), "age", F.when(n % 5 == 1, "critical").otherwise("warning"), age_days=n),
+        signal(n % 7 == 2, "duplicate", "critical", duplicate_title=numbered("D")),
+        signal(n % 11 == 3, "version_marker", "critical", found_version=F.lit("v1"), current_version=F.lit("v2"), current_doc_title=numbered("C")),
+        signal(n % 6 == 1, "unresolved_reference", referenced_title=numbered("Q")), signal(n % 9 == 4, "near_duplicate", similarity=F.lit(85.5), similar_title=numbered("N")),
+        signal(n % 8 == 3, "broken_link"), signal(n % 8 == 3, "broken_link"), signal(n % 3 == 0, "resolved_reference", "info"), signal(n % 4 == 1, "resolved_internal_link", "info"),
+    ))
+    sibling = F.when(n % 13 == 6, "Superseded by a related page in this scan: 'S' (version v2 > v1)").when(n % 13 == 7, "Title has stale suffix '(draft)' and a newer page 'S' exists in this scan")
+    docs = _prepared(spark, sf_dir).withColumns({"signals": signals, "incoming": (n % 4).cast("int"), "sibling_reason": sibling})
+    return C.classify(docs, AS_OF).select("id", "status", F.col("lifecycle.state").alias("lifecycle"), "confidence_reason", "confidence_hundredths")
+
+
 # Stored scans are given as small derived tables, so that their queries have exact counterparts.
 _SCAN_SQL = """r AS (SELECT s AS scan_id, CAST(doc_id AS VARCHAR) AS document_id, 'T' || doc_id AS title, CASE (doc_id * 7 + s * (doc_id % 5)) % 4 WHEN 0 THEN 'stale' WHEN 1 THEN 'current' WHEN 2 THEN 'needs_review' ELSE 'unknown' END AS status,
   CAST(doc_id % 100 AS DOUBLE) / 100 AS confidence, 'because ' || doc_id AS confidence_reason FROM documents, (VALUES (1), (2), (3)) v(s) WHERE doc_id % 11 <> s)"""
