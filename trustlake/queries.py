@@ -420,15 +420,8 @@ s AS (SELECT *, greatest(30, least(95, points + CASE WHEN n % 5 IN (1, 2) AND po
   WHEN len(stale) > 0 THEN stale WHEN len(risks) > 0 THEN noted WHEN len(trust) > 0 THEN trust WHEN len(lacking) > 0 THEN lacking ELSE ['Insufficient positive trust evidence'] END AS reasons FROM w)"""
 
 
-@query(f"""WITH {KB_SQL}, {_VERDICT_SQL} SELECT id, status, state AS lifecycle, array_to_string(reasons, '; ') AS confidence_reason,
-  CAST(CASE WHEN len(stale) > 0 THEN CASE WHEN disputed THEN least(70, score) ELSE score END
-    WHEN len(risks) > 0 THEN least(90, 35 + CASE WHEN n % 6 = 1 THEN 10 ELSE 0 END + CASE WHEN n % 8 = 3 THEN 16 ELSE 0 END + CASE WHEN n % 9 = 4 THEN 15 ELSE 0 END + CASE WHEN n % 5 = 1 THEN 10 ELSE 0 END
-      + CASE WHEN {_has_sql('reasons', 'Status field', source='r')} THEN 15 ELSE 0 END + CASE WHEN {_has_sql('reasons', 'Last reviewed', source='r')} THEN 10 ELSE 0 END)
-    WHEN len(trust) > 0 THEN least(100, 50 + list_sum(list_transform(trust, lambda r: CASE WHEN starts_with(r, 'Referenced by') THEN 10 + 4 * least(inc, 5) WHEN contains(r, 'Status field indicates') THEN CASE WHEN contains(r, 'Current') THEN 12 ELSE 5 END
-      WHEN r = 'Marked as canonical document' THEN 15 WHEN contains(r, 'outgoing references resolve') THEN 5 WHEN contains(r, 'Last reviewed') THEN 10 WHEN contains(r, 'designated owner') THEN 6 ELSE 0 END)))
-    WHEN last_modified IS NULL THEN 15 ELSE 25 END AS INTEGER) AS confidence_hundredths FROM s""")
-def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The classifier's verdicts on pages whose signals, referrers and siblings are given."""
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified pages whose signals, referrers and siblings follow from their number."""
     n = F.col("doc_ord")
     numbered = lambda letter: F.concat(F.lit(letter), n)
 
@@ -445,7 +438,41 @@ def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
     sibling = F.when(n % 13 == 6, "Superseded by a related page in this scan: 'S' (version v2 > v1)").when(n % 13 == 7, "Title has stale suffix '(draft)' and a newer page 'S' exists in this scan")
     docs = _prepared(spark, sf_dir).withColumns({"signals": signals, "incoming": (n % 4).cast("int"), "sibling_reason": sibling})
-    return C.classify(docs, AS_OF).select("id", "status", F.col("lifecycle.state").alias("lifecycle"), "confidence_reason", "confidence_hundredths")
+    return C.classify(docs, AS_OF)
+
+
+@query(f"""WITH {KB_SQL}, {_VERDICT_SQL} SELECT id, status, state AS lifecycle, array_to_string(reasons, '; ') AS confidence_reason,
+  CAST(CASE WHEN len(stale) > 0 THEN CASE WHEN disputed THEN least(70, score) ELSE score END
+    WHEN len(risks) > 0 THEN least(90, 35 + CASE WHEN n % 6 = 1 THEN 10 ELSE 0 END + CASE WHEN n % 8 = 3 THEN 16 ELSE 0 END + CASE WHEN n % 9 = 4 THEN 15 ELSE 0 END + CASE WHEN n % 5 = 1 THEN 10 ELSE 0 END
+      + CASE WHEN {_has_sql('reasons', 'Status field', source='r')} THEN 15 ELSE 0 END + CASE WHEN {_has_sql('reasons', 'Last reviewed', source='r')} THEN 10 ELSE 0 END)
+    WHEN len(trust) > 0 THEN least(100, 50 + list_sum(list_transform(trust, lambda r: CASE WHEN starts_with(r, 'Referenced by') THEN 10 + 4 * least(inc, 5) WHEN contains(r, 'Status field indicates') THEN CASE WHEN contains(r, 'Current') THEN 12 ELSE 5 END
+      WHEN r = 'Marked as canonical document' THEN 15 WHEN contains(r, 'outgoing references resolve') THEN 5 WHEN contains(r, 'Last reviewed') THEN 10 WHEN contains(r, 'designated owner') THEN 6 ELSE 0 END)))
+    WHEN last_modified IS NULL THEN 15 ELSE 25 END AS INTEGER) AS confidence_hundredths FROM s""")
+def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classifier's verdicts on pages whose signals, referrers and siblings are given."""
+    return _verdicts(spark, sf_dir).select("id", "status", F.col("lifecycle.state").alias("lifecycle"), "confidence_reason", "confidence_hundredths")
+
+
+_NEED_SQL = f"""a AS (SELECT *, CASE WHEN len(stale) > 0 THEN stale ELSE risks END AS shown, n % 7 = 2 OR n % 6 = 1 OR n % 9 = 4 OR n % 8 = 3 OR n % 5 = 1 AS hard, {_set_sql(
+    "CASE WHEN inc >= 2 THEN 'Referenced by ' || inc || ' documents (+2)' WHEN inc = 1 THEN 'Referenced by 1 document (+1)' END", "CASE WHEN owner IS NOT NULL THEN 'Has designated owner (+1)' END",
+    "CASE WHEN status_text IS NOT NULL THEN 'Has declared status field (+1)' END", "CASE WHEN state <> 'unknown' THEN 'Lifecycle is ''' || state || ''' (+1)' END",
+    "CASE WHEN canonical THEN 'Marked as canonical (+2)' END", "CASE WHEN applies_to IS NOT NULL THEN 'Has applicability scope (+1)' END",
+    "CASE n % 3 WHEN 0 THEN CASE WHEN n % 5 < 3 THEN 'Part of a version family (+1)' END WHEN 1 THEN 'Suggested replacement for 1 stale document (+2)' ELSE 'Suggested replacement for 2 stale documents (+2)' END")} AS why FROM s),
+b AS (SELECT *, CAST(coalesce(list_sum(list_transform(why, lambda r: CAST(right(r, 2)[1] AS INTEGER))), 0) AS INTEGER) AS worth FROM a),
+k AS (SELECT *, CASE WHEN status = 'current' THEN 1 WHEN status = 'stale' THEN 2 WHEN state IN {(*C.ENDED, *C.UNFINISHED)} THEN 3 WHEN hard THEN 4 WHEN {_has_sql('shown', 'review cadence')} THEN 5 WHEN worth >= {schema.IMPORTANCE_THRESHOLD} THEN 6 WHEN worth > 0 THEN 7 ELSE 8 END AS kind FROM b)"""
+
+
+@query(f"""WITH {KB_SQL}, {_VERDICT_SQL}, {_NEED_SQL} SELECT id, kind BETWEEN 2 AND 6 AS requires_human_audit, CASE kind WHEN 6 THEN 'medium' WHEN 7 THEN 'low' WHEN 1 THEN 'none' WHEN 8 THEN 'none' ELSE 'high' END AS audit_priority,
+  CASE WHEN kind > 5 THEN worth ELSE 0 END AS importance_score, CASE WHEN kind > 5 THEN array_to_string(why, '; ') ELSE '' END AS importance_reasons,
+  CASE kind WHEN 1 THEN 'Document is current — no audit required' WHEN 2 THEN 'Document is stale' WHEN 3 THEN 'Lifecycle is ''' || state || ''' — always requires review' WHEN 4 THEN 'Has hard review risk (broken links, unresolved references, etc.)'
+    WHEN 5 THEN 'Review cadence is overdue' WHEN 6 THEN 'Important document requiring review (score ' || worth || ')' ELSE 'Insufficient importance signals to require audit (score ' || worth || ')' END AS actionability_reason FROM k""")
+def audit_need(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the classified pages a person should look at, and why, with votes and families given by rules."""
+    n = F.col("doc_ord")
+    rows = _verdicts(spark, sf_dir).withColumns({"stale_votes": (n % 3).cast("int"), "has_siblings": n % 5 < 3})
+    return rows.select("id", C.actionability().alias("a")).select(
+        "id", "a.requires_human_audit", "a.audit_priority", "a.importance_score", F.array_join("a.importance_reasons", "; ").alias("importance_reasons"), "a.actionability_reason"
+    )
 
 
 # Stored scans are given as small derived tables, so that their queries have exact counterparts.
