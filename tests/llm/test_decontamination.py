@@ -113,3 +113,22 @@ def test_edges(spark):
     assert D.drop_contaminated(docs(spark), items.limit(0)).count() == 10
     assert D.drop_contaminated(none(spark), items).count() == 0
     assert D.drop_contaminated(docs(spark), items).columns == docs(spark).columns
+
+
+def test_rows_of_one_id_or_none_are_told_apart(spark):
+    item = "m0 m1 m2 m3 m4 m5 m6 m7 m8 m9 m10"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(i, f"{item} {n}" if n % 2 else f"clean text {n}", "en", "a") for i in (None, 5) for n in range(1000)]
+    kept = D.drop_contaminated(docs(spark, rows), benchmark)
+    assert sorted(r.text for r in kept.select("text").collect()) == sorted(t for _, t, *_ in rows if t.startswith("clean"))
+
+
+def test_a_long_item_is_searched_in_linear_time(spark):
+    import time
+
+    long = [f"w{i % 5003}x{i % 17}" for i in range(60_000)]
+    benchmark = spark.createDataFrame([(1, " ".join(long)), (2, "other words")], "item_id long, text string")
+    rows = [(1, " ".join(long[500:560]), "en", "a"), (2, " ".join(long[::-1]), "en", "a"), (3, " ".join(long), "en", "a")]
+    began = time.time()
+    got = {r.id: (r.n_words, r.n_hit, r["items"]) for r in D.hits(*D.find(docs(spark, rows).coalesce(1), benchmark)).collect()}
+    assert got == {1: (60, 60, ["1"]), 2: (60_000, 0, []), 3: (60_000, 60_000, ["1"])} and time.time() - began < 60

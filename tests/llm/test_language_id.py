@@ -104,3 +104,19 @@ def test_edges(spark, model):
     assert {r.lang for r in L.identify(docs(spark, clash=False), None).select("language_id.lang").collect()} == {"und"}
     kept = L.keep_identified(docs(spark, rows(60) + [(900, None, None, None), (901, "123", "en", "a")]))
     assert kept.columns == docs(spark).columns and kept.count() == 60
+
+
+def test_languages_of_rows_without_ids_or_of_one_id_are_learned(spark):
+    rng = random.Random(4)
+    given = [(None, text("en", 12, rng), "en", "a") for _ in range(3000)] + [(5, text("de", 12, rng), "de", "a") for _ in range(3000)] + [(i, text("fr", 12, rng), "fr", "a") for i in range(3000)]
+    frame = docs(spark, given)
+    assert L.train(frame).languages == ["de", "en", "fr"]
+    sample = L._sampled(frame, "text", "lang", "doc_id", 600).groupBy("label").count().collect()
+    assert all(450 < r["count"] < 750 for r in sample), sample
+
+
+def test_equal_rows_are_learned_once_and_long_texts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(L, "TRAIN_CHARS", 10_000)
+    same = [(None, "the house and the river " * 3, "en", "a")] * 2000 + [(1, "der morgen und das licht " * 100_000, "de", "a")]
+    rows = L._sampled(docs(spark, same), "text", "lang", "doc_id", 600).collect()
+    assert [r.label for r in rows].count("en") == 1 and all(len(r.text) <= 10_000 for r in rows)

@@ -56,3 +56,16 @@ def test_edges(spark):
     assert L.scan(none(spark)).count() == 0
     twice = L.scan(docs(spark, [(1, "cc by", "en", "a")] * 3)).collect()
     assert len(twice) == 3 and {r.license_scan.n_base for r in twice} == {1}
+
+
+def test_a_long_text_of_notices_is_scanned_in_linear_time(spark):
+    import time
+
+    notice = L.TEMPLATES["mit"] + " and so on "
+    took = []
+    for n in (3_000, 12_000):
+        began = time.time()
+        (row,) = L.scan(docs(spark, [(1, notice * n, "en", "a")])).collect()
+        took.append(time.time() - began)
+        assert row.license_scan.labels == ["mit"] and row.license_scan.n_words == n * len(words(notice))
+    assert took[1] < 6 * took[0] + 5, took

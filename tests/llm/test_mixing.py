@@ -85,3 +85,14 @@ def test_shards_are_written(spark, corpus, tmp_path):
     mixing.write_shards(mixed, f"file://{tmp_path}/mix", 3)
     back = spark.read.parquet(f"file://{tmp_path}/mix")
     assert back.count() == mixed.count() and {r[0] for r in back.select("mix_shard").distinct().collect()} == {0, 1, 2}
+
+
+def test_rows_without_ids_and_of_one_id_are_taken_one_by_one(spark):
+    same = [(None, "w " * 5, "en", "a")] * 700 + [(7, "w " * 5, "en", "b")] * 700  # wholly equal rows
+    rows = [(None, f"w{i} " * (1 + i % 9), "en", "a") for i in range(500)] + [(7, f"w{i} " * (1 + i % 9), "en", "c") for i in range(500)]
+    mixed = mixing.mix(docs(spark, same + rows))
+    taken = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    sizes = {s: sum(len(t.split()) for _, t, _, x in same + rows if x == s) for s in "abc"}
+    for s, t in zip("abc", mixing.targets([sizes[s] for s in "abc"]), strict=True):
+        assert abs(taken.get(s, 0) - t) <= 9, (s, taken, float(t))
+    assert mixed.count() == mixing.mix(docs(spark, same + rows)).count()

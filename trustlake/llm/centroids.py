@@ -76,7 +76,8 @@ def moved(vectors: DataFrame, centroids: np.ndarray) -> np.ndarray:
                 np.add.at(sums, best, points)
                 counts += np.bincount(best, minlength=clusters)
         some = np.flatnonzero(counts)
-        yield pd.DataFrame({"cluster": some.astype(np.int32), "n": counts[some], "sums": list(sums[some])})
+        if len(some):
+            yield pd.DataFrame({"cluster": some.astype(np.int32), "n": counts[some], "sums": list(sums[some])})
 
     parts = vectors.select("v").mapInPandas(partial, "cluster int, n long, sums array<long>")
     # exact beyond 64 bits: a component of all vectors together

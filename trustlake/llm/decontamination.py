@@ -22,7 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustlake.llm.shared import ALNUM_TABLE, free_name, released, sized_hint, table, written
@@ -33,7 +33,7 @@ NEAR_SPAN = 20
 SEGMENT_WORDS = 1_000_000
 ITEM_CHARS = 16_000_000
 
-SEGMENT = "segment long, ids array<long>, starts binary, lengths binary, terms binary, counts binary, positions binary"
+SEGMENT = "segment long, ids array<long>, keys array<long>, starts binary, lengths binary, terms binary, counts binary, positions binary"
 MATCH = "segment long, doc int, item string, kind string, spans array<struct<first:int,last:int>>"
 
 
@@ -70,7 +70,7 @@ def _unpacked(data: bytes, counts: np.ndarray) -> list[np.ndarray]:
     return [np.cumsum(x) for x in np.split(raw, ends[:-1])]
 
 
-def _segment(key: int, ids: list, terms: list[np.ndarray], lengths: list[int]) -> dict:
+def _segment(key: int, ids: list, keys: list, terms: list[np.ndarray], lengths: list[int]) -> dict:
     starts = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64) + 1)])[:-1]
     term = np.concatenate(terms) if terms else np.empty(0, np.int32)
     place = np.concatenate([np.arange(len(t)) + s for t, s in zip(terms, starts, strict=True)]) if terms else np.empty(0, np.int64)
@@ -81,36 +81,42 @@ def _segment(key: int, ids: list, terms: list[np.ndarray], lengths: list[int]) -
     distinct, first, counts = np.unique(term, return_index=True, return_counts=True)
     gaps = np.diff(place, prepend=0)
     gaps[first] = place[first]
-    return {"segment": key, "ids": ids, "starts": starts.astype("<i8").tobytes(), "lengths": np.asarray(lengths, "<i4").tobytes(), "terms": distinct.astype("<i4").tobytes(), "counts": counts.astype("<i4").tobytes(), "positions": _packed(gaps)}
+    return {"segment": key, "ids": ids, "keys": keys, "starts": starts.astype("<i8").tobytes(), "lengths": np.asarray(lengths, "<i4").tobytes(), "terms": distinct.astype("<i4").tobytes(), "counts": counts.astype("<i4").tobytes(), "positions": _packed(gaps)}
 
 
 def _arrow(rows: list[dict]) -> pa.RecordBatch:
-    kinds = [("segment", pa.int64()), ("ids", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("starts", "lengths", "terms", "counts", "positions"))]
+    kinds = [("segment", pa.int64()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("starts", "lengths", "terms", "counts", "positions"))]
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
 
 
+def _text_key(text_col: str) -> Column:
+    """What tells rows that share an id or have none apart; equal texts are hit alike."""
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The index segments of docs, written. vocabulary numbers the terms that are indexed."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, key = shared.value.get, TaskContext.get().partitionId() << 32
-        ids, terms, lengths, total = [], [], [], 0
+        ids, keys, terms, lengths, total = [], [], [], [], 0
         for batch in batches:
-            for id_, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+            for id_, same, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
                 found = words(raw.as_py())
                 ids.append(id_)
+                keys.append(same)
                 lengths.append(len(found))
                 terms.append(np.fromiter(map(number, found, repeat(-1)), np.int32, len(found)))
                 total += len(found) + 1
                 if total >= SEGMENT_WORDS:
-                    yield _arrow([_segment(key, ids, terms, lengths)])
-                    key, ids, terms, lengths, total = key + 1, [], [], [], 0
+                    yield _arrow([_segment(key, ids, keys, terms, lengths)])
+                    key, ids, keys, terms, lengths, total = key + 1, [], [], [], [], 0
         if ids:
-            yield _arrow([_segment(key, ids, terms, lengths)])
+            yield _arrow([_segment(key, ids, keys, terms, lengths)])
         released()
 
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).cast("long"), _text_key(text_col), F.col(text_col).cast("string"))
     index = written(rows.mapInArrow(segments, SEGMENT), "decontamination-index")
     shared.destroy()
     return index
@@ -137,18 +143,20 @@ def _merged(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cuts + 1])].tolist(), (starts[np.concatenate([cuts, [len(starts) - 1]])] + width - 1).tolist(), strict=True))
 
 
-def _phrases(lists: dict[int, np.ndarray], term: list[int], order: list[int], first: int, width: int) -> np.ndarray:
-    """Starts of the window term[first : first + width]; order: offsets of the item's words, rarest first."""
-    inside = [o for o in order if first <= o < first + width]
-    got = lists.get(term[inside[0]])
-    if got is None:
-        return np.empty(0, np.int64)
-    got = got - (inside[0] - first)
-    for o in inside[1:]:
-        have = lists.get(term[o])
-        if have is None:
-            return got[:0]
-        want = got + (o - first)
+def _windows(term: np.ndarray, rank: np.ndarray, firsts: np.ndarray, width: int, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, offsets) of the windows at firsts whose words are all there, each window's rarest first; there: a segment's terms, ascending."""
+    absent = np.cumsum(np.concatenate([[0], ~np.isin(term, there)]))
+    firsts = firsts[absent[firsts + width] == absent[firsts]]
+    offsets = np.argsort(np.lib.stride_tricks.sliding_window_view(rank, width)[firsts], axis=1)
+    return term[firsts[:, None] + offsets], offsets
+
+
+def _phrases(lists: dict[int, np.ndarray], window: list[int], offsets: list[int]) -> np.ndarray:
+    """Starts of a window, given its terms and their offsets, rarest first."""
+    got = lists[window[0]] - offsets[0]
+    for t, o in zip(window[1:], offsets[1:], strict=True):
+        have = lists[t]
+        want = got + o
         at = np.searchsorted(have, want)
         got = got[have[np.minimum(at, len(have) - 1)] == want]
         if not len(got):
@@ -193,20 +201,22 @@ def search(index: DataFrame, items: list[tuple[str, list[int]]], counts: dict[in
     for id_, term in items:
         order = sorted(range(len(term)), key=lambda o: (counts.get(term[o], 0), o))
         rare = list(dict.fromkeys(term[o] for o in order))[:NEAR_TERMS]
+        rank = np.empty(len(term), np.int32)
+        rank[order] = np.arange(len(term), dtype=np.int32)
         # a window with a word that no document has occurs nowhere, the item's other windows may; such a word is among the rarest
         absent = np.cumsum([0, *(t not in counts for t in term)])
         width = min(window, len(term))
-        firsts = np.flatnonzero(absent[width:] == absent[: len(absent) - width]).tolist()
-        if term and firsts:
-            plans.append((id_, term, order, [] if absent[-1] else rare, firsts))
+        firsts = np.flatnonzero(absent[width:] == absent[: len(absent) - width]).astype(np.int32)
+        if term and len(firsts):
+            plans.append((id_, np.array(term, np.int32), rank, [] if absent[-1] else rare, firsts))
     shared = index.sparkSession.sparkContext.broadcast(plans)
 
     def matches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 starts = np.frombuffer(row["starts"], "<i8")
-                terms = np.frombuffer(row["terms"], "<i4").tolist()
-                lists = dict(zip(terms, _unpacked(row["positions"], np.frombuffer(row["counts"], "<i4")), strict=True)) if terms else {}
+                there = np.frombuffer(row["terms"], "<i4")
+                lists = dict(zip(there.tolist(), _unpacked(row["positions"], np.frombuffer(row["counts"], "<i4")), strict=True)) if len(there) else {}
                 out: list[dict] = []
 
                 def put(id_: str, kind: str, places: np.ndarray, width: int, row=row, starts=starts, out=out) -> None:
@@ -216,10 +226,10 @@ def search(index: DataFrame, items: list[tuple[str, list[int]]], counts: dict[in
                         spans = [{"first": a, "last": b} for a, b in _merged(p - starts[d], width)]
                         out.append({"segment": row["segment"], "doc": d, "item": id_, "kind": kind, "spans": spans})
 
-                for id_, term, order, rare, firsts in shared.value:
+                for id_, term, rank, rare, firsts in shared.value:
                     width = min(window, len(term))
-                    hits = [_phrases(lists, term, order, s, width) for s in firsts]
-                    if len(places := np.unique(np.concatenate(hits))):
+                    hits = [_phrases(lists, *x) for x in zip(*(a.tolist() for a in _windows(term, rank, firsts, width, there)), strict=True)]
+                    if hits and len(places := np.unique(np.concatenate(hits))):
                         put(id_, "exact", places, width)
                     if len(places := _near(lists, rare, NEAR_SPAN, starts)):
                         put(id_, "near", places, 1)
@@ -234,19 +244,19 @@ _MATCH_ARROW = pa.schema([("segment", pa.int64()), ("doc", pa.int32()), ("item",
 
 
 def _directory(index: DataFrame) -> DataFrame:
-    """(segment, doc, id, n_words) of every indexed row."""
+    """(segment, doc, id, key, n_words) of every indexed row."""
 
     def rows(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 n = len(r["ids"])
-                yield pa.RecordBatch.from_pydict({"segment": pa.array([r["segment"]] * n, pa.int64()), "doc": pa.array(range(n), pa.int32()), "id": pa.array(r["ids"], pa.int64()), "n_words": pa.array(np.frombuffer(r["lengths"], "<i4").astype(np.int64))})
+                yield pa.RecordBatch.from_pydict({"segment": pa.array([r["segment"]] * n, pa.int64()), "doc": pa.array(range(n), pa.int32()), "id": pa.array(r["ids"], pa.int64()), "key": pa.array(r["keys"], pa.int64()), "n_words": pa.array(np.frombuffer(r["lengths"], "<i4").astype(np.int64))})
 
-    return index.select("segment", "ids", "lengths").mapInArrow(rows, "segment long, doc int, id long, n_words long")
+    return index.select("segment", "ids", "keys", "lengths").mapInArrow(rows, "segment long, doc int, id long, key long, n_words long")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(directory, matches): one row (segment, doc, id, n_words) per row of docs, and all matches, written."""
+    """(directory, matches): one row (segment, doc, id, key, n_words) per row of docs, and all matches, written."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // ITEM_CHARS) or 1
@@ -275,13 +285,13 @@ def hits(directory: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs in which no test window occurs. Rows that share an id go together; null ids stay unless hit, and go together."""
+    """The rows of docs in which no test window occurs. They are told by id and text, so of rows that share an id or have none only those that are hit go."""
     directory, matches = find(docs, benchmark, text_col, id_col)
     hit = sized_hint(written(matches.where("kind = 'exact'").select("segment", "doc").distinct(), "decontamination-hit"))
-    bad = free_name(docs, "bad_")
-    found = directory.join(hit, ["segment", "doc"], "left_semi").select(F.col("id").alias(bad)).distinct()
+    bad, key = free_name(docs, "bad_"), free_name(docs, "bad_key_")
+    found = directory.join(hit, ["segment", "doc"], "left_semi").select(F.col("id").alias(bad), F.col("key").alias(key)).distinct()
     found = sized_hint(written(found, "decontamination-bad"))
-    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found[bad]), "left_anti")
+    return docs.join(found, docs[id_col].cast("long").eqNullSafe(found[bad]) & (_text_key(text_col) == found[key]), "left_anti")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import free_name, slices, table
+from trustlake.llm.shared import free_name, slices, table, written
 
 ORDER = 5
 TRAIN_DOCS = 600
+#: Characters of a language that are learned or calibrate, about, and of all languages together; of a longer text the first so many.
+TRAIN_CHARS = 4_000_000
+ALL_CHARS = 32_000_000
 CALIBRATE_SHARE = 5  # one sampled row in so many calibrates
 MAX_LANGUAGES = 256
 REJECT_MARGIN = 4.0
@@ -193,17 +196,22 @@ def build(languages: list[str], counted: list[tuple[np.ndarray, np.ndarray]]) ->
 
 
 def _sampled(docs: DataFrame, text_col: str, label_col: str, id_col: str, share: int) -> DataFrame:
-    """(text, label, calibrates) of about `share` rows of each label."""
+    """(text, label, calibrates), written, of about `share` different rows of each label and TRAIN_CHARS characters.
+
+    Rows are drawn by a hash of id and text, so rows that share an id or have none are drawn one by one; equal rows are one."""
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null and text is not null")
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    own = lambda k: F.xxhash64("i", "text", F.lit(SEED + k))
+    counts = rows.groupBy("label").agg(F.approx_count_distinct(own(0)).alias("n"), F.avg(F.length("text")).alias("chars")).limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return rows.select("text", "label", F.lit(False).alias("calibrates")).limit(0)
-    limit = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, share / n)))])
-    draw = F.pmod(F.xxhash64("i", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    calibrates = F.pmod(F.xxhash64("i", F.lit(SEED + 1)), F.lit(CALIBRATE_SHARE)) == 0
-    return rows.where(draw < F.element_at(limit, F.col("label"))).select("text", "label", calibrates.alias("calibrates"))
+    chars = min(TRAIN_CHARS, ALL_CHARS // len(counts))
+    rates = {r.label: min(share, chars / max(r.chars, 1)) / max(r.n, 1) for r in counts}
+    limit = F.create_map(*[F.lit(x) for k in sorted(rates) for x in (k, min(1.0, rates[k]))])
+    draw = F.pmod(own(0), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.where(draw < F.element_at(limit, F.col("label"))).withColumn("calibrates", F.pmod(own(1), F.lit(CALIBRATE_SHARE)) == 0)
+    return written(drawn.dropDuplicates(["i", "text", "label"]).select(F.substring("text", 1, chars).alias("text"), "label", "calibrates"), "language-sample")
 
 
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model | None:

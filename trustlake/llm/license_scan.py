@@ -113,16 +113,15 @@ def found_templates(words: Column, rank: dict[str, int]) -> Column:
     half = BLOCK_WORDS // 2
     hint = reduce(lambda a, b: a | b, (F.contains(words, F.lit(w)) for w, r in rank.items() if r in index))
 
-    def known(ws: Column) -> Column:
-        """(p, r): places and ranks of the template words."""
-        placed = F.filter(F.transform(ws, lambda w, i: F.struct(i.alias("p"), w.alias("w"))), lambda x: x["w"].isin(list(rank)))
-        return F.transform(placed, lambda x: F.struct(x["p"].alias("p"), F.element_at(order, x["w"]).alias("r")))
+    def ranks_of(ws: Column) -> Column:
+        return F.transform(F.filter(ws, lambda w: w.isin(list(rank))), lambda w: F.element_at(order, w))
 
-    def starts(places: Column, n_words: Column) -> Column:
-        """Where the blocks that hold a prefix word begin."""
-        at = F.transform(F.filter(places, lambda x: x["r"].isin(list(index))), lambda x: (x["p"] - x["p"] % half).cast("int"))
-        both = F.array_distinct(F.concat(at, F.transform(at, lambda s: s - half)))
-        return F.filter(both, lambda s: (s >= 0) & ((s == 0) | (s < n_words - half)))
+    def blocks(halves: Column, n_words: Column) -> Column:
+        """(start, ranks) of the blocks that hold a prefix word: each half block with the one behind it."""
+        behind = lambda i: F.coalesce(F.get(halves, i + 1), F.array().cast("array<int>"))
+        both = F.transform(halves, lambda h, i: F.struct((i * half).alias("start"), F.array_sort(F.array_distinct(F.concat(h, behind(i)))).alias("ranks")))
+        placed = lambda b: (b["start"] == 0) | (b["start"] < n_words - half)
+        return F.filter(both, lambda b: placed(b) & F.arrays_overlap(b["ranks"], F.array(*map(F.lit, sorted(index)))))
 
     def pairs(block: Column, start: Column) -> Column:
         """The block's ranks, rarest first, looked up in the index."""
@@ -141,11 +140,9 @@ def found_templates(words: Column, rank: dict[str, int]) -> Column:
         return F.array_compact(F.flatten(F.transform(block, tried)))
 
     def scanned(ws: Column) -> Column:
-        def in_block(places: Column, s: Column) -> Column:
-            mine = F.filter(places, lambda x: (x["p"] >= s) & (x["p"] < s + BLOCK_WORDS))
-            return F.array_sort(F.array_distinct(F.transform(mine, lambda x: x["r"])))
-
-        return _let(known(ws), lambda ps: F.flatten(F.transform(starts(ps, F.size(ws)), lambda s: _let(in_block(ps, s), lambda b: pairs(b, s)))))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(ws) - 1) / half).cast("int"))
+        halves = F.transform(numbers, lambda h: ranks_of(F.slice(ws, h * half + 1, half)))
+        return _let(halves, lambda hs: F.flatten(F.transform(blocks(hs, F.size(ws)), lambda b: pairs(b["ranks"], b["start"]))))
 
     return F.when(hint, _let(F.split(words, " "), scanned)).otherwise(F.array().cast("array<struct<start:int,label:string,score:double>>"))
 

@@ -141,7 +141,8 @@ def proven(levels: list[DataFrame], ends: DataFrame) -> DataFrame:
         # a bucket's own root is its tree's root, or a node of the next round
         ended = [levels[r + 1].where("total = 1").select("tree")] if r + 1 < len(levels) else []
         ended += [levels[0].where("total = 1").select("tree")] if r == 0 else []
-        upper = reduce(DataFrame.union, ended).join(ends, "tree").withColumn("bucket", F.lit(0).cast("long"))
+        upper = ends.join(reduce(DataFrame.union, ended).select(F.col("tree").alias("ended")), F.col("tree") == F.col("ended")).drop("ended")
+        upper = upper.select(*[F.col(c).alias(c) for c in upper.columns], F.lit(0).cast("long").alias("bucket"))  # columns of their own: one row may be both
         if found is not None:
             upper = upper.unionByName(found.select("tree", F.col("number").alias("bucket"), "subroot", "root", "siblings", "places", "sizes"))
         some = _bucketed(levels[r] if r == 0 else levels[r].where("total > 1"))
@@ -179,7 +180,7 @@ def manifest(rows: DataFrame) -> DataFrame:
     tops = subroots.join(sized_hint(trees.select("tree", "trees")), "tree")
     tops = rounds(written(tops.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("number"), F.col("trees").alias("total"), "node"), "merkle-tops"))
     none = F.array().cast("array<int>")
-    ends = roots(tops).select("tree", F.lit(None).cast("string").alias("subroot"), F.col("node").alias("root"), F.lit("").alias("siblings"), none.alias("places"), none.alias("sizes"))
+    ends = roots(tops).select(F.col("tree").alias("tree"), F.lit(None).cast("string").alias("subroot"), F.col("node").alias("root"), F.lit("").alias("siblings"), none.alias("places"), none.alias("sizes"))
     ends = proven(tops, ends).select(F.col("number").alias("tree"), F.col("node").alias("subroot"), "root", "siblings", "places", "sizes")
     return proven(levels, written(ends, "merkle-ends"))
 

@@ -1,6 +1,6 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-1. Every document gets a size in words and a pseudo-random place (a hash of its id), which cuts its
+1. Every document gets a size in words and a pseudo-random place (a hash of its id and text), which cuts its
    source into permuted blocks. A source has at most MAX_BLOCKS blocks, so block tables are bounded by the
    number of sources and not by the number of documents.
 2. Targets: sources in code point order (null last) weigh 5, 2, 1 in turn and share the total size; a
@@ -15,8 +15,8 @@
 5. Inside a shard rows are ordered by a hash of row and pass: the local shuffle.
 
 Defined results: null and empty texts have size 0 and add nothing; a source without words has target 0;
-repeated rows (same id and size) are taken or left together; null ids share a place; an empty table gives no rows; other
-columns pass through.
+rows are taken one by one, also where ids are null or shared: those of one id and text are written once with numbers of their
+own, which tell their places apart; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -138,12 +138,27 @@ def _edge_units(units: DataFrame, seed: int) -> DataFrame:
     return fitted if kept is None else kept.union(fitted)
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with `row_`: 0 for a row whose id and text no other row has, else a number of its own.
+
+    Only rows that repeat are written, as their numbers follow the partitioning and are read twice."""
+    id_, text = F.col(id_col).cast("string"), F.xxhash64(F.col(text_col))
+    again = docs.groupBy(id_.alias("again_id"), text.alias("again_text")).count().where("count > 1")
+    again = written(again.select("again_id", "again_text"), "mix-again")
+    if not again.limit(1).count():
+        return docs.withColumn("row_", F.lit(0).cast("long"))
+    again = sized_hint(again)
+    same = id_.eqNullSafe(F.col("again_id")) & (text == F.col("again_text"))
+    repeated = written(docs.join(again, same, "left_semi").withColumn("row_", F.monotonically_increasing_id() + 1), "mix-repeated")
+    return docs.join(again, same, "left_anti").withColumn("row_", F.lit(0).cast("long")).unionByName(repeated)
+
+
 def placements(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, meta: DataFrame | None = None) -> DataFrame:
-    """rows (with id, source and size in the columns id_, source_, size_) with source_size, target and
+    """rows (with the columns of `sized`: id_, text_, row_, source_, size_) with source_size, target and
     `placed`, an array of (pass, shard), one for each time the mix takes the row. meta: the same rows without
     other columns, already written."""
     spark = rows.sparkSession
-    meta = rows.select("id_", "source_", "size_") if meta is None else meta
+    meta = rows.select("id_", "text_", "row_", "source_", "size_") if meta is None else meta
     known = meta.groupBy("source_").agg(F.sum("size_").alias("n"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(known) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -155,7 +170,7 @@ def placements(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights:
         blocks = min(MAX_BLOCKS, -(-r.docs // BLOCK_DOCS))
         plan.append((i, r.source_, r.n, float(t), whole, floor(t - whole * r.n), blocks))
     sources = spark.createDataFrame(plan, "s int, source string, source_size long, target double, whole int, room long, blocks int")
-    place = F.xxhash64(F.coalesce(F.col("id_").cast("string"), F.lit("")), F.lit(seed))
+    place = F.xxhash64(F.coalesce(F.col("id_").cast("string"), F.lit("")), "text_", "row_", F.lit(seed))
 
     def dealt(df: DataFrame) -> DataFrame:
         df = df.join(F.broadcast(sources), df.source_.eqNullSafe(sources.source), "inner").drop("source").withColumn("place", place)
@@ -191,15 +206,19 @@ def placements(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights:
     return out.drop("s", "block", "draws", "fits", "whole", "room", "blocks")
 
 
-def sized(docs: DataFrame, text_col: str, source_col: str, id_col: str) -> list[Column]:
-    return [F.col(id_col).alias("id_"), F.col(source_col).cast("string").alias("source_"), word_count(F.col(text_col)).alias("size_")]
+def sized(docs: DataFrame, text_col: str, source_col: str, id_col: str, row_col: str | None = None) -> list[Column]:
+    """The columns that placements takes; row_col: what tells rows of one id and text apart, see _numbered."""
+    row = F.col(row_col) if row_col else F.lit(0)
+    return [F.col(id_col).alias("id_"), F.xxhash64(F.col(text_col)).alias("text_"), row.cast("long").alias("row_"), F.col(source_col).cast("string").alias("source_"), word_count(F.col(text_col)).alias("size_")]
 
 
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """The mixed rows: every row of docs as often as it is taken, with mix_shard and mix_order (its place in the shard)."""
-    meta = written(docs.select(*sized(docs, text_col, source_col, id_col)), "mix-meta")
-    row = free_name(docs, "row_")
-    rows = docs.select(*sized(docs, text_col, source_col, id_col), F.struct(*[F.col(c) for c in docs.columns]).alias(row))
+    row = "whole_"
+    own = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(source_col).alias("s"), F.struct(*[F.col(c) for c in docs.columns]).alias(row))
+    own = _numbered(own, "i", "t")
+    meta = written(own.select(*sized(own, "t", "s", "i", "row_")), "mix-meta")
+    rows = own.select(*sized(own, "t", "s", "i", "row_"), row)
     out = placements(rows, shards, seed, meta=meta).select(row, "place", F.explode("placed").alias("d_"))
     order = F.xxhash64("place", "d_.pass", F.lit(seed + 1))
     return out.select(*[F.col(row)[c].alias(c) for c in docs.columns], F.col("d_.shard").alias(free_name(docs, "mix_shard")), order.alias(free_name(docs, "mix_order")))
@@ -211,7 +230,8 @@ def write_shards(mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    meta = written(docs.select(*sized(docs, "text", "source", "doc_id")), "mix-meta")
+    docs = _numbered(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", "text")
+    meta = written(docs.select(*sized(docs, "text", "source", "doc_id", "row_")), "mix-meta")
     out = placements(meta, meta=meta)
-    return out.select(F.col("id_").alias("doc_id"), F.col("size_").alias("size"), "source_size", "target", (F.col("size_") * F.size("placed")).alias("taken"))
+    shards = F.array_join(F.sort_array(F.transform("placed", lambda d: d["shard"])), ",")
+    return out.select(F.col("id_").alias("doc_id"), F.col("size_").alias("size"), "source_size", "target", (F.col("size_") * F.size("placed")).alias("taken"), shards.alias("shards"))
