@@ -7,15 +7,19 @@ sig_ord orders an analyzer's signals of one document.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustlake import schema
 from trustlake.functions import text as T
-from trustlake.functions.similarity import close_pairs, compared
+from trustlake.functions.similarity import BINS, PAIR, SLACK, Envelopes, close_pairs, profiled
 from trustlake.functions.web import host, private_host
+from trustlake.plans.numbering import numbered
 from trustlake.plans.tables import written
 
 AGE, SIMILARITY, VERSION_REFS, WEB_LINKS, INTERNAL_LINKS, REFERENCES = range(6)
@@ -81,25 +85,83 @@ def version_markers(docs: DataFrame, duplicate: DataFrame) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), *_SIGNAL(SIMILARITY, F.array(F.lit(1), F.col("doc_ord")), "version_marker", "critical", message, found))
 
 
-BLOCK = 512
+BLOCK = 64
+#: The blocks' envelopes are broadcast (1.6 kB each); with more classes blocks become larger.
+MAX_BLOCKS = 32_768
+_TELLING = 12  # characters whose counts vary most order the classes
+
+
+def _blocks(classes: DataFrame) -> tuple[DataFrame, int]:
+    """(classes with `block`, number of blocks): classes that are alike in length and in the characters they have stand together."""
+
+    def counted(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, sums, squares = 0, np.zeros(3 * BINS), np.zeros(3 * BINS)
+        for pdf in batches:
+            bags = np.frombuffer(b"".join(pdf["bags"]), "<i2").reshape(len(pdf), -1).astype(float)
+            n, sums, squares = n + len(pdf), sums + bags.sum(axis=0), squares + (bags * bags).sum(axis=0)
+        yield pd.DataFrame({"n": [n], "sums": [sums], "squares": [squares]})
+
+    parts = classes.select("p.bags").mapInPandas(counted, "n long, sums array<double>, squares array<double>")
+    each = parts.select("n", F.posexplode(F.arrays_zip("sums", "squares")).alias("k", "x")).groupBy("k")
+    found = each.agg(F.sum("n").alias("n"), F.sum("x.sums").alias("s"), F.sum("x.squares").alias("q")).orderBy("k").collect()  # a row a character and window
+    n = int(found[0].n) if found else 0
+    if not n:
+        return classes.withColumn("block", F.lit(0)), 0
+    mean = np.array([r.s for r in found]) / n
+    varies = np.array([r.q for r in found]) / n - mean**2
+    telling = np.argsort(-varies[:BINS], kind="stable")[:_TELLING]
+
+    @F.pandas_udf("int")
+    def kind(bags: pd.Series) -> pd.Series:
+        counts = np.frombuffer(b"".join(bags), "<i2").reshape(len(bags), -1)[:, telling]
+        return pd.Series((counts > mean[telling]) @ (1 << np.arange(_TELLING)[::-1]), dtype="int32")
+
+    rows = classes.select("*", F.floor(F.log1p(F.aggregate("p.lengths", F.lit(0), lambda s, x: s + x).cast("double")) * 12).alias("size_"), kind("p.bags").alias("kind_"))
+    size = max(BLOCK, -(-n // MAX_BLOCKS))
+    rows = numbered(rows, [F.col("size_"), F.col("kind_"), F.col("id")], "number_")
+    return rows.withColumn("block", F.expr(f"cast(number_ div {size} as int)")).drop("size_", "kind_", "number_"), -(-n // size)
+
+
+def _enveloped(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    bags = np.frombuffer(b"".join(rows["bags"]), "<i2").reshape(len(rows), -1)
+    lengths = np.stack(rows["lengths"].to_list())
+    return pd.DataFrame({"block": [key[0]], "low": [bags.min(axis=0).tobytes()], "high": [bags.max(axis=0).tobytes()], "shortest": [lengths.min(axis=0)], "longest": [lengths.max(axis=0)]})
+
+
+def block_pairs(classes: DataFrame, blocks: int, threshold: float) -> DataFrame:
+    """(i, j), i <= j: the pairs of blocks whose envelopes can reach the threshold (in hundredths), written."""
+    rows = classes.select("block", "p.bags", "p.lengths").groupBy("block").applyInPandas(_enveloped, "block int, low binary, high binary, shortest array<int>, longest array<int>")
+    spark = classes.sparkSession
+    shared = spark.sparkContext.broadcast(Envelopes(rows.orderBy("block").collect()))  # at most MAX_BLOCKS rows
+
+    def reachable(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in pdf["id"].tolist():
+                j = i + np.flatnonzero(shared.value.bounds(i) >= threshold - SLACK)
+                yield pd.DataFrame({"i": np.full(len(j), i, np.int32), "j": j.astype(np.int32)})
+
+    # early blocks meet the most others, so their numbers are dealt out by a hash
+    return written(spark.range(blocks).repartition("id").mapInPandas(reachable, "i int, j int"), "near-blocks")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = schema.SIMILARITY_THRESHOLD) -> DataFrame:
     """The older page of each pair of different contents whose similarity reaches the threshold.
 
-    Pages of equal content are one class and its newest page stands for it. The classes are dealt to blocks, and each pair of
-    blocks is one group: its pairs of classes are dropped where lengths or characters in common rule the threshold out,
-    and the rest are scored, so no pair is missed. This is quadratic in the number of classes. A page's rows
-    stand together, the one that names its newest counterpart last."""
+    Pages of equal content are one class and its newest page stands for it. Classes are dealt to blocks of alike ones. A block's
+    envelope is the least and greatest length and count of each character; only pairs of blocks whose envelopes can reach the threshold are
+    made, and only then do texts move. Their pairs of classes are dropped where lengths or characters in common rule the threshold out, and the
+    rest are scored, so no pair is missed. The work is quadratic in the classes of like length and language. A page's rows stand
+    together, the one that names its newest counterpart last."""
     newest = docs.groupBy("content_hash").agg(_newest("content").alias("r"))
-    classes = written(newest.select("r.*"), "near-classes")
-    blocks = max(8, -(-classes.count() // BLOCK))
-    parts = classes.select("id", "t", "o", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"), compared("content").alias("parts"))
-    parts = written(parts, "near-parts").withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    grouped = parts.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other")
-    grouped = grouped.repartition(min(blocks * (blocks + 1), 4000), "i", "j").groupBy("i", "j")
-    pairs = written(grouped.applyInPandas(close_pairs(threshold * 100), "id string, t long, o long, head string, head_t long, head_o long, score double, rounded double, whole string"), "near-pairs")
-    rows = pairs.join(classes.select(F.col("id").alias("head"), "title"), "head")
+    classes = written(newest.select("r.id", "r.t", "r.o", "r.title", profiled("r.content").alias("p")), "near-classes")
+    dealt, blocks = _blocks(classes.drop("title"))
+    dealt = written(dealt, "near-dealt")
+    pairs = block_pairs(dealt, blocks, threshold * 100)
+    packed = written(dealt.groupBy("block").agg(F.collect_list(F.struct("id", "t", "o", "p.parts")).alias("rows")), "near-packed")
+    both = pairs.join(packed.select(F.col("block").alias("i"), F.col("rows").alias("left")), "i").join(packed.select(F.col("block").alias("j"), F.col("rows").alias("right")), "j")
+    both = both.repartition(max(1, min(20_000, blocks * 4)), "i", "j")
+    rows = written(both.mapInPandas(close_pairs(threshold * 100), PAIR), "near-pairs")
+    rows = rows.join(classes.select(F.col("id").alias("head"), "title"), "head")
     rows = rows.repartition("id").sortWithinPartitions("id", "head_t", "head_o")
     found = schema.details(similar_to=F.col("head"), similar_title=F.col("title"), similarity=F.col("rounded"))
     order = F.array(F.lit(2), F.least(-F.col("o"), -F.col("head_o")), F.greatest(-F.col("o"), -F.col("head_o")))
