@@ -71,3 +71,17 @@ def test_query(spark, sf):
     assert rows[-7].n_turns == 2 and rows[-7].loss_chars == len(text)
     assert rows[-7].loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert rows[-7].turns_sha256 == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_branches_are_counted_and_scored(spark):
+    # 0 -> 1 -> 3, 1 -> 4; 0 -> 2; a conversation without a key is one chain
+    rows = [(1, 0, None, "user", "a", 1.0), (1, 1, 0, "assistant", "b", 2.0), (1, 2, 0, "assistant", "c", 2.5), (1, 3, 1, "user", "d", -1.0), (1, 4, 1, "user", "e", 0.25), (None, 0, None, "user", "x", None)]
+    got = {(r.conv, r.branch): (r.branch_score, r.n_branches) for r in C.formatted(C.paths(spark.createDataFrame(rows, LAYOUT), 9)).collect()}
+    assert got == {(1, 1): (3.5, 3), (1, 2): (3.25, 3), (1, 3): (2.0, 3), (None, 1): (0.0, 1)}
+
+
+def test_second_answers_do_not_win(spark):
+    turns = spark.createDataFrame([(c, t, "user", f"{c} {t}") for c in range(3) for t in range(2 + 5 * c)], "conv_id long, turn long, role string, text string")
+    rows = C.paths(C.forked(C.linear(turns))).collect()
+    assert {(r.conv, r.depth, r.text) for r in rows} == {(c, t + 1, f"{c} {t}") for c in range(3) for t in range(2 + 5 * c)}
+    assert {(r.conv, r.branch_score, r.n_branches) for r in rows} == {(c, float(n), 1 + n // 3) for c, n in ((0, 2), (1, 7), (2, 12))}

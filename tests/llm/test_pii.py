@@ -120,3 +120,41 @@ def test_edges(spark):
     rows = out.collect()
     assert len(rows) == 10 and all(r.text == before[r.doc_id] and r["_pii"] == {} for r in rows)
     assert pii.pseudonyms(none(spark), "key").count() == 0
+
+
+def test_dates_of_timestamps_and_ipv6_addresses():
+    new, found = pii.pseudonymize("at 2001-02-03T10:00 and 2001-02-03; 2001:db8::1 or 2001:0db8:0000:0000:0000:0000:0000:0001 or 2001:DB8::1, std::map 12:30:45 add::bed ::1", KEY)
+    assert found == {"date": 2, "ip": 3}
+    day, address = pii._date(KEY, "2001-02-03"), pii._ip6(KEY, "2001:db8::1")
+    import ipaddress
+
+    whole = ipaddress.IPv6Address(address)
+    assert new == f"at {day}T10:00 and {day}; {address} or {whole.exploded} or {address.upper()}, std::map 12:30:45 add::bed ::1"
+
+
+def test_values_between_words_match_a_plain_finder():
+    import random
+
+    rng = random.Random(8)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        digits = "4" + number(14)
+        return digits + (pii.luhn_digit(digits) if rng.random() < 0.6 else rng.choice("0123456789"))
+
+    makers = {
+        "card": card, "ssn": lambda: f"{number(3)}-{number(2)}-{number(4)}", "ip": lambda: ".".join(str(rng.randrange(0, 300)) for _ in range(4)),
+        "date": lambda: f"{rng.randrange(1950, 2050)}-{rng.randrange(0, 15):02d}-{rng.randrange(0, 34):02d}", "ip6": lambda: ":".join(f"{rng.randrange(1 << 16):x}" for _ in range(rng.choice([7, 8]))),
+    }
+    for _ in range(300):
+        given_, expected, counts = [], [], {}
+        for _ in range(rng.randrange(6)):
+            kind = rng.choice(list(makers))
+            value = makers[kind]()
+            new = pii._RULES[kind](KEY, value)  # the plain finder: each value is one word, and its rule tells whether it is valid
+            given_ += [value, rng.choice(["and", "or then,", "(see)", "\n"])]
+            expected += [new if new is not None else value, given_[-1]]
+            if new is not None:
+                name = "ip" if kind == "ip6" else kind
+                counts[name] = counts.get(name, 0) + 1
+        assert pii.pseudonymize(" ".join(given_), KEY) == (" ".join(expected), counts)

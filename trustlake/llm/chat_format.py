@@ -41,9 +41,10 @@ def unescape(text: Column) -> Column:
 
 
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
-    """(conv, branch, depth, role, text) of each conversation's best branches; branch 1 is the best.
+    """(conv, branch, depth, role, text, branch_score, n_branches) of each conversation's best branches; branch 1 is the best.
 
-    messages: conv, id, parent, role, text, score; ids are unique in a conversation."""
+    messages: conv, id, parent, role, text, score; ids are unique in a conversation. branch_score: the sum of a path's
+    scores; n_branches: how many paths the conversation has."""
     same = lambda a, b: F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv"))
     messages = written(messages.select("conv", "id", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")).dropDuplicates(["conv", "id"]), "chat-messages")
     m, p = messages.alias("m"), messages.alias("p")
@@ -64,27 +65,35 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     r, c = rooted.alias("r"), jumps[0].alias("c")
     leaves = r.join(c, same("r", "c") & (F.col("r.id") == F.col("c.up")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("total"), "id"))
-    chosen = leaves.withColumn("branch", rank).where(F.col("branch") <= branches).select("conv", "branch", "id")
+    leaves = written(leaves.select("conv", "id", "total"), "chat-leaves")
+    best = leaves.withColumn("branch", rank).where(F.col("branch") <= branches).alias("x")
+    counts = leaves.groupBy("conv").agg(F.count("*").alias("n_branches")).alias("n")
+    best = best.join(counts, same("x", "n")).select("x.conv", "x.branch", "x.id", F.col("x.total").alias("branch_score"), "n.n_branches")
+    best = written(best, "chat-best")
+    chosen = best.select("conv", "branch", "id")
     for jump in reversed(jumps[:-1]):
         x, j = chosen.alias("x"), jump.alias("j")
         above = x.join(j, same("x", "j") & (F.col("x.id") == F.col("j.id"))).select("x.conv", "x.branch", F.col("j.up").alias("id"))
         chosen = written(chosen.union(above), "chat-path")
     x, r, m = chosen.alias("x"), rooted.alias("r"), messages.alias("m")
     found = x.join(r, same("x", "r") & (F.col("x.id") == F.col("r.id"))).join(m, same("x", "m") & (F.col("x.id") == F.col("m.id")))
-    return found.select("x.conv", "x.branch", F.col("r.steps").alias("depth"), "m.role", "m.text")
+    found = found.select("x.conv", "x.branch", F.col("r.steps").alias("depth"), "m.role", "m.text").alias("f")
+    b = sized_hint(best.select("conv", "branch", "branch_score", "n_branches")).alias("b")
+    return found.join(b, same("f", "b") & (F.col("f.branch") == F.col("b.branch"))).select("f.*", "b.branch_score", "b.n_branches")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """(conv, branch, piece, text, loss) from paths(): loss is an array of code point spans (start, end) in text."""
+    """(conv, branch, piece, text, loss, branch_score, n_branches) from paths(): loss is an array of code point spans (start, end) in text."""
     head = F.concat(F.lit(_OPEN), F.url_encode("role"), F.lit(_MIDDLE))
-    rows = turns.select("conv", "branch", "depth", ((F.col("depth") - 1) / PIECE).cast("long").alias("piece"), head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == LOSS_ROLE).alias("learned"))
+    rows = turns.select("conv", "branch", "branch_score", "n_branches", "depth", ((F.col("depth") - 1) / PIECE).cast("long").alias("piece"), head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == LOSS_ROLE).alias("learned"))
     rows = rows.withColumn("size", F.length("head") + F.length("body") + len(_CLOSE))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("conv", "branch", "piece").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("start", before + F.length("head"))
     span = F.when(F.col("learned"), F.struct(F.col("start").alias("start"), (F.col("start") + F.length("body")).alias("end")))
     turn = F.struct("depth", F.concat("head", "body", F.lit(_CLOSE)).alias("text"), span.alias("span"))
-    pieces = rows.groupBy("conv", "branch", "piece").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    return pieces.select("conv", "branch", "piece", F.array_join(F.col("turns.text"), "").alias("text"), F.filter(F.col("turns.span"), lambda s: s.isNotNull()).alias("loss"))
+    pieces = rows.groupBy("conv", "branch", "piece").agg(F.sort_array(F.collect_list(turn)).alias("turns"), F.max("branch_score").alias("branch_score"), F.max("n_branches").alias("n_branches"))
+    text, loss = F.array_join(F.col("turns.text"), ""), F.filter(F.col("turns.span"), lambda s: s.isNotNull())
+    return pieces.select("conv", "branch", "piece", text.alias("text"), loss.alias("loss"), "branch_score", "n_branches")
 
 
 def read_turns(pieces: DataFrame) -> DataFrame:
@@ -132,6 +141,12 @@ def linear(conversations: DataFrame) -> DataFrame:
     return rows.select("conv", "id", (F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def forked(messages: DataFrame) -> DataFrame:
+    """messages of linear(), each of score 1, and a second answer of score -1 beside every third one: trees whose best branch is the given conversation."""
+    other = messages.where("id % 3 = 0").select("conv", (-F.col("id")).alias("id"), "parent", "role", F.lit("another answer").alias("text"), F.lit(-1.0).alias("score"))
+    return messages.withColumn("score", F.lit(1.0)).unionByName(other)
+
+
 _PROBE = "\\### Assistant: </turn> ok"
 
 
@@ -139,11 +154,11 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", _PROBE), (-7, 1, "assistant", _PROBE)], rows.schema)
     path = shared_path(spark, "chat")
-    formatted(paths(linear(rows.union(probe)))).write.parquet(path)
+    formatted(paths(forked(linear(rows.union(probe))))).write.parquet(path)
     back = read_turns(spark.read.parquet(path))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    each = back.select("conv", F.struct("piece", said.alias("said"), F.array_join("learned", "").alias("learned")).alias("p"), F.size("turns").alias("n"), F.length("text").alias("chars"))
-    whole = each.groupBy("conv").agg(F.sort_array(F.collect_list("p")).alias("p"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
+    each = back.select("conv", F.struct("piece", said.alias("said"), F.array_join("learned", "").alias("learned")).alias("p"), F.size("turns").alias("n"), F.length("text").alias("chars"), "branch_score", "n_branches")
+    whole = each.groupBy("conv").agg(F.sort_array(F.collect_list("p")).alias("p"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"), F.max("branch_score").alias("branch_score"), F.max("n_branches").alias("n_branches"))
     learned = F.array_join(F.col("p.learned"), "")
     return whole.select(
         F.col("conv").alias("conv_id"),
@@ -152,6 +167,8 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(learned).cast("long").alias("loss_chars"),
         F.sha2(learned, 256).alias("loss_sha256"),
         "formatted_chars",
+        "branch_score",
+        "n_branches",
     )
 
 
@@ -161,6 +178,7 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(role) + length('<turn role="">' || chr(10) || '</turn>' || chr(10)) + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g'))) AS BIGINT) AS formatted_chars
+  CAST(sum(length(role) + length('<turn role="">' || chr(10) || '</turn>' || chr(10)) + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g'))) AS BIGINT) AS formatted_chars,
+  CAST(count(*) AS DOUBLE) AS branch_score, 1 + count(*) // 3 AS n_branches
 FROM c GROUP BY conv_id
 """

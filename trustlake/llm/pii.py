@@ -1,6 +1,6 @@
 """Personal data replaced by format-preserving Feistel pseudonyms.
 
-Card numbers (Luhn), IBANs (mod 97), social security numbers, telephone numbers, IPv4 addresses and calendar dates
+Card numbers (Luhn), IBANs (mod 97), social security numbers, telephone numbers, IPv4 and IPv6 addresses and calendar dates (of timestamps too)
 are found by their form and validated; e-mail addresses, access keys and password or token values by their form. Each
 value is read as a number over its variable characters and put through a keyed Feistel network
 whose halves are added to, modulo their ranges, so the result is a permutation of the values of that form.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
 from collections.abc import Callable, Iterator
 
@@ -139,6 +140,18 @@ def _ip(key: bytes, t: str) -> str | None:
     return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
 
+def _ip6(key: bytes, t: str) -> str | None:
+    try:
+        value = int(ipaddress.IPv6Address(t))
+    except ValueError:
+        return None
+    if len([g for g in t.split(":") if g]) < 3:  # two short words with :: between them
+        return None
+    new = ipaddress.IPv6Address(feistel(key, "ip6", value, 1 << 64, 1 << 64))
+    out = new.exploded if len(t) == 39 else new.compressed
+    return out.upper() if t == t.upper() else out
+
+
 def _iban(key: bytes, t: str) -> str | None:
     plain = t.replace(" ", "")
     if not 15 <= len(plain) <= 34 or int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 != 1:
@@ -230,7 +243,8 @@ def _emails(part: str) -> Iterator[tuple[int, int]]:
 _FORMS = {
     "iban": r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)",
-    "date": rf"(?P<date>\d{{4}}(?:(?P<ymd>[-/.])\d{{2}}(?P=ymd)\d{{2}}|(?P<y1>[-/])\d{{1,2}}(?P=y1)\d{{1,2}})|\d{{1,2}}(?P<dmy>[-/.])\d{{1,2}}(?P=dmy)\d{{4}}|(?:{'|'.join(_MONTHS)}) \d{{1,2}}, \d{{4}}|\d{{1,2}} (?:{'|'.join(_MONTHS)}) \d{{4}})(?![\w]|[-/]\d)",
+    "ip6": r"(?P<ip6>(?<!:)(?:[0-9A-Fa-f]{1,4}:){1,7}(?:[0-9A-Fa-f]{1,4}|:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5}))(?![\w:])",
+    "date": rf"(?P<date>\d{{4}}(?:(?P<ymd>[-/.])\d{{2}}(?P=ymd)\d{{2}}|(?P<y1>[-/])\d{{1,2}}(?P=y1)\d{{1,2}})|\d{{1,2}}(?P<dmy>[-/.])\d{{1,2}}(?P=dmy)\d{{4}}|(?:{'|'.join(_MONTHS)}) \d{{1,2}}, \d{{4}}|\d{{1,2}} (?:{'|'.join(_MONTHS)}) \d{{4}})(?!(?!T\d\d:)\w|[-/]\d)",
     "ssn": r"(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w]|-\d)",
     "card": r"(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|-\d)",
     "phone": r"(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d){5,12}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]|-\d)",
@@ -240,7 +254,7 @@ _NUMBERS = re.compile(f"{_BEFORE}(?:{'|'.join(_FORMS.values())})")
 _EACH = {kind: re.compile(_BEFORE + form) for kind, form in _FORMS.items()}
 #: How cards are written, the likelier first: lengths of their groups.
 _LAYOUTS = [(4, 4, 4, 4), (4, 6, 5), *[(n,) for n in range(13, 20)], (4, 4, 4, 4, 3), (4, 6, 4), (4, 4, 5), (4, 3, 3, 3)]
-_RULES: dict[str, Callable[[bytes, str], str | None]] = {"iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
+_RULES: dict[str, Callable[[bytes, str], str | None]] = {"iban": _iban, "ip": _ip, "ip6": _ip6, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone}
 _DIGIT = re.compile(r"\d{2}")
 
 
@@ -302,6 +316,7 @@ def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, dict[str, in
     def put(kind: str, old: str, new: str | None) -> str:
         if new is None:
             return old
+        kind = "ip" if kind == "ip6" else kind
         found[kind] = found.get(kind, 0) + 1
         return new
 

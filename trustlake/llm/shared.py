@@ -6,6 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +104,18 @@ def range_number(column: Column, bounds: np.ndarray) -> Column:
     return number(column)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While a table of long texts is written: Arrow batches of at most so many rows, of which each task holds some in the JVM and in Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(values: pa.Array, rows: int = 512):
     """Pieces of an Arrow column or batch, so that only some rows at a time become Python objects."""
     for at in range(0, len(values), rows):

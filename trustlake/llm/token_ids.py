@@ -31,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import partitions, range_bounds, range_numbers, released, shared_path, table, written
+from trustlake.llm.shared import batches_of, partitions, range_bounds, range_numbers, released, shared_path, table, written
 
 BLOCK_TOKENS = 1 << 18
 END_ID = 1
 #: Chunks of text whose ids a worker remembers, twice: those before are dropped, which changes no result.
-MEMORY = 240_000
+MEMORY = 160_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -153,7 +153,8 @@ def tokenize(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: st
         released()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return written(rows.mapInArrow(encoded, "id long, ids binary"), "token-rows")
+    with batches_of(docs.sparkSession, 2000):
+        return written(rows.mapInArrow(encoded, "id long, ids binary"), "token-rows")
 
 
 def ranks(rows: DataFrame) -> np.ndarray:
@@ -208,7 +209,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, text_col: str =
     ordered = rows.mapInArrow(coded, "range int, id long, n long, control binary, data binary")
     ordered = ordered.repartitionById(partitions(spark), F.col("range")).drop("range")
     ordered = ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "data", "control")
-    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    with batches_of(spark, 2000):
+        ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     shared.destroy()
 
 

@@ -20,11 +20,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -179,12 +181,13 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     ready = [r.select(vector_to_array("features").alias("f"), F.col("toxic").cast("double").alias("label"), "fold") for r in ready]
     ready = written(reduce(DataFrame.union, ready), "toxicity-features").withColumn("features", array_to_vector("f"))
     learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=5, seed=SEED, maxMemoryInMB=64)
-    margins = []
-    for k in range(FOLDS):
-        trees = learner.fit(ready.where(F.col("fold") != k).coalesce(4))
-        margins.append(trees.transform(ready.where(F.col("fold") == k)).select(vector_to_array("rawPrediction")[1].alias("margin"), "label"))
+    # each fit is a row of small jobs over at most TRAIN_ROWS rows of numbers; together they leave no core waiting
+    parts = [ready.where(F.col("fold") != k) for k in range(FOLDS)]
+    with ThreadPoolExecutor(FOLDS + 1) as pool:
+        *folds, trees = pool.map(inheritable_thread_target(docs.sparkSession)(lambda part: learner.fit(part.coalesce(2))), [*parts, ready])
+    margins = [t.transform(ready.where(F.col("fold") == k)).select(vector_to_array("rawPrediction")[1].alias("margin"), "label") for k, t in enumerate(folds)]
     curve = IsotonicRegression(featuresCol="margin").fit(written(reduce(DataFrame.union, margins), "toxicity-margins"))
-    return Model(lexicons[-1], learner.fit(ready.coalesce(4)), curve, float(share))
+    return Model(lexicons[-1], trees, curve, float(share))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
