@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustlake.operators import signals as S
+from trustlake.operators.history import reference_summary
 from trustlake.plans.audit import Settings, audit
 from trustlake.schema import DOCUMENT
 from trustlake.sources.demo import demo
@@ -175,3 +176,34 @@ def test_partitions_do_not_matter(spark, n):
 
 def test_empty(spark):
     assert audit(pages(spark), Settings(NOW)).count() == 0
+
+
+def test_a_title_of_many_pages_is_one_row_for_its_referrers(spark, monkeypatch):
+    monkeypatch.setattr(S, "LISTED", 50)
+    n = 200
+    docs = S.prepare(pages(spark, *[{"title": "Shared" if i % 2 else f"Own {i}", "content": "See Shared" if i % 3 else "nothing"} for i in range(n)], {"title": "Two v1"}, {"title": "Two v2", "content": "See Two"}))
+    found = S.references(docs)
+    shared = {f"d{i}" for i in range(1, n, 2)}
+    rows = {r.doc_id: r for r in found.collect()}
+    assert set(rows) == {f"d{i}" for i in range(n) if i % 3} | {f"d{n + 1}"}
+    for i in (i for i in range(n) if i % 3):
+        r = rows[f"d{i}"]
+        count = len(shared - {r.doc_id})
+        assert r.message == f"References 'Shared' which matches {count} documents" and r.details.matching_count == count
+        assert r.details.matching_doc_ids is None and r.details.matching_class == "exact:shared"
+    assert rows[f"d{n + 1}"].details.resolved_doc_id == f"d{n}"
+    got = {}
+    for r in S.matching_pages(found, docs).collect():
+        got.setdefault(r.doc_id, set()).add(r.match_id)
+    assert got == {f"d{i}": shared - {f"d{i}"} for i in range(n) if i % 3}
+
+
+def test_one_class_row_serves_many_referrers_of_a_hot_title(spark, monkeypatch):
+    monkeypatch.setattr(S, "LISTED", 2)
+    docs = S.prepare(pages(spark, {"title": "T v1"}, {"title": "T v2"}, {"title": "T v3", "content": "See T"}, {"title": "T v4"}, {"content": "See T\nSee T v2"}))
+    got = {(r.doc_id, *r.sig_ord): r for r in S.references(docs).collect()}
+    assert got["d2", 0].details.matching_class == "base:t" and got["d2", 0].details.matching_count == 3
+    assert got["d4", 0].details.matching_count == 4 and got["d4", 1].details.resolved_doc_id == "d1"
+    results = audit(docs.select("doc_ord", "id", "title", "content", "source_type", "url", "last_modified", "archived", "metadata", "metadata_links", "links"), Settings(NOW))
+    incoming = {r.document_id: r.incoming for r in reference_summary(results).collect()}
+    assert incoming == {"d0": ["Page e", "T v3"], "d1": ["Page e", "Page e", "T v3"], "d2": ["Page e"], "d3": ["Page e", "T v3"], "d4": []}

@@ -191,3 +191,34 @@ def test_continuous_scans(spark, tmp_path):
     for _ in range(2):
         watch(spark, str(tmp_path / "in"), store, Settings(NOW, near_duplicates=False), str(tmp_path / "c")).awaitTermination()
     assert store.scans().count() == 1 and store.results().count() == 10 and latest(docs.union(docs)).count() == 10
+
+
+def test_a_demo_starts_from_an_empty_store_and_a_scan_can_leave_none(spark, tmp_path, capsys, monkeypatch):
+    folder = str(tmp_path / "s")
+    for _ in range(2):
+        assert cli.main(["--store", folder, "demo"]) == 0
+        assert "Scan 1: 6 new" in capsys.readouterr().out
+    assert Store(spark, folder).scans().count() == 1
+    assert Store(spark, folder).try_start(datetime.now(UTC))
+    assert cli.main(["--store", folder, "demo"]) == 1
+    monkeypatch.chdir(tmp_path)
+    page = {"id": "7", "title": "T", "body": {"storage": {"value": "<p>text</p>"}}, "space": {"key": "ENG"}}
+    (tmp_path / "pages.json").write_text(json.dumps(page))
+    assert cli.main(["scan", "--no-db", "--source", "confluence", "--pages", str(tmp_path / "pages.json"), "--space", "ENG"]) == 0
+    assert "1 unknown" in capsys.readouterr().out and not (tmp_path / "trustlake-store").exists()
+    with pytest.raises(ValueError, match="needs"):
+        cli.main(["scan", "--no-db", "--source", "confluence", "--pages", str(tmp_path / "pages.json")])
+
+
+def test_a_scan_counts_while_it_writes(spark, tmp_path):
+    """No job of its own counts the results or the changes of findings."""
+    store, jobs = Store(spark, str(tmp_path / "s")), []
+    tracker = spark.sparkContext.statusTracker()
+    for label, mode in (("first", "full"), ("again", "full")):
+        spark.sparkContext.setJobGroup(label, label)
+        _, results, counts = store.run(demo(spark, NOW), Settings(NOW, near_duplicates=False), mode=mode)
+        jobs.append(len(tracker.getJobIdsForGroup(label)))
+        assert results.count() == 10
+        assert store.scans().orderBy(F.desc("scan_id")).first().document_count == 10
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert counts == {"new": 0, "updated": 6, "reopened": 0, "auto_fixed": 0}

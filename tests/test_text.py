@@ -99,3 +99,25 @@ def test_fields_read_from_their_lines_are_those_of_the_text(spark):
     both = [F.struct(T.body_metadata(F.col(x)).alias("m"), F.map_entries(T.applicability(F.col(x))).alias("s")) for x in ("c", "l")]
     wrong = frame.select("c", "l", both[0].alias("a"), both[1].alias("b")).where("not (a <=> b)").limit(5).collect()
     assert wrong == [] and frame.where("l <> ''").count() > 1000
+
+
+def test_private_hosts_as_columns_equal_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    from trustlake.functions import addresses as A
+
+    rng, hosts = random.Random(1), []
+    for net in map(ipaddress.ip_network, (*A.HIDDEN_V4, *A.SHOWN_V4, *A.HIDDEN_V6, *A.SHOWN_V6, "64:ff9b:1::/48", "::ffff:0:0/96", "fec0::/10", "100.64.0.0/10")):
+        low, high = int(net.network_address), int(net.broadcast_address)
+        kind = type(net.network_address)
+        for n in (low - 1, low, low + 1, high - 1, high, high + 1, rng.randint(low, high)):
+            if 0 <= n < 1 << net.max_prefixlen:
+                a = kind(n)
+                hosts += [str(a)] if net.version == 4 else [f"[{a}]", f"[{a.exploded}]"]
+    hosts += ["[::ffff:10.0.0.1]", "[::ffff:8.8.8.8]", "[64:ff9b::8.8.8.8]", "[2606:4700::1.2.3.4]", "[2606:4700:0:0:0:0:1.2.3.400]", "[2606:4700::01.2.3.4]", "[fe80::1%eth0]", "[2606::1%]", "[1::2::3]", "[1:2:3:4:5:6:7:8:9]", "[:1::2]", "[1:::2]", "[12345::]", "[g::]", "[::]", "[1:2:3:4:5:6:7::]"]
+    hosts += ["256.1.1.1", "10.0.0", "010.0.0.1", "10.0.0.1.", "1.2.3.4.5", "LOCALHOST", "a.localhost", "localhost.example", "", "10.0.0.1:80", "user@10.0.0.1", "user:10.0.0.2@example.org", "[::1", "::1]", "x[::1]", "[::1]:8080"]
+    urls = [f"{scheme}://{h}/p?q#f" for h in hosts for scheme in ("http", "HTTPS")] + ["10.0.0.1", "//10.0.0.1/x", "mailto:a@10.0.0.1", None, "http:/10.0.0.1/", "http://example.org/10.0.0.1", "http://example.org?x@10.0.0.1"]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", A.private_host("u").alias("p")).collect()
+    assert {r.u: r.p for r in rows} == {u: is_private(u) for u in urls}
+    assert 0.2 < sum(r.p for r in rows) / len(rows) < 0.9

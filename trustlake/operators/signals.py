@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from trustlake import schema
 from trustlake.functions import text as T
+from trustlake.functions.addresses import private_host
+from trustlake.functions.clues import body_clues
 from trustlake.functions.similarity import BINS, PAIR, SLACK, Envelopes, close_pairs, profiled
-from trustlake.functions.web import host, private_host
+from trustlake.functions.web import host
 from trustlake.plans.numbering import numbered
 from trustlake.plans.tables import written
 
@@ -42,6 +44,7 @@ def prepare(docs: DataFrame) -> DataFrame:
         .withColumn("pm", T.body_metadata(F.col("lines_")))
         .withColumn("scope", T.applicability(F.col("lines_")))
         .withColumn("version_key", T.version_key(F.col("title"), F.col("content")))
+        .withColumn("body_clues", body_clues(F.col("content")))
         .drop("lines_")
     )
 
@@ -213,36 +216,77 @@ def broken_links(docs: DataFrame, probes: DataFrame) -> DataFrame:
     return rows.select("doc_id", *_SIGNAL(WEB_LINKS, F.array("k"), "broken_link", "warning", message, found))
 
 
-def _by_key(docs: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
-    """(key, targets: id and title in fetch order) of the keys that are asked for."""
-    rows = docs.select(key.alias("key"), F.struct("doc_ord", "id", "title").alias("d")).where("key is not null")
-    rows = rows.join(wanted.distinct(), "key", "left_semi")
-    return rows.groupBy("key").agg(F.array_sort(F.collect_list("d")).alias("targets"))
+#: A reference that matches at most so many pages lists them; of a larger class it names the class and the number, and matching_pages has the rest.
+LISTED = 256
+_PAGE = "array<struct<doc_ord:bigint,id:string,title:string>>"
 
 
-def _others(targets: str) -> Column:
-    return F.filter(F.coalesce(F.col(targets), F.array().cast("array<struct<doc_ord:bigint,id:string,title:string>>")), lambda d: d["id"] != F.col("id"))
+def _classes(docs: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """(key, n, first, second, listed) of the pages of each key that is asked for: their number, the first two, and all of them up to LISTED + 1.
+
+    One row a key, whatever number of pages has it: what is joined to references does not grow with a class."""
+    page = F.struct("doc_ord", "id", "title")
+    rows = docs.select(key.alias("key"), page.alias("d")).where("key is not null").join(wanted.where("key is not null").distinct(), "key", "left_semi")
+    rows = written(rows, "class-members")
+    first = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("d").alias("first"))
+    # the second is the least that is not the first; a hot key is reduced before it is joined
+    later = rows.join(first.where("n > 1").select("key", "first"), "key").where("d.id <> first.id").groupBy("key").agg(F.min("d").alias("second"))
+    small = first.where(f"n between 2 and {LISTED + 1}").select("key")
+    lists = rows.join(small, "key", "left_semi").groupBy("key").agg(F.array_sort(F.collect_list("d")).alias("listed"))
+    return first.join(later, "key", "left").join(lists, "key", "left")
 
 
 def _cascade(rows: DataFrame, docs: DataFrame, steps: list[tuple[str, Column, Column]]) -> DataFrame:
-    """rows with `step` and `targets`: the first step (name, key of rows, key of docs) with documents other than the row's own."""
-    names = []
+    """rows with the first step (name, key of rows, key of docs) that leads to other pages than the row's own: `step`, `key`, `n` of these pages,
+    `one` if it is one, `listed` if they are few. rows have own_<name>, the key of docs of their own page."""
+    hits = []
     for name, mine, theirs in steps:
         rows = rows.withColumn(f"key_{name}", mine)
-        index = _by_key(docs, theirs, rows.select(F.col(f"key_{name}").alias("key")))
-        rows = rows.join(index.select(F.col("key").alias(f"key_{name}"), F.col("targets").alias(f"targets_{name}")), f"key_{name}", "left")
-        rows = rows.withColumn(f"targets_{name}", _others(f"targets_{name}"))
-        names.append(name)
-    hit = [F.when(F.size(f"targets_{n}") > 0, F.struct(F.lit(n).alias("step"), F.col(f"targets_{n}").alias("targets"))) for n in names]
-    return rows.withColumn("hit", F.coalesce(*hit)).drop(*[f"{p}_{n}" for n in names for p in ("key", "targets")]).select("*", "hit.step", "hit.targets").drop("hit")
+        found = _classes(docs, theirs, rows.select(F.col(f"key_{name}").alias("key")))
+        rows = rows.join(found.select(F.col("key").alias(f"key_{name}"), F.struct("n", "first", "second", "listed").alias(f"class_{name}")), f"key_{name}", "left")
+        c, own = F.col(f"class_{name}"), F.coalesce(F.col(f"key_{name}") == F.col(f"own_{name}"), F.lit(False))
+        others = F.filter(c["listed"], lambda d: d["id"] != F.col("id"))
+        n = c["n"] - own.cast("int")
+        one = F.when(n == 1, F.when(own & (c["first"]["id"] == F.col("id")), c["second"]).otherwise(c["first"]))
+        hits.append(F.when(n > 0, F.struct(F.lit(name).alias("step"), F.col(f"key_{name}").alias("key"), n.cast("int").alias("n"), one.alias("one"), others.alias("listed"))))
+    rows = rows.withColumn("hit", F.coalesce(*hits))
+    rows = rows.drop(*[f"{p}_{name}" for name, *_ in steps for p in ("key", "class", "own")])
+    return rows.select("*", "hit.step", "hit.key", F.coalesce("hit.n", F.lit(0)).alias("n"), "hit.one", "hit.listed").drop("hit")
+
+
+def _matching() -> dict[str, Column]:
+    """The details of a row of _cascade that matches several pages."""
+    several, large = F.col("n") > 1, (F.col("n") > 1) & F.col("listed").isNull()
+    return {
+        "matching_doc_ids": F.when(several, F.col("listed.id")), "matching_titles": F.when(several, F.col("listed.title")),
+        "matching_class": F.when(large, F.concat_ws(":", "step", "key")), "matching_count": F.when(large, F.col("n")),
+    }
+
+
+def _page_keys(docs: DataFrame) -> dict[str, Column]:
+    """The keys that references (exact, base) and links (id, url, title, base) look pages up by."""
+    slash = lambda c: F.regexp_replace(c, "/+$", "")
+    return {"exact": F.lower("title"), "base": F.col("base"), "id": F.col("id"), "url": slash(F.nullif(F.col("url"), F.lit(""))), "title": F.lower("title")}
+
+
+def matching_pages(signals: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, analyzer_ord, sig_ord, match_id, match_title): each page that a signal matches if it matches several, of large classes too."""
+    listed = signals.select("doc_id", "analyzer_ord", "sig_ord", F.explode(F.arrays_zip("details.matching_doc_ids", "details.matching_titles")).alias("m"))
+    listed = listed.select("doc_id", "analyzer_ord", "sig_ord", F.col("m.matching_doc_ids").alias("match_id"), F.col("m.matching_titles").alias("match_title"))
+    named = signals.where("details.matching_class is not null").select("doc_id", "analyzer_ord", "sig_ord", F.col("details.matching_class").alias("class"))
+    keys = [F.concat_ws(":", F.lit(name), key) for name, key in _page_keys(docs).items()]
+    pages = docs.select(F.col("id").alias("match_id"), F.col("title").alias("match_title"), F.explode(F.array(*keys)).alias("class"))
+    pages = pages.join(named.select("class").distinct(), "class", "left_semi")
+    return listed.unionByName(named.join(pages, "class").where("match_id <> doc_id").drop("class"))
 
 
 def references(docs: DataFrame) -> DataFrame:
     """Titles that a page refers to: found once, several times or not at all among the pages of the scan."""
-    rows = docs.select("id", F.posexplode(T.references(F.col("content"))).alias("k", "ref")).withColumn("norm", T.base_title(F.col("ref")))
+    keys = _page_keys(docs)
+    rows = docs.select("id", keys["exact"].alias("own_exact"), keys["base"].alias("own_base"), F.posexplode(T.references(F.col("content"))).alias("k", "ref")).withColumn("norm", T.base_title(F.col("ref")))
     rows = written(rows, "references")  # texts are read once, and what is joined are titles
-    rows = _cascade(rows, docs, [("exact", F.lower("ref"), F.lower("title")), ("base", F.col("norm"), F.col("base"))])
-    n, one = F.coalesce(F.size("targets"), F.lit(0)), F.get("targets", 0)
+    rows = _cascade(rows, docs, [("exact", F.lower("ref"), keys["exact"]), ("base", F.col("norm"), keys["base"])])
+    n, one = F.col("n"), F.col("one")
     variant = F.col("step") == "base"
     kind = F.when(n == 1, "resolved_reference").when(n > 1, "ambiguous_reference").otherwise("unresolved_reference")
     message = (
@@ -252,9 +296,8 @@ def references(docs: DataFrame) -> DataFrame:
     )
     loose = (n != 1) | variant
     found = schema.details(
-        referenced_title=F.col("ref"), resolved_doc_id=F.when(n == 1, one["id"]), resolved_title=F.when(n == 1, one["title"]),
-        normalized_reference=F.when(loose, F.col("norm")), match_type=F.when((n == 1) & variant, "base_title_variant"), resolution_scope=F.when(loose, "scan_scope"),
-        matching_doc_ids=F.when(n > 1, F.col("targets.id")), matching_titles=F.when(n > 1, F.col("targets.title")),
+        referenced_title=F.col("ref"), resolved_doc_id=one["id"], resolved_title=one["title"],
+        normalized_reference=F.when(loose, F.col("norm")), match_type=F.when((n == 1) & variant, "base_title_variant"), resolution_scope=F.when(loose, "scan_scope"), **_matching(),
     )
     return rows.select(F.col("id").alias("doc_id"), *_SIGNAL(REFERENCES, F.array("k"), kind, F.when(n == 1, "info").otherwise("warning"), message, found))
 
@@ -266,16 +309,16 @@ _BACKLINK = T.rx(r"\b(?:migration\s+from|migrat(?:e[ds]?|ing)\s+from|upgrade\s+f
 
 def internal_links(docs: DataFrame) -> DataFrame:
     """Structured links: to one page (a replacement, a predecessor or plain), to several, or to none though they look internal."""
-    rows = docs.select("id", F.col("url").alias("page"), F.posexplode("links").alias("k", "l"))
+    keys = _page_keys(docs)
+    rows = docs.select("id", F.col("url").alias("page"), *[keys[k].alias(f"own_{k}") for k in ("id", "url", "title", "base")], F.posexplode("links").alias("k", "l"))
     some = lambda c: F.nullif(c, F.lit(""))
-    rows = rows.select("id", "page", "k", *[some(F.col(f"l.{f}")).alias(f) for f in ("url", "target_id", "target_title", "text", "context")])
+    rows = rows.select("id", "page", "k", *[c for c in rows.columns if c.startswith("own_")], *[some(F.col(f"l.{f}")).alias(f) for f in ("url", "target_id", "target_title", "text", "context")])
     rows = written(rows, "links")
-    slash = lambda c: F.regexp_replace(c, "/+$", "")
     rows = _cascade(rows, docs, [
-        ("id", F.col("target_id"), F.col("id")), ("url", slash(F.col("url")), slash(some(F.col("url")))),
-        ("title", F.lower("target_title"), F.lower("title")), ("base", T.base_title(F.col("target_title")), F.col("base")),
+        ("id", F.col("target_id"), keys["id"]), ("url", F.regexp_replace("url", "/+$", ""), keys["url"]),
+        ("title", F.lower("target_title"), keys["title"]), ("base", T.base_title(F.col("target_title")), keys["base"]),
     ])
-    n, one = F.coalesce(F.size("targets"), F.lit(0)), F.get("targets", 0)
+    n, one = F.col("n"), F.col("one")
     same_site = F.coalesce((host(F.col("url")) == host(F.col("page"))) & (host(F.col("url")) != ""), F.lit(False))
     rows = rows.where((n > 0) | F.col("target_id").isNotNull() | F.col("target_title").isNotNull() | same_site)
     said = F.concat_ws(" ", "text", "context")
@@ -293,7 +336,7 @@ def internal_links(docs: DataFrame) -> DataFrame:
     worded = k.isin("replacement_link", "backlink_from_successor")
     found = schema.details(
         url=F.coalesce("url", F.lit("")), target_id=F.when(n == 1, one["id"]), target_title=F.when(n == 1, one["title"]).when(n == 0, F.coalesce("target_title", F.lit(""))),
-        link_text=F.when(worded, F.coalesce("text", F.lit(""))), matching_doc_ids=F.when(n > 1, F.col("targets.id")), matching_titles=F.when(n > 1, F.col("targets.title")),
+        link_text=F.when(worded, F.coalesce("text", F.lit(""))), **_matching(),
     )
     severity = F.when(k == "replacement_link", "critical").when(k.isin("broken_internal_link", "ambiguous_internal_link"), "warning").otherwise("info")
     return rows.select(F.col("id").alias("doc_id"), *_SIGNAL(INTERNAL_LINKS, F.array("k"), k, severity, message, found))

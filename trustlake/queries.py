@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from trustlake.operators import signals as S
 from trustlake.plans import audit as A
 from trustlake.plans import classify as C
 from trustlake.plans.tables import written
+from trustlake.sources import landed as L
+from trustlake.sources import scopes
 
 AS_OF = datetime(2026, 1, 15, 12, tzinfo=UTC)
 _AS_OF_SQL = "TIMESTAMP '2026-01-15 12:00:00'"
@@ -230,9 +233,13 @@ def url_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id AS doc_id, url, 404 AS status_code FROM u WHERE CAST(regexp_extract(url, '(\\d+)$', 1) AS BIGINT) % 2 = 0""")
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = kb(spark, sf_dir)
+    return S.broken_links(docs, _probes(docs)).select("doc_id", "details.url", "details.status_code")
+
+
+def _probes(docs: DataFrame) -> DataFrame:
+    """Answers to all web addresses of the pages: those that end in an even number are gone."""
     even = F.regexp_extract("url", r"(\d+)$", 1).try_cast("long") % 2 == 0
-    probes = S.extracted_urls(docs).select("url").distinct().select("url", F.when(even, 404).otherwise(200).alias("status_code"), F.lit(None).cast("string").alias("error"))
-    return S.broken_links(docs, probes).select("doc_id", "details.url", "details.status_code")
+    return S.extracted_urls(docs).select("url").distinct().select("url", F.when(even, 404).otherwise(200).alias("status_code"), F.lit(None).cast("string").alias("error"))
 
 
 _API_SQL = r"'v\d+\.\d+(?:\.\d+)?'"
@@ -321,18 +328,25 @@ def neighbour_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(following, "doc_id").select("doc_id", similarity_of("text", "other").alias("s")).select("doc_id", F.col("s.rounded").alias("similarity"))
 
 
-def _settings() -> A.Settings:
-    return A.Settings(AS_OF)
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All operators over the pages: web probes and outdated versions too."""
+    docs = kb(spark, sf_dir)
+    return A.audit(docs, A.Settings(AS_OF, current_versions={"API": "v2.0"}, probes=_probes(docs)))
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(A.audit(kb(spark, sf_dir), _settings()).withColumn("scan_id", F.lit(1).cast("long")), "query-results")
+    return written(_audited(spark, sf_dir).withColumn("scan_id", F.lit(1).cast("long")), "query-results")
 
 
 @query()
 def audit_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's verdict, with all operators but web probes."""
-    return A.audit(kb(spark, sf_dir), _settings()).select("document_id", "status", "confidence", "confidence_reason", "suggested_replacement_id", F.col("trust_metadata.lifecycle").alias("lifecycle"), F.col("trust_metadata.audit_priority").alias("audit_priority"))
+    """Every page's verdict, with all operators, and how many signals of each kind it has."""
+    rows = _audited(spark, sf_dir)
+    kinds = F.transform(F.array_sort(F.array_distinct("signals.signal_type")), lambda k: F.concat(k, F.lit(" "), F.size(F.filter("signals", lambda s: s["signal_type"] == k)).cast("string")))
+    return rows.select(
+        "document_id", "status", "confidence", "confidence_reason", "suggested_replacement_id", F.col("trust_metadata.lifecycle").alias("lifecycle"),
+        F.col("trust_metadata.audit_priority").alias("audit_priority"), F.array_join(kinds, ", ").alias("signals"),
+    )
 
 
 @query()
@@ -475,6 +489,110 @@ def audit_need(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A workspace as landed responses, by rules of a page's number: a tree of pages, entries of databases, nodes without a text, databases in texts.
+_PAGE_ID = "'00000000-0000-0000-0000-' || lpad(CAST({n} AS VARCHAR), 12, '0')"
+_WORKSPACE_SQL = f"""p AS (SELECT doc_id AS n, {_PAGE_ID.format(n="doc_id")} AS id, CASE WHEN doc_id % 6 = 0 THEN 'Node ' || (doc_id // 6) ELSE 'Guide ' || (doc_id // 4) || ' v' || (doc_id % 4 + 1) END AS title,
+  CASE WHEN doc_id % 5 = 0 THEN 'db' || (doc_id % 7) ELSE {_PAGE_ID.format(n="doc_id // 3")} END AS up, doc_id % 6 <> 0 AS shown, CASE WHEN doc_id % 11 = 3 THEN 'db' || (doc_id % 7) END AS inline FROM documents),
+k AS (SELECT *, trim(regexp_replace(lower(title), '\\s*\\bv\\d+\\s*$', '')) AS key FROM p)"""
+
+
+def _tree_sql(name: str, root: str) -> str:
+    return f"{name}(id, depth) AS (SELECT id, 0 FROM p WHERE id = {root} UNION ALL SELECT p.id, t.depth + 1 FROM {name} t JOIN p ON p.up = t.id AND p.id <> t.id WHERE t.depth < 100)"
+
+
+def _related_sql(name: str) -> str:
+    return f"""{name}_seen AS (SELECT id FROM k WHERE shown AND (id IN (SELECT id FROM {name}) OR up IN (SELECT inline FROM k WHERE id IN (SELECT id FROM {name}) AND inline IS NOT NULL))),
+{name}_all AS (SELECT id FROM k WHERE shown AND (id IN (SELECT id FROM {name}_seen) OR key IN (SELECT key FROM k WHERE id IN (SELECT id FROM {name}_seen))))"""
+
+
+@query(f"""WITH RECURSIVE {_WORKSPACE_SQL}, {_tree_sql("root", _PAGE_ID.format(n=2))}, {_tree_sql("node", _PAGE_ID.format(n=6))}, {_tree_sql("blank", _PAGE_ID.format(n=12))}, {_related_sql("node")}, {_related_sql("blank")}
+SELECT 'database' AS scope, id FROM k WHERE shown AND up = 'db3' UNION ALL SELECT 'root', id FROM k WHERE shown AND id IN (SELECT id FROM root)
+UNION ALL SELECT 'title', id FROM k WHERE shown AND contains(lower(title), 'guide 7') UNION ALL SELECT 'node', id FROM node_all UNION ALL SELECT 'blank address', id FROM blank_all
+UNION ALL SELECT 'address', id FROM k WHERE shown AND key = 'guide 4' UNION ALL SELECT 'all', id FROM k WHERE shown""")
+def search_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a text that each kind of scope finds in a workspace."""
+    n = F.col("doc_id")
+    page_id = lambda c: F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.floor(c).cast("string"), 12, "0"))
+    database = F.concat(F.lit("db"), (n % 7).cast("string"))
+    title = F.when(n % 6 == 0, F.concat(F.lit("Node "), F.floor(n / 6))).otherwise(F.concat(F.lit("Guide "), F.floor(n / 4), F.lit(" v"), n % 4 + 1))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    none = F.lit(None).cast("string")
+    parent = F.struct(F.when(n % 5 == 0, "database_id").otherwise("page_id").alias("type"), F.when(n % 5 != 0, page_id(n / 3)).alias("page_id"), F.when(n % 5 == 0, database).alias("database_id"))
+    shown = F.create_map(F.lit("Name"), F.struct(F.lit("title").alias("type"), F.array(F.struct(title.alias("plain_text"))).alias("title")))
+    actor = F.struct(none.alias("id"))
+    pages = rows.select(
+        page_id(n).alias("id"), none.alias("url"), none.alias("last_edited_time"), none.alias("created_time"), actor.alias("created_by"), actor.alias("last_edited_by"), parent.alias("parent"),
+        F.lit(False).alias("archived"), shown.alias("properties"), F.struct(none.alias("title")).alias("child_page"),
+    )
+    said = F.array(F.struct(F.lit("Some text.").alias("plain_text"), none.alias("href"), F.struct(F.struct(none.alias("url")).alias("link")).alias("text")))
+    data = F.from_json(F.lit("{}"), dict(x.split(" ", 1) for x in L.BLOCK.split(", "))["data"])
+    block = lambda id_, at, kind, d: rows.select(id_.alias("id"), page_id(n).alias("parent_id"), F.lit(at).cast("long").alias("position"), F.lit(kind).alias("type"), F.lit(False).alias("has_children"), d.alias("data"), "doc_id")
+    blocks = block(page_id(n + 10**9), 1, "paragraph", data.withField("rich_text", said)).where(n % 6 != 0).unionByName(block(database, 2, "child_database", data).where(n % 11 == 3)).drop("doc_id")
+    pages, blocks = written(pages, "query-pages"), written(blocks, "query-blocks")
+    address = lambda k: f"https://www.notion.so/P-{k:032d}"
+    asked = {
+        "database": {"database": "db3"}, "root": {"root": f"00000000-0000-0000-0000-{2:012d}"}, "title": {"query": "guide 7"}, "node": {"query": "NODE 1"},
+        "address": {"query": address(17)}, "blank address": {"query": address(12)}, "all": {},
+    }
+    shown_ = L.page_contents(pages, blocks).where(F.col("content") != "").select(F.col("page_id").alias("id"))
+    found = [scopes.workspace(pages, blocks, **scope).join(shown_, "id", "left_semi").select(F.lit(name).alias("scope"), "id") for name, scope in asked.items()]
+    return reduce(DataFrame.union, found)
+
+
+# Verdicts, references and suggestions by rules of a page's number, so that what pages say about one another has an exact counterpart.
+_GIVEN_SQL = """d AS (SELECT doc_id AS n, CAST(doc_id AS VARCHAR) AS id, doc_id // 3 AS base, CASE WHEN doc_id % 4 < 2 THEN 'stale' WHEN doc_id % 8 = 2 THEN 'unknown' ELSE 'current' END AS status,
+  CASE WHEN doc_id % 17 = 0 THEN 'Status: Current' END AS status_text, doc_id % 13 = 0 AS canonical, CASE WHEN doc_id % 10 = 6 THEN ['r' || doc_id] ELSE [] END AS risks FROM documents),
+edge AS (SELECT CAST(n AS VARCHAR) AS source, CAST(n + step AS VARCHAR) AS target FROM d, (VALUES (1), (2), (3)) v(step) WHERE n % 7 <> 0 AND (n + step) % 5 <> 4),
+heard AS (SELECT target AS id, count(*) AS referrers, count(*) FILTER (status = 'stale') AS stale_referrers FROM edge JOIN d ON d.id = edge.source GROUP BY target),
+one AS (SELECT d.*, coalesce(referrers >= 2 AND referrers = stale_referrers AND status = 'current' AND NOT canonical AND status_text IS NULL, false) AS doubted, referrers FROM d LEFT JOIN heard USING (id)),
+two AS (SELECT n, id, base, risks, doubted, referrers, CASE WHEN doubted THEN 'needs_review' ELSE status END AS status FROM one),
+signal AS (SELECT id, status, 0 AS k, n + 3 AS said, true AS replaces FROM two WHERE n % 5 = 1 UNION ALL SELECT id, status, 1, n - 1, true FROM two WHERE n % 6 = 2 UNION ALL SELECT id, status, 2, n + 2, false FROM two WHERE n % 4 = 0),
+named AS (SELECT s.*, CAST(said AS VARCHAR) AS target FROM signal s WHERE said IN (SELECT n FROM d)),
+suggestion AS (SELECT id, arg_min(target, k) AS suggested FROM named WHERE replaces GROUP BY id),
+vote AS (SELECT target AS id, count(*) AS votes FROM (SELECT id, arg_min(target, k) AS target FROM named WHERE status = 'stale' GROUP BY id) GROUP BY target),
+family AS (SELECT base, count(*) > 1 AS has_siblings FROM d GROUP BY base),
+three AS (SELECT two.*, suggested, coalesce(votes, 0) AS votes, has_siblings, n % 9 = 0 OR n % 5 = 1 OR n % 11 = 0 AS hard FROM two LEFT JOIN suggestion USING (id) LEFT JOIN vote USING (id) JOIN family USING (base)),
+kind AS (SELECT *, CASE WHEN votes > 0 AND status = 'current' THEN 1 WHEN votes > 0 AND status = 'unknown' AND NOT hard AND len(risks) = 0 THEN 2 ELSE 0 END AS was,
+  'Latest version among ' || (votes + 1) || ' related pages in this scan' AS latest, votes || ' older version' || CASE WHEN votes <> 1 THEN 's' ELSE '' END AS older,
+  'All ' || referrers || ' incoming references are from stale documents' AS doubt FROM three)"""
+
+
+@query(f"""WITH {_GIVEN_SQL}
+SELECT id, CASE WHEN was = 2 THEN 'current' ELSE status END AS status, suggested, CAST(votes AS INTEGER) AS stale_votes, has_siblings,
+  CAST(CASE was WHEN 1 THEN 100 WHEN 2 THEN CASE WHEN votes = 1 THEN 75 ELSE least(85, 75 + 5 * votes) END ELSE CASE WHEN doubted THEN 50 ELSE 40 END END AS INTEGER) AS confidence_hundredths,
+  CASE was WHEN 1 THEN votes || ' other version' || CASE WHEN votes <> 1 THEN 's' ELSE '' END || ' identified as stale relative to this document' WHEN 2 THEN latest || '; supersedes ' || older ELSE CASE WHEN doubted THEN doubt ELSE 'given' END END AS confidence_reason,
+  CASE was WHEN 0 THEN 'p' WHEN 1 THEN 'p; ' || latest || '; Supersedes ' || older ELSE latest || '; Supersedes ' || older END AS positive_evidence,
+  CASE WHEN was = 2 THEN '' ELSE array_to_string(CASE WHEN doubted THEN list_append(risks, doubt) ELSE risks END, '; ') END AS review_risks,
+  CASE WHEN was > 0 THEN 'Recommended because this is the latest version among related pages in this scan.' WHEN doubted THEN 'Needs review because all incoming references are from stale documents.' ELSE 's' END AS summary,
+  CASE WHEN was = 2 THEN {_quoted(C.ACTIONS['current'])} WHEN doubted THEN {_quoted(C.ACTIONS['needs_review'])} ELSE 'a' END AS recommended_action FROM kind""")
+def cross_page_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What pages say about one another: only stale referrers, suggested replacements, votes of stale pages, promotions, families."""
+    n = F.col("n")
+    text = lambda c: c.cast("string")
+
+    def signal(holds: Column, kind: str, severity: str = "warning", **found) -> Column:
+        row = {"signal_type": F.lit(kind), "severity": F.lit(severity), "message": F.lit(kind), "details": schema.details(**found)}
+        return F.when(holds, F.struct(*[v.alias(k) for k, v in row.items()]))
+
+    signals = F.array_compact(F.array(
+        signal(n % 5 == 1, "duplicate", duplicate_of=text(n + 3)), signal(n % 6 == 2, "version_note", similar_to=text(n - 1)), signal(n % 4 == 0, "version_marker", current_doc_id=text(n + 2)),
+        signal(n % 9 == 0, "broken_link"), signal(n % 11 == 0, "age", "critical"),
+    ))
+    pm = F.struct(F.when(n % 17 == 0, "Status: Current").alias("status_text"), (n % 13 == 0).alias("canonical"))
+    none = F.array().cast("array<string>")
+    values = {
+        "id": text(n), "base": text(F.floor(n / 3)), "status": F.when(n % 4 < 2, "stale").when(n % 8 == 2, "unknown").otherwise("current"), "pm": pm, "signals": signals, "confidence_hundredths": F.lit(40),
+        "confidence_reason": F.lit("given"), "positive_evidence": F.array(F.lit("p")), "review_risks": F.when(n % 10 == 6, F.array(F.concat(F.lit("r"), n))).otherwise(none), "summary": F.lit("s"), "recommended_action": F.lit("a"),
+    }
+    ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("n"))
+    rows = written(ids.select(*[v.alias(k) for k, v in values.items()]), "query-given")
+    edges = ids.where(n % 7 != 0).select("n", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("step")).where((n + F.col("step")) % 5 != 4)
+    edges = edges.select(text(n).alias("source"), text(n + F.col("step")).alias("target"), F.lit("resolved_reference").alias("kind"))
+    found = A.corrected(rows, edges, rows)
+    kept = ("id", "status", "suggested", "stale_votes", "has_siblings", "confidence_hundredths", "confidence_reason", "summary", "recommended_action")
+    return found.select(*kept, *[F.array_join(c, "; ").alias(c) for c in ("positive_evidence", "review_risks")])
+
+
 # Stored scans are given as small derived tables, so that their queries have exact counterparts.
 _SCAN_SQL = """r AS (SELECT s AS scan_id, CAST(doc_id AS VARCHAR) AS document_id, 'T' || doc_id AS title, CASE (doc_id * 7 + s * (doc_id % 5)) % 4 WHEN 0 THEN 'stale' WHEN 1 THEN 'current' WHEN 2 THEN 'needs_review' ELSE 'unknown' END AS status,
   CAST(doc_id % 100 AS DOUBLE) / 100 AS confidence, 'because ' || doc_id AS confidence_reason FROM documents, (VALUES (1), (2), (3)) v(s) WHERE doc_id % 11 <> s)"""
@@ -572,8 +690,8 @@ def workflow_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finding_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings after one of them, a snoozed one, is dismissed."""
     rows = _findings(spark, sf_dir)
-    key = rows.where("document_id = '8'").first().finding_key
-    return W.update(rows, key, AS_OF, state="dismissed", note="known").select("finding_key", "workflow_state", "snoozed_until", "note")
+    key = rows.where("document_id = '8'").agg(F.max("finding_key")).first()[0]
+    return rows.select("finding_key", "workflow_state", "snoozed_until", "note") if key is None else W.update(rows, key, AS_OF, state="dismissed", note="known").select("finding_key", "workflow_state", "snoozed_until", "note")
 
 
 # Results of a fourth scan, by rules of their page's number: seen findings, new ones, and pages that have become current.

@@ -22,6 +22,7 @@ DETAILS = {
     "url": "string", "status_code": "int", "error": "string",
     "referenced_title": "string", "resolved_doc_id": "string", "resolved_title": "string", "normalized_reference": "string", "match_type": "string", "resolution_scope": "string",
     "matching_doc_ids": "array<string>", "matching_titles": "array<string>",
+    "matching_class": "string", "matching_count": "int",  # instead of the lists where a class is large, see signals.matching_pages
     "target_id": "string", "target_title": "string", "link_text": "string",
 }
 DETAILS_TYPE = f"struct<{','.join(f'{k}:{t}' for k, t in DETAILS.items())}>"

@@ -1,7 +1,8 @@
 """Documents from landed API responses: wiki pages (Confluence) and workspace pages with their blocks (Notion).
 
-A crawler lands each response's results as JSON lines; scopes (a space, a tree, a database, a title) are then filters and
-joins over the landed tables, and nothing is fetched from inside a Spark task.
+A crawler lands each response's results as JSON lines; scopes (a space, a tree, a database, a title; see scopes.py) are then
+filters and joins over the landed tables, and nothing is fetched from inside a Spark task. The order in which pages were landed is
+the fetch order, which decides ties: `landed` has a row's file, the part of the file it was read from and its place in the reading task.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trustlake.functions import text as T
 from trustlake.functions.web import html_anchors, html_text
+from trustlake.plans.numbering import numbered as numbers
 from trustlake.plans.tables import written
 from trustlake.schema import LINK
 
@@ -28,8 +30,15 @@ WORKSPACE_PAGE = (
 MAX_DEPTH = 5
 
 
+#: Where a row was landed; rows in the order of these columns are in fetch order.
+LANDED = "struct<file:string,part:bigint,row:bigint>"
+
+
 def read(spark: SparkSession, path: str, layout: str) -> DataFrame:
-    return spark.read.schema(layout).json(path)
+    """Landed rows of a layout with `landed`."""
+    rows = spark.read.schema(layout).json(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", place.alias("landed"))
 
 
 def _time(text: Column) -> Column:
@@ -40,6 +49,10 @@ def _shown(c: Column) -> Column:
     return F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
 
 
+def _landed(pages: DataFrame) -> list[str]:
+    return ["landed"] if "landed" in pages.columns else []
+
+
 # wiki
 
 
@@ -53,7 +66,7 @@ def in_tree(pages: DataFrame, root: str) -> DataFrame:
 
 
 def wiki_documents(pages: DataFrame, base_url: str) -> DataFrame:
-    """Documents of wiki pages with a text; doc_ord is to be given by the caller's order."""
+    """Documents of wiki pages with a text, with `landed` if the pages have it; numbered gives them doc_ord."""
     html = F.coalesce("body.storage.value", F.lit(""))
     anchors = html_anchors(html, F.lit(base_url))
     rows = pages.withColumn("content", html_text(html)).where(_shown(F.col("content"))).withColumn("anchors", anchors)
@@ -65,7 +78,7 @@ def wiki_documents(pages: DataFrame, base_url: str) -> DataFrame:
     webui = F.nullif(F.col("_links.webui"), F.lit(""))
     return rows.select(
         F.concat(F.lit("confluence-"), "id").alias("id"), F.coalesce("title", F.lit("Untitled")).alias("title"), "content", F.lit("confluence").alias("source_type"), F.concat(F.lit(base_url), webui).alias("url"),
-        _time(F.col("version.when")).alias("last_modified"), F.lit(False).alias("archived"), metadata.alias("metadata"), F.col("anchors.href").alias("metadata_links"), links.alias("links"),
+        _time(F.col("version.when")).alias("last_modified"), F.lit(False).alias("archived"), metadata.alias("metadata"), F.col("anchors.href").alias("metadata_links"), links.alias("links"), *_landed(pages),
     )
 
 
@@ -106,18 +119,23 @@ def block_links() -> Column:
     return F.concat(F.filter(spans, lambda x: x["url"].isNotNull() & (x["url"] != "")), mark)
 
 
-def page_contents(pages: DataFrame, blocks: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(page_id, content, links): the blocks of each page in reading order, to max_depth levels, without child pages."""
-    blocks = blocks.where(~F.col("type").isin("child_page", "child_database"))
+def page_blocks(pages: DataFrame, blocks: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(page_id, path, block_id, type, text, links) of the blocks of each page, to max_depth levels; what is below child pages and databases is not theirs."""
     level = pages.select(F.col("id").alias("page_id"), F.col("id").alias("block_id"), F.array().cast("array<bigint>").alias("path"))
     frames = []
     for _ in range(max_depth):
-        level = written(level.join(blocks, level.block_id == blocks.parent_id).select("page_id", blocks.id.alias("block_id"), F.concat("path", F.array("position")).alias("path"), block_text().alias("text"), block_links().alias("links"), "has_children"), "blocks")
-        frames.append(level.select("page_id", "path", "text", "links"))
-        level = level.where("has_children").select("page_id", "block_id", "path")
+        level = written(level.join(blocks, level.block_id == blocks.parent_id).select("page_id", blocks.id.alias("block_id"), "type", F.concat("path", F.array("position")).alias("path"), block_text().alias("text"), block_links().alias("links"), "has_children"), "blocks")
+        frames.append(level.select("page_id", "path", "block_id", "type", "text", "links"))
+        level = level.where("has_children").where(~F.col("type").isin("child_page", "child_database")).select("page_id", "block_id", "path")
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.union(f)
+    return rows
+
+
+def page_contents(pages: DataFrame, blocks: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(page_id, content, links): the blocks of each page in reading order, to max_depth levels, without child pages."""
+    rows = page_blocks(pages, blocks.where(~F.col("type").isin("child_page", "child_database")), max_depth)
     row = F.struct("path", "text", "links")
     rows = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(row)).alias("b"))  # the blocks of one page
     return rows.select("page_id", F.array_join(F.filter(F.col("b.text"), lambda t: t != ""), "\n").alias("content"), F.flatten("b.links").alias("links"))
@@ -132,14 +150,22 @@ def titled(pages: DataFrame, query: str) -> DataFrame:
     return pages.where(F.contains(F.lower(page_title(pages)), F.lit(query.lower())))
 
 
-def below(pages: DataFrame, root: str) -> DataFrame:
-    """The pages under a page or database, by their parents, at any depth."""
-    children = pages.select("id", F.coalesce("parent.page_id", "parent.database_id").alias("up"))
-    found = written(children.where(F.col("up") == root).select("id"), "tree")
-    new = found
-    while new.limit(1).count():
-        new = written(children.join(new.select(F.col("id").alias("up")), "up").select("id").join(found, "id", "left_anti").distinct(), "tree")
-        found = written(found.union(new), "tree")
+def below(pages: DataFrame, root: str, depth: int = 100) -> DataFrame:
+    """The pages under a page or database, by their parents, to that depth."""
+    children = pages.select("id", F.coalesce("parent.page_id", "parent.database_id").alias("up")).where("up is not null")
+    children = written(children, "tree-parents")
+    walk = f"""WITH RECURSIVE tree(id, depth) MAX RECURSION LEVEL {depth + 2} AS (
+      SELECT id, 1 FROM {{children}} WHERE up = :root
+      UNION ALL
+      SELECT c.id, t.depth + 1 FROM tree t JOIN {{children}} c ON c.up = t.id WHERE t.depth < {depth})
+    SELECT DISTINCT id FROM tree"""
+    spark, limit = pages.sparkSession, "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(limit)
+    try:
+        spark.conf.set(limit, "-1")  # a tree may have any number of pages
+        found = written(spark.sql(walk, {"root": root}, children=children), "tree")
+    finally:
+        spark.conf.set(limit, before)
     return pages.join(found, "id", "left_semi")
 
 
@@ -164,10 +190,12 @@ def workspace_documents(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     metadata = F.to_json(F.struct("created_time", F.col("created_by.id").alias("created_by"), F.col("last_edited_by.id").alias("last_edited_by"), "parent"))
     return rows.select(
         "id", page_title(pages).alias("title"), "content", F.lit("notion").alias("source_type"), "url", _time(F.col("last_edited_time")).alias("last_modified"),
-        F.coalesce("archived", F.lit(False)).alias("archived"), metadata.alias("metadata"), F.col("links.url").alias("metadata_links"), "links",
+        F.coalesce("archived", F.lit(False)).alias("archived"), metadata.alias("metadata"), F.col("links.url").alias("metadata_links"), "links", *_landed(pages),
     )
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Documents with doc_ord where the source has no order of its own: numbers that follow the id."""
-    return docs.withColumn("doc_ord", F.conv(F.substring(F.md5("id"), 1, 15), 16, 10).cast("long"))
+    """Documents with doc_ord: their places in the order in which they were landed, whatever the partitioning; for rows without `landed`, by id."""
+    if "landed" not in docs.columns:
+        return numbers(docs, [F.col("id")], "doc_ord")
+    return numbers(docs, [F.col("landed"), F.col("id")], "doc_ord").drop("landed")

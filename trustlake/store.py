@@ -18,7 +18,7 @@ from contextlib import contextmanager, suppress
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trustlake.functions.text import sanitized_error
@@ -247,14 +247,16 @@ class Store:
             results = whole = kept(audit(changed, settings).withColumn("scan_id", F.lit(scan_id).cast("long")), "looked")
             if same is not None:
                 whole = results.unionByName(H.carried(before, scan_id, same.select(F.col("id").alias("document_id"))))
-            whole = kept(whole, "results")
-            path, n = made[-1], whole.count()
-            merged: list[DataFrame] = []
+            rows = Observation()
+            whole = kept(whole.observe(rows, F.count("*").alias("n")), "results")
+            path, n = made[-1], rows.get["n"]
+            changes: list[Observation] = []
 
             def merge(findings: DataFrame) -> DataFrame:
                 self.check(token)
-                merged.append(kept(W.merge(findings, whole, scan_id, now, results.select("document_id"), whole.select("document_id")), "merged"))
-                return merged[-1].drop("change")
+                merged, seen = W.counted(W.merge(findings, whole, scan_id, now, results.select("document_id"), whole.select("document_id")))
+                changes.append(seen)
+                return kept(merged, "merged").drop("change")
 
             def complete(state: dict) -> dict:
                 self.check(token)
@@ -263,7 +265,7 @@ class Store:
                 return state | {"scans": scans, "results": state["results"] | {str(scan_id): path}, "looked": state["looked"] | {str(scan_id): made[0]}}
 
             self._replace_findings(merge, complete)
-            counts = W.merge_counts(merged[-1])
+            counts = {k: changes[-1].get[k] for k in W.CHANGES}
         except LeaseLost:
             self._delete(made)
             raise
