@@ -8,7 +8,7 @@
    groups the buckets: equal windows meet there, the earliest by (doc_id, start) stays and the others are marked.
 3. Marks go back to their chunk, where the words of marked windows merge into maximal intervals; these join the documents.
 
-Two different windows are taken for equal if all of their bits agree: with n windows and b buckets some n^2 / (2^73 b) pairs, which is 10^-8 for
+Two different windows are taken for equal if all of their bits agree: with n windows and b buckets some n^2 / (2^73 b) pairs, which is 4 in 10^7 for
 a billion words in 256 buckets.
 
 Defined results: null texts have no words; texts of fewer words than a window lose nothing; a window that overlaps an equal earlier one is removed like any
@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import BROADCAST_ROWS, free_name, partitions, released, slices, table, written
+from trustlake.llm.shared import BROADCAST_ROWS, batches_of, free_name, partitions, released, slices, table, written
 
 WINDOW = 20
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_WINDOWS = 2_000_000
 #: Intervals of at most this many numbers in at most BROADCAST_ROWS rows are broadcast (16 MB); beyond, documents are shuffled to them.
 BROADCAST_SPANS = 2_000_000
@@ -281,7 +281,8 @@ def repeated_spans(keyed: DataFrame, width: int = WINDOW) -> DataFrame:
     rows = keyed.mapInArrow(packed, PACKED)
     marked = rows.groupBy("bucket").applyInArrow(_judged, "chunk long, places binary, doc_ids binary, doc_keys binary, doc_firsts binary")
     spans = marked.groupBy("chunk").applyInArrow(_merged(width), SPANS)
-    return written(spans.dropDuplicates(["doc_id", "doc_key"]), "substring-spans")  # equal rows of one id have equal intervals
+    with batches_of(keyed.sparkSession, 2000):
+        return written(spans.dropDuplicates(["doc_id", "doc_key"]), "substring-spans")  # equal rows of one id have equal intervals
 
 
 def _cut(text: bytes | None, spans: list[dict] | None) -> dict:
