@@ -22,6 +22,7 @@ from trustlake.operators import history as H
 from trustlake.operators import signals as S
 from trustlake.plans import audit as A
 from trustlake.plans import classify as C
+from trustlake.plans.numbering import numbered
 from trustlake.plans.tables import written
 from trustlake.sources import landed as L
 from trustlake.sources import scopes
@@ -467,6 +468,18 @@ def classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _verdicts(spark, sf_dir).select("id", "status", F.col("lifecycle.state").alias("lifecycle"), "confidence_reason", "confidence_hundredths")
 
 
+_LACKING = {"inc = 0": "No incoming references from other documents", "last_reviewed IS NULL": "No 'Last reviewed' date in document body", "owner IS NULL": "No owner or DRI specified",
+            "status_text IS NULL": "No status field in document body", "review_cadence IS NULL": "No review cadence specified"}
+
+
+@query(f"""WITH {KB_SQL}, {_VERDICT_SQL}
+SELECT id, array_to_string({_set_sql(*[f"CASE WHEN {test} THEN {_quoted(text)} END" for test, text in _LACKING.items()])}, '; ') AS missing_evidence,
+  CASE WHEN status IN ('current', 'unknown') THEN '' WHEN len(stale) > 0 THEN array_to_string(stale, '; ') ELSE array_to_string(risks, '; ') END AS review_risks FROM s""")
+def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the classified pages lack, and what speaks against them."""
+    return _verdicts(spark, sf_dir).select("id", F.array_join("missing_evidence", "; ").alias("missing_evidence"), F.array_join("review_risks", "; ").alias("review_risks"))
+
+
 _NEED_SQL = f"""a AS (SELECT *, CASE WHEN len(stale) > 0 THEN stale ELSE risks END AS shown, n % 7 = 2 OR n % 6 = 1 OR n % 9 = 4 OR n % 8 = 3 OR n % 5 = 1 AS hard, {_set_sql(
     "CASE WHEN inc >= 2 THEN 'Referenced by ' || inc || ' documents (+2)' WHEN inc = 1 THEN 'Referenced by 1 document (+1)' END", "CASE WHEN owner IS NOT NULL THEN 'Has designated owner (+1)' END",
     "CASE WHEN status_text IS NOT NULL THEN 'Has declared status field (+1)' END", "CASE WHEN state <> 'unknown' THEN 'Lifecycle is ''' || state || ''' (+1)' END",
@@ -607,6 +620,46 @@ def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return scans, results
 
 
+@query(f"WITH {_SCAN_SQL} SELECT document_id, row_number() OVER (ORDER BY CASE status WHEN 'stale' THEN 0 WHEN 'needs_review' THEN 1 WHEN 'unknown' THEN 2 ELSE 3 END, confidence, document_id) - 1 AS place FROM r WHERE scan_id = 3")
+def report_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a report lists each page of a scan."""
+    return numbered(_scans(spark, sf_dir)[1].where("scan_id = 3"), H.report_order(), "place").select("document_id", "place")
+
+
+@query(f"WITH {_SCAN_SQL} SELECT count(*) AS total, count(*) FILTER (status = 'stale') AS stale, count(*) FILTER (status = 'needs_review') AS needs_review, count(*) FILTER (status = 'unknown') AS unknown, count(*) FILTER (status = 'current') AS current FROM r WHERE scan_id = 2")
+def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's counts of a scan."""
+    return H.report_counts(_scans(spark, sf_dir)[1].where("scan_id = 2"))
+
+
+# References as a scan stores them, by rules of a page's number: to one page, to two, or to none.
+_LISTING_SQL = """d AS (SELECT doc_id AS n, CAST(doc_id AS VARCHAR) AS id, 'T' || doc_id AS title FROM documents),
+sig AS (SELECT n, id, title, 0 AS k, 'resolved' AS state, 'T' || (n + 1) AS said, CAST(n + 1 AS VARCHAR) AS target, [n + 1] AS pages FROM d WHERE n % 3 = 0
+  UNION ALL SELECT n, id, title, 1, 'ambiguous', 'U' || n, NULL, [n + 2, n + 4] FROM d WHERE n % 4 = 1 UNION ALL SELECT n, id, title, 2, 'unresolved', 'V' || n, NULL, [] FROM d WHERE n % 5 = 2),
+outgoing AS (SELECT id, string_agg(state || ':' || said || ':' || coalesce(target, '-'), '|' ORDER BY k) AS outgoing FROM sig GROUP BY id),
+incoming AS (SELECT CAST(t AS VARCHAR) AS id, string_agg(title, '|' ORDER BY title) AS incoming FROM (SELECT title, unnest(pages) AS t FROM sig) GROUP BY t)"""
+
+
+@query(f"WITH {_LISTING_SQL} SELECT id AS document_id, coalesce(outgoing, '') AS outgoing, coalesce(incoming, '') AS incoming FROM d LEFT JOIN outgoing USING (id) LEFT JOIN incoming USING (id)")
+def reference_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages a page refers to and which refer to it, from the signals of a stored scan."""
+    n = F.col("doc_id")
+    said = lambda letter, c=n: F.concat(F.lit(letter), c.cast("string"))
+
+    def signal(holds: Column, state: str, **found) -> Column:
+        row = {"signal_type": F.lit(f"{state}_reference"), "severity": F.lit("info"), "message": F.lit(state), "details": schema.details(**found)}
+        return F.when(holds, F.struct(*[v.alias(k) for k, v in row.items()]))
+
+    several = F.array((n + 2).cast("string"), (n + 4).cast("string"))
+    signals = F.array_compact(F.array(
+        signal(n % 3 == 0, "resolved", referenced_title=said("T", n + 1), resolved_doc_id=(n + 1).cast("string")),
+        signal(n % 4 == 1, "ambiguous", referenced_title=said("U"), matching_doc_ids=several), signal(n % 5 == 2, "unresolved", referenced_title=said("V")),
+    ))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select(n.cast("string").alias("document_id"), said("T").alias("title"), F.lit("current").alias("status"), signals.alias("signals"))
+    shown = F.transform("outgoing", lambda r: F.concat_ws(":", r["state"], r["title"], F.coalesce(r["target"], F.lit("-"))))
+    return H.reference_summary(rows).select("document_id", F.array_join(shown, "|").alias("outgoing"), F.array_join("incoming", "|").alias("incoming"))
+
+
 _DIFF_SQL = "SELECT n.document_id, n.title, o.status AS old_status, n.status AS new_status, n.confidence, n.confidence_reason FROM r n LEFT JOIN r o ON o.document_id = n.document_id AND o.scan_id = n.scan_id - 1 WHERE {where} AND (o.status IS NULL OR o.status <> n.status)"
 
 
@@ -685,6 +738,18 @@ def workflow_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.queue(_findings(spark, sf_dir), AS_OF, scan_id=3).select("finding_key", "document_id", "workflow_state")
 
 
+@query(f"""WITH {_SCAN_SQL}, {_FINDING_SQL}, q AS (SELECT *, 2 + CAST(document_id AS BIGINT) % 2 AS last_seen FROM g)
+SELECT q.finding_key, q.document_id, row_number() OVER (ORDER BY list_position({list(schema.WORKFLOW_STATES)}, workflow_state), q.finding_key) - 1 AS place, r.status, r.confidence
+FROM q LEFT JOIN r ON r.document_id = q.document_id AND r.scan_id = q.last_seen""")
+def queue_with_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings in the queue's order, with what the scan that saw them last says about their page."""
+    results = _scans(spark, sf_dir)[1]
+    for column in ("url", "trust_metadata", "trust_evidence", "suggested_replacement_id"):
+        results = results.withColumn(column, F.lit(None).cast("string"))
+    rows = W.with_audit(W.queue(_findings(spark, sf_dir), AS_OF, include_all=True), results)
+    return numbered(rows, W.queue_order(), "place").select("finding_key", "document_id", "place", "status", "confidence")
+
+
 @query(f"""WITH {_FINDING_SQL} SELECT finding_key, CASE WHEN document_id = '8' THEN 'dismissed' ELSE workflow_state END AS workflow_state, CASE WHEN document_id <> '8' THEN snoozed_until END AS snoozed_until,
   CASE WHEN document_id = '8' THEN 'known' ELSE note END AS note FROM g""")
 def finding_update(spark: SparkSession, sf_dir: str) -> DataFrame:
