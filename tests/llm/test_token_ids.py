@@ -71,3 +71,16 @@ def test_ids_are_read_back(spark, path, tmp_path):
         for x in np.frombuffer(r.ids, "<u4").tolist():
             counts[x] = counts.get(x, 0) + 1
     assert [r.token for r in ranks] == sorted(counts, key=lambda t: (-counts[t], t))
+
+
+def test_many_rows_of_one_id_are_several_ranges(spark, path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"text {i} of none", "en", "a") for i in range(400)] + [(7, f"text {i} of seven", "en", "a") for i in range(600)] + [(i, f"text {i}", "en", "a") for i in range(10)]
+    folder = token_ids.shared_path(spark, "many")
+    token_ids.write_token_file(docs(spark, rows), folder, path)
+    blocks = spark.read.parquet(f"{folder}/blocks")
+    per = blocks.groupBy("shard").agg(F.sum(F.size("doc_ids")).alias("n")).collect()
+    assert len(per) == 4 and max(r.n for r in per) < 500
+    got = [r.doc_id for r in token_ids.read_token_file(spark, folder).orderBy("start").collect()]
+    assert got == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))

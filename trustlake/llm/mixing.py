@@ -33,7 +33,10 @@ from trustlake.llm.shared import SPACE_WORD, free_name, sized_hint, table, writt
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
+#: Shards have some SHARD_WORDS words (about 1 GB); there are at least SHARDS, and each has at least DRAWS block draws to choose from.
 SHARDS = 16
+SHARD_WORDS = 200_000_000
+DRAWS = 8
 MAX_BLOCKS = 1024
 BLOCK_DOCS = 512
 SEED = 20240229
@@ -153,9 +156,9 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.join(again, same, "left_anti").withColumn("row_", F.lit(0).cast("long")).unionByName(repeated)
 
 
-def placements(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, meta: DataFrame | None = None) -> DataFrame:
+def placements(rows: DataFrame, shards: int | None = None, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, meta: DataFrame | None = None) -> DataFrame:
     """rows (with the columns of `sized`: id_, text_, row_, source_, size_) with source_size, target and
-    `placed`, an array of (pass, shard), one for each time the mix takes the row. meta: the same rows without
+    `placed`, an array of (pass, shard), one for each time the mix takes the row. shards: their number, else by size. meta: the same rows without
     other columns, already written."""
     spark = rows.sparkSession
     meta = rows.select("id_", "text_", "row_", "source_", "size_") if meta is None else meta
@@ -189,6 +192,8 @@ def placements(rows: DataFrame, shards: int = SHARDS, seed: int = SEED, weights:
     fitted = _edge_units(fitted, seed)
 
     quota = {r.s: r.n for r in blocks.groupBy("s").agg(F.sum("passes").alias("n")).collect()}
+    if shards is None:
+        shards = max(SHARDS, min(sum(r.n for r in known) // SHARD_WORDS, sum(quota.values()) // DRAWS))
     ends = np.cumsum(split_quotas([quota.get(i, 0) for i in range(len(plan))], shards, seed), axis=0).T if plan else []
     ends = spark.createDataFrame([(i, [int(x) for x in e]) for i, e in enumerate(ends)], "s int, ends array<long>")
     draws = blocks.where("passes > 0").select("s", "block", "room", "whole", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("pass"))
@@ -212,7 +217,7 @@ def sized(docs: DataFrame, text_col: str, source_col: str, id_col: str, row_col:
     return [F.col(id_col).alias("id_"), F.xxhash64(F.col(text_col)).alias("text_"), row.cast("long").alias("row_"), F.col(source_col).cast("string").alias("source_"), word_count(F.col(text_col)).alias("size_")]
 
 
-def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", shards: int | None = None, seed: int = SEED) -> DataFrame:
     """The mixed rows: every row of docs as often as it is taken, with mix_shard and mix_order (its place in the shard)."""
     row = "whole_"
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(source_col).alias("s"), F.struct(*[F.col(c) for c in docs.columns]).alias(row))
@@ -224,9 +229,10 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_
     return out.select(*[F.col(row)[c].alias(c) for c in docs.columns], F.col("d_.shard").alias(free_name(docs, "mix_shard")), order.alias(free_name(docs, "mix_order")))
 
 
-def write_shards(mixed: DataFrame, path: str, shards: int = SHARDS) -> None:
+def write_shards(mixed: DataFrame, path: str, shards: int | None = None) -> None:
     """One folder per shard, rows in the shard's shuffled order."""
-    mixed.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_order").write.partitionBy("mix_shard").parquet(path)
+    rows = mixed.repartition(shards, "mix_shard") if shards else mixed.repartition("mix_shard")
+    rows.sortWithinPartitions("mix_shard", "mix_order").write.partitionBy("mix_shard").parquet(path)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,9 @@ def lower_ascii(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+_LEAST = -(1 << 63)
+
+
 def range_bounds(ids: DataFrame, column: str, n: int) -> np.ndarray:
     """At most n - 1 ascending bounds that cut a long column into n ranges of about equal numbers of rows.
 
@@ -88,6 +91,23 @@ def range_bounds(ids: DataFrame, column: str, n: int) -> np.ndarray:
     return np.unique(np.asarray(cuts, np.float64).astype(np.int64))
 
 
+def spread_bounds(ids: DataFrame, column: str, n: int) -> np.ndarray:
+    """range_bounds in which a value is repeated as often as it fills a range of its own; null counts as the lowest long."""
+    if n < 2:
+        return np.empty(0, np.int64)
+    cuts = ids.select(F.coalesce(F.col(column), F.lit(_LEAST)).alias("id_")).approxQuantile("id_", [i / n for i in range(1, n)], 0.2 / n)
+    return np.sort([int(min(max(c, _LEAST), -_LEAST - 1)) for c in cuts]).astype(np.int64)
+
+
+def spread_numbers(values: pa.Array, ties: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Range numbers of longs where the rows of a bound's value are spread by their ties, 32-bit hashes, over all ranges that the
+    bound ends or begins: ranges ascend by value and then by tie."""
+    values = values.fill_null(_LEAST).to_numpy(zero_copy_only=False)
+    upto = np.searchsorted(bounds, values, side="right")
+    times = upto - np.searchsorted(bounds, values, side="left")
+    return pa.array((upto - times + (ties.astype(np.int64) * (times + 1) >> 32)).astype(np.int32))
+
+
 def range_numbers(values: pa.Array, bounds: np.ndarray) -> pa.Array:
     """The number of the range that each long is in: how many bounds are at or below it; null counts as the lowest."""
     numbers = np.searchsorted(bounds, values.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")

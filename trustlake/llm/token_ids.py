@@ -14,7 +14,7 @@ id), so frequent ids take one byte. The table of ranks, one row per used id, is
 Decoding looks the four lengths of each control byte up in a table of 256 rows and gathers the data bytes with numpy.
 
 Defined results: null and empty texts hold the end id alone; repeated rows are written one after another (equal ids ordered
-by their tokens, null ids first); very long texts make a large block and are never cut; an empty table makes an
+by a hash of their tokens, which also spreads many of them over several tasks, null ids first); very long texts make a large block and are never cut; an empty table makes an
 empty file; other columns are not written.
 """
 
@@ -24,6 +24,7 @@ import string
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import batches_of, partitions, range_bounds, range_numbers, released, shared_path, table, written
+from trustlake.llm.shared import batches_of, partitions, released, shared_path, spread_bounds, spread_numbers, table, written
 
 BLOCK_TOKENS = 1 << 18
 END_ID = 1
@@ -184,14 +185,15 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, text_col: str =
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)
 
-    bounds = range_bounds(rows, "id", partitions(spark))
+    bounds = spread_bounds(rows, "id", partitions(spark))
 
     def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = [encode_ids(shared.value[np.frombuffer(x.as_buffer(), "<u4")]) for x in batch.column(1)]
             counts = pa.array([len(x.as_buffer()) // 4 for x in batch.column(1)], pa.int64())
             coded_ = [pa.array(x, pa.binary()) for x in (zip(*pairs, strict=True) if pairs else ((), ()))]
-            yield pa.RecordBatch.from_arrays([range_numbers(batch.column(0), bounds), batch.column(0), counts, *coded_], ["range", "id", "n", "control", "data"])
+            ties = np.array([crc32(data) for _, data in pairs], np.int64)  # many rows of one id are several ranges
+            yield pa.RecordBatch.from_arrays([spread_numbers(batch.column(0), ties, bounds), batch.column(0), pa.array(ties), counts, *coded_], ["range", "id", "tie", "n", "control", "data"])
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, start, docs, total = TaskContext.get().partitionId(), 0, 0, [], 0
@@ -206,9 +208,9 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, text_col: str =
         if docs:
             yield _block(shard, block, start, docs)
 
-    ordered = rows.mapInArrow(coded, "range int, id long, n long, control binary, data binary")
+    ordered = rows.mapInArrow(coded, "range int, id long, tie long, n long, control binary, data binary")
     ordered = ordered.repartitionById(partitions(spark), F.col("range")).drop("range")
-    ordered = ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "data", "control")
+    ordered = ordered.sortWithinPartitions(F.col("id").asc_nulls_first(), "tie", "data", "control").drop("tie")
     with batches_of(spark, 2000):
         ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     shared.destroy()
