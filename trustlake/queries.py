@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trustlake import schema
 from trustlake.functions import text as T
+from trustlake.functions.addresses import private_host
 from trustlake.functions.similarity import similarity_of
 from trustlake.functions.web import HIDDEN, LINE_ENDS, LINE_STARTS, html_anchors, html_text, raw_hrefs
 from trustlake.operators import findings as W
@@ -243,6 +244,27 @@ def _probes(docs: DataFrame) -> DataFrame:
     return S.extracted_urls(docs).select("url").distinct().select("url", F.when(even, 404).otherwise(200).alias("status_code"), F.lit(None).cast("string").alias("error"))
 
 
+# Hosts by rules of a number: addresses around the ranges that are not public.
+@query("""WITH h AS (SELECT doc_id, doc_id % 8 AS k, CASE doc_id % 8 WHEN 0 THEN [doc_id // 8 % 256, doc_id * 7 % 256, doc_id * 13 % 256, doc_id % 256] WHEN 1 THEN [172, doc_id // 8 % 40, 3, 4] WHEN 2 THEN [192, 0, doc_id // 8 % 4, doc_id // 8 % 16]
+  WHEN 3 THEN [198, doc_id // 8 % 60, doc_id % 110, 9] WHEN 4 THEN [169, 250 + doc_id // 8 % 6, 1, 1] WHEN 5 THEN [203, 0, 110 + doc_id // 8 % 6, 1] ELSE [192, 165 + doc_id // 8 % 6, 0, 1] END AS o FROM documents),
+t AS (SELECT *, o[1] AS a, o[2] AS b, o[3] AS c, o[4] AS d FROM h)
+SELECT doc_id, CASE WHEN k = 6 THEN 'https://[' || (CASE WHEN doc_id % 16 = 6 THEN '2001:DB8' ELSE '2606:4700' END) || '::' || (doc_id % 10) || ']:8080/' ELSE 'http://user@' || array_to_string(o, '.') || '/a?b@c' END AS url,
+  CASE WHEN k = 6 THEN doc_id % 16 = 6 ELSE a IN (0, 10, 127) OR a >= 224 OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c = 0 AND d NOT IN (9, 10)) OR (a = 192 AND b = 0 AND c = 2)
+    OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) END AS private FROM t""")
+def private_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the derived addresses are not public."""
+    n = F.col("doc_id")
+    step = F.floor(n / 8)
+    octets = {
+        0: (step % 256, n * 7 % 256, n * 13 % 256, n % 256), 1: (F.lit(172), step % 40, F.lit(3), F.lit(4)), 2: (F.lit(192), F.lit(0), step % 4, step % 16), 3: (F.lit(198), step % 60, n % 110, F.lit(9)),
+        4: (F.lit(169), 250 + step % 6, F.lit(1), F.lit(1)), 5: (F.lit(203), F.lit(0), 110 + step % 6, F.lit(1)), 7: (F.lit(192), 165 + step % 6, F.lit(0), F.lit(1)),
+    }
+    hosts = F.coalesce(*[F.when(n % 8 == k, F.concat_ws(".", *[o.cast("string") for o in os])) for k, os in octets.items()])
+    six = F.concat(F.lit("https://["), F.when(n % 16 == 6, "2001:DB8").otherwise("2606:4700"), F.lit("::"), (n % 10).cast("string"), F.lit("]:8080/"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.when(n % 8 == 6, six).otherwise(F.concat(F.lit("http://user@"), hosts, F.lit("/a?b@c"))).alias("url"))
+    return rows.select("doc_id", "url", private_host("url").alias("private"))
+
+
 _API_SQL = r"'v\d+\.\d+(?:\.\d+)?'"
 _PAST_SQL = r"(?i)(?:migrat\w+\s+from|upgrad\w+\s+from|previously|formerly|deprecated|replaced\s+by|instead\s+of|no\s+longer|was\s+in|changed\s+from|prior\s+to|before)\s+"
 
