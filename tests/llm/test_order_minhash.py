@@ -75,3 +75,23 @@ def test_edges(spark):
     assert O.fingerprints(none(spark)).count() == 0
     one = O.fingerprints(docs(spark, ROWS[:1])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_many_rows_of_one_id_are_several_ranges(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"text {i} of none", "en", "a") for i in range(300)] + [(7, f"text {i} of seven", "en", "a") for i in range(300)] + [(7, "the same", "en", "a")] * 20 + [(9, "last", "en", "a")]
+    parts = O.neighbours(docs(spark, rows)).where("extra = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) == 4 and max(r["count"] for r in parts) < 300
+    got = O.fingerprints(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    # each row's follower is the next by id, hash of the text and text
+    import zlib
+
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, zlib.crc32(r[1].encode()), r[1]))
+    expected = []
+    for n, (i, text, *_) in enumerate(order):
+        following = order[(n + 1) % len(order)][1]
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        expected.append((i or 0, hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted((r.doc_id or 0, r.edited_sha256) for r in got) == sorted(expected)

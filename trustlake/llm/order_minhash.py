@@ -9,8 +9,8 @@ Grams are hashed by doubling (one, two, four, eight characters ...) with numpy,
 (hash, position), and the hash functions are applied to stretches of grams that stay near the processor.
 
 Defined results: null and empty texts have the fingerprint of no grams; a text shorter than K is one gram; equal texts have
-equal fingerprints, so two empty texts are alike; repeated rows are neighbours ordered by text; null ids come
-first; whole texts are read at any length; an empty table gives no rows; other columns are not read.
+equal fingerprints, so two empty texts are alike; rows of one id are neighbours in the order of a hash of
+their texts, which spreads many of them over several tasks, and then of their texts; null ids come first; whole texts are read at any length; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustlake.llm.shared import partitions, range_bounds, range_number, table
+from trustlake.llm.shared import partitions, spread_bounds, spread_number, table
 
 K = 12
 SKETCHES = 64
@@ -110,18 +110,20 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def neighbours(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(bucket, extra, key, id, text), dealt by ranges of id and sorted: behind each range's rows stands, as extra, the
-    row that follows them (after the last range the first row). Texts are shuffled once."""
+    """(bucket, extra, key, tie, id, text), dealt by ranges of id and, within one id, of a hash of the text, and sorted: behind each range's
+    rows stands, as extra, the row that follows them (after the last range the first row). Texts are shuffled once."""
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    bounds = range_bounds(rows, "key", n)
-    bucket = range_number(F.col("key"), bounds)
-    first = sorted((r.b, r.k) for r in rows.groupBy(bucket.alias("b")).agg(F.min("key").alias("k")).collect())  # a row for each range
-    before = {k: first[i - 1][0] for i, (_, k) in enumerate(first)}
-    marks = F.create_map(*[x for k, b in before.items() for x in (F.lit(k).cast("long"), F.lit(b))]) if before else F.create_map().cast("map<bigint,int>")
+    text, id_ = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    rows = docs.select(F.coalesce(id_, F.lit(_LEAST)).alias("key"), F.crc32(F.coalesce(text, F.lit(""))).alias("tie"), id_.alias("id"), text.alias("text"))
+    bucket = spread_number(F.col("key"), F.col("tie"), spread_bounds(rows, "key", n))
+    found = rows.groupBy(bucket.alias("b")).agg(F.min(F.struct("key", "tie")).alias("k")).collect()  # a row for each range
+    first = sorted((r.b, r.k.key, r.k.tie) for r in found)
+    place = lambda key, tie: F.struct(F.lit(key).cast("long").alias("key"), F.lit(tie).cast("long").alias("tie"))
+    marks = [x for i, (_, key, tie) in enumerate(first) for x in (place(key, tie), F.lit(first[i - 1][0]))]
+    follows = F.element_at(F.create_map(*marks), F.struct("key", "tie")) if marks else F.lit(None).cast("int")
     rows = rows.withColumn("own", bucket)
-    rows = rows.select("key", "id", "text", F.posexplode(F.array_compact(F.array("own", F.element_at(marks, F.col("key"))))).alias("extra", "bucket"))
-    return rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "extra", "key", "text")
+    rows = rows.select("key", "tie", "id", "text", F.posexplode(F.array_compact(F.array("own", follows))).alias("extra", "bucket"))
+    return rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "extra", "key", "tie", "text")
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

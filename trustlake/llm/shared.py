@@ -81,18 +81,9 @@ def lower_ascii(column):
 _LEAST = -(1 << 63)
 
 
-def range_bounds(ids: DataFrame, column: str, n: int) -> np.ndarray:
-    """At most n - 1 ascending bounds that cut a long column into n ranges of about equal numbers of rows.
-
-    They come from Spark's quantile summary; its size depends on n and the error, not on the rows."""
-    if n < 2:
-        return np.empty(0, np.int64)
-    cuts = ids.approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n)
-    return np.unique(np.asarray(cuts, np.float64).astype(np.int64))
-
-
 def spread_bounds(ids: DataFrame, column: str, n: int) -> np.ndarray:
-    """range_bounds in which a value is repeated as often as it fills a range of its own; null counts as the lowest long."""
+    """n - 1 ascending bounds that cut a long column into n ranges of about equal numbers of rows; a value that fills several ranges is
+    repeated, and null counts as the lowest long. They come from Spark's quantile summary, whose size depends on n and the error, not on the rows."""
     if n < 2:
         return np.empty(0, np.int64)
     cuts = ids.select(F.coalesce(F.col(column), F.lit(_LEAST)).alias("id_")).approxQuantile("id_", [i / n for i in range(1, n)], 0.2 / n)
@@ -108,20 +99,14 @@ def spread_numbers(values: pa.Array, ties: np.ndarray, bounds: np.ndarray) -> pa
     return pa.array((upto - times + (ties.astype(np.int64) * (times + 1) >> 32)).astype(np.int32))
 
 
-def range_numbers(values: pa.Array, bounds: np.ndarray) -> pa.Array:
-    """The number of the range that each long is in: how many bounds are at or below it; null counts as the lowest."""
-    numbers = np.searchsorted(bounds, values.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-    return pa.array(numbers.astype(np.int32))
-
-
-def range_number(column: Column, bounds: np.ndarray) -> Column:
-    """range_numbers of a column."""
+def spread_number(column: Column, tie: Column, bounds: np.ndarray) -> Column:
+    """spread_numbers of two columns."""
 
     @F.arrow_udf("int")
-    def number(values: pa.Array) -> pa.Array:
-        return range_numbers(values, bounds)
+    def number(values: pa.Array, ties: pa.Array) -> pa.Array:
+        return spread_numbers(values, ties.to_numpy(zero_copy_only=False), bounds)
 
-    return number(column)
+    return number(column, tie)
 
 
 @contextmanager
