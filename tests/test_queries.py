@@ -65,3 +65,9 @@ def test_nothing_else_imports_the_llm_folder():
 
 def test_oracles_name_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries()) and os.path.isdir(ROOT / "tests")
+
+
+def test_the_audit_runs_all_operators(spark, sf):
+    rows = core.audit_pipeline(spark, sf).collect()
+    kinds = {part.rsplit(" ", 1)[0] for r in rows for part in r.signals.split(", ") if part}
+    assert {"age", "version_ref", "broken_link", "version_marker", "resolved_reference", "unresolved_reference", "ambiguous_reference", "replacement_link", "near_duplicate"} <= kinds, kinds

@@ -127,6 +127,8 @@ def page_blocks(pages: DataFrame, blocks: DataFrame, max_depth: int = MAX_DEPTH)
         level = written(level.join(blocks, level.block_id == blocks.parent_id).select("page_id", blocks.id.alias("block_id"), "type", F.concat("path", F.array("position")).alias("path"), block_text().alias("text"), block_links().alias("links"), "has_children"), "blocks")
         frames.append(level.select("page_id", "path", "block_id", "type", "text", "links"))
         level = level.where("has_children").where(~F.col("type").isin("child_page", "child_database")).select("page_id", "block_id", "path")
+        if not level.limit(1).count():
+            break
     rows = frames[0]
     for f in frames[1:]:
         rows = rows.union(f)
