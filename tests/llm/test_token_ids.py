@@ -84,3 +84,13 @@ def test_many_rows_of_one_id_are_several_ranges(spark, path, monkeypatch):
     assert len(per) == 4 and max(r.n for r in per) < 500
     got = [r.doc_id for r in token_ids.read_token_file(spark, folder).orderBy("start").collect()]
     assert got == sorted((r[0] for r in rows), key=lambda i: (i is not None, i or 0))
+
+
+def test_documents_are_coded_together_as_one_by_one():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [rng.choice([0, 5, 255, 256, 65_535, 65_536, 1 << 24, (1 << 32) - 1], n).astype("<u4") for n in (0, 1, 3, 4, 5, 0, 17, 1)]
+    control, data = token_ids.encode_many(np.concatenate(rows), np.array([len(r) for r in rows]))
+    assert list(zip(control.to_pylist(), data.to_pylist(), strict=True)) == [token_ids.encode_ids(r) for r in rows]
+    assert [len(x) for x in token_ids.encode_many(np.empty(0, "<u4"), np.empty(0, np.int64))] == [0, 0]

@@ -23,6 +23,7 @@ from __future__ import annotations
 import string
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import suppress
 from functools import cache
 from zlib import crc32
 
@@ -37,7 +38,7 @@ from trustlake.llm.shared import batches_of, partitions, released, shared_path,
 BLOCK_TOKENS = 1 << 18
 END_ID = 1
 #: Chunks of text whose ids a worker remembers, twice: those before are dropped, which changes no result.
-MEMORY = 160_000
+MEMORY = 320_000
 
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
@@ -54,6 +55,26 @@ def encode_ids(values: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), data.tobytes()
 
 
+def encode_many(values: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(control, data) of documents whose values stand one after another, as encode_ids gives them for each."""
+    values = np.ascontiguousarray(values, "<u4")
+    code = (values > 0xFF).astype(np.uint8) + (values > 0xFFFF) + (values > 0xFFFFFF)
+    slots = -(-counts // 4)
+    ends = np.cumsum(slots)
+    place = np.arange(len(values)) + np.repeat(4 * (ends - slots) - (np.cumsum(counts) - counts), counts)
+    padded = np.zeros(4 * int(slots.sum()), np.uint8)
+    padded[place] = code
+    quads = padded.reshape(-1, 4)
+    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
+    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]]
+    upto = np.concatenate([[0], np.cumsum(code, dtype=np.int64) + np.arange(1, len(code) + 1)])[np.concatenate([[0], np.cumsum(counts)])]
+
+    def binary(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat)])
+
+    return binary(control, np.concatenate([[0], ends])), binary(data, upto)
+
+
 def decode_ids(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     """The values of a block's documents, one after another; counts: how many each has."""
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()
@@ -79,6 +100,17 @@ _KEPT = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _VISIBLE = {b: (b if b in _KEPT else 256 + sum(x not in _KEPT for x in range(b))) for b in range(256)}
 
 
+class _Seen(dict):
+    """How a byte-level model writes a character."""
+
+    def __missing__(self, char: str) -> str:
+        self[char] = out = char.encode().decode("latin-1").translate(_VISIBLE)
+        return out
+
+
+_SEEN = _Seen()
+
+
 class _Chunks(dict):
     """The ids, as bytes, of stretches of text between spaces."""
 
@@ -98,22 +130,27 @@ class _Chunks(dict):
             self.old = dict(self)
             self.clear()
         out = self.old.get(chunk)
-        self[chunk] = out = self._encoded(chunk) if out is None else out
+        if out is None:
+            stem = chunk.rstrip(_TAIL) if self.plain else ""
+            if not stem or not stem[-1].isalpha():
+                out = self._whole(chunk)
+            elif len(stem) < len(chunk):  # letters and punctuation are never looked up together
+                out = self[stem] + self[chunk[len(stem) :]]
+            else:
+                out = self._word(chunk)
+        self[chunk] = out
         return out
 
-    def _encoded(self, chunk: str) -> bytes:
-        if self.plain and chunk:
-            stem = chunk.rstrip(_TAIL)
-            if stem and stem[-1].isalpha():  # letters and punctuation are never looked up together
-                if stem != chunk:
-                    return self[stem] + self[chunk[len(stem) :]]
-                if chunk.isascii() or max(chunk) < "\u0300":  # nothing to compose, so case may be folded first
-                    if (low := chunk.lower()) != chunk:
-                        return self[low] if max(low) < "\u0300" else self._whole(chunk)
-                    if chunk.isalpha():  # one word: straight to the model
-                        word = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_VISIBLE)
-                        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-        return self._whole(chunk)
+    def _word(self, chunk: str) -> bytes:
+        plain = chunk.isascii()
+        if not plain and max(chunk) >= "\u0300":
+            return self._whole(chunk)
+        if (low := chunk.lower()) != chunk:  # nothing to compose, so case may be folded first
+            return self[low] if plain or max(low) < "\u0300" else self._whole(chunk)
+        if not chunk.isalpha():
+            return self._whole(chunk)
+        # one word: straight to the model
+        return array("I", [t.id for t in self.model.tokenize(chunk if plain else "".join(map(_SEEN.__getitem__, chunk)))]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -128,12 +165,16 @@ def encoder(path: str) -> Callable[[str | None], bytes]:
     marks, and every text of another kind of tokenizer, is encoded as a whole."""
     chunks = _Chunks(path)
     marks = [t.content for t in chunks.tokenizer.get_added_tokens_decoder().values()]
+    signs = {m[:1] for m in marks}
 
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
-        if not chunks.plain or any(m in text for m in marks):
+        if not chunks.plain or (any(c in text for c in signs) and any(m in text for m in marks)):
             return chunks._whole(text)
+        with suppress(UnicodeEncodeError):
+            text.encode("latin-1")  # nothing to compose and no letter that grows, so all of the text's case may be folded at once
+            text = text.lower()
         return b"".join(map(chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
     return encode
@@ -154,7 +195,7 @@ def tokenize(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: st
         released()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    with batches_of(docs.sparkSession, 2000):
+    with batches_of(docs.sparkSession, 4000):
         return written(rows.mapInArrow(encoded, "id long, ids binary"), "token-rows")
 
 
@@ -189,11 +230,11 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, text_col: str =
 
     def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = [encode_ids(shared.value[np.frombuffer(x.as_buffer(), "<u4")]) for x in batch.column(1)]
-            counts = pa.array([len(x.as_buffer()) // 4 for x in batch.column(1)], pa.int64())
-            coded_ = [pa.array(x, pa.binary()) for x in (zip(*pairs, strict=True) if pairs else ((), ()))]
-            ties = np.array([crc32(data) for _, data in pairs], np.int64)  # many rows of one id are several ranges
-            yield pa.RecordBatch.from_arrays([spread_numbers(batch.column(0), ties, bounds), batch.column(0), pa.array(ties), counts, *coded_], ["range", "id", "tie", "n", "control", "data"])
+            raw = batch.column(1).to_pylist()
+            counts = np.array([len(x) for x in raw], np.int64) // 4
+            control, data = encode_many(shared.value[np.frombuffer(b"".join(raw), "<u4")], counts)
+            ties = np.array([crc32(x) for x in raw], np.int64)  # many rows of one id are several ranges
+            yield pa.RecordBatch.from_arrays([spread_numbers(batch.column(0), ties, bounds), batch.column(0), pa.array(ties), pa.array(counts), control, data], ["range", "id", "tie", "n", "control", "data"])
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, start, docs, total = TaskContext.get().partitionId(), 0, 0, [], 0
