@@ -114,6 +114,43 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == expected and len(rows) == len(got) > 10
 
 
+def test_blocks_meet_without_being_written_for_each_other(spark):
+    docs = pages(spark, *[{"content": " ".join(f"word{i * n % 97}" for i in range(20 + n % 50))} for n in range(600)])
+    classes = docs.selectExpr("id", "0L t", "doc_ord o", "content").select("id", "t", "o", S.profiled("content").alias("p"))
+    blocks, n = S._blocks(classes.dropDuplicates(["id"]))
+    found = blocks.count()
+    assert n == 600 and sorted(i for r in blocks.collect() for i in r.id) == sorted(f"d{k}" for k in range(600)) and found >= 600 / S.BLOCK
+    both = S._block_pairs(blocks, n)
+    met = [frozenset((r["at"], r["other_at"])) for r in both.select("at", "other_at").collect()]
+    assert len(met) == len(set(met)) == found * (found + 1) // 2
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan
+
+
+def test_bounds_by_groups_of_characters_lose_no_pair():
+    import random
+
+    import numpy as np
+
+    from trustlake.functions import similarity as M
+
+    rng = random.Random(3)
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", range(26, 0, -1), k=rng.randint(2, 8))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([40, 150, 400]))) for _ in range(24)] + ["", "a", "\u65e5\u672c" * 40]
+    for t in texts[:24]:
+        said = t.split()
+        texts.append(" ".join(w if rng.random() < 0.8 else rng.choice(words) for w in said))
+    blocks = [{"at": k, "id": [str(x) for x in own], "t": own, "o": own, "parts": [M.compared_parts(texts[x]) for x in own]} for k, own in enumerate((range(26), range(26, len(texts))))]
+    left, right = map(M.Side, blocks)
+    near = {(a, b) for a in range(26) for b in range(26, len(texts)) if M.similarity(texts[a], texts[b]) >= 80}
+    i, j, _ = M._candidates(left, right, False, 80.0)
+    kept = {(a, b + 26) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+    alone = sum(np.minimum(left.bags[a], right.bags[b - 26]).sum() >= 0.8 * (left.lengths[a] + right.lengths[b - 26]).sum() / 2 for a in range(26) for b in range(26, len(texts)))
+    assert near <= kept and len(near) > 15 and len(kept) < alone / 2
+    rows = M._scored(left, right, False, 80.0)
+    assert {(int(min(r[0], r[3], key=int)), int(max(r[0], r[3], key=int))) for r in rows} == near
+
+
 def test_broken_links(spark):
     docs = pages(spark, {"content": "https://a.example/x and https://b.example/y http://localhost/z"}, {"content": "https://a.example/x"})
     assert {r.url for r in S.extracted_urls(docs).collect()} == {"https://a.example/x", "https://b.example/y"}
