@@ -71,3 +71,8 @@ def test_the_audit_runs_all_operators(spark, sf):
     rows = core.audit_pipeline(spark, sf).collect()
     kinds = {part.rsplit(" ", 1)[0] for r in rows for part in r.signals.split(", ") if part}
     assert {"age", "version_ref", "broken_link", "version_marker", "resolved_reference", "unresolved_reference", "ambiguous_reference", "replacement_link", "near_duplicate"} <= kinds, kinds
+
+
+def test_search_scopes_send_no_table_through_the_driver(spark, sf):
+    plan = core.search_scopes(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

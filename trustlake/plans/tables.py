@@ -28,6 +28,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is shuffled and never sent through the driver: written tables take a tenth of the room in their files that they
+    take in memory, and Spark would broadcast them by the size of the files."""
+    return df.hint("merge")
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """While a table of long rows is written: Arrow batches of at most so many rows."""

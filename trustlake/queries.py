@@ -24,7 +24,7 @@ from trustlake.operators import signals as S
 from trustlake.plans import audit as A
 from trustlake.plans import classify as C
 from trustlake.plans.numbering import numbered
-from trustlake.plans.tables import written
+from trustlake.plans.tables import shuffled, written
 from trustlake.sources import landed as L
 from trustlake.sources import scopes
 
@@ -570,7 +570,7 @@ def search_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "address": {"query": address(17)}, "blank address": {"query": address(12)}, "all": {},
     }
     shown_ = L.page_contents(pages, blocks).where(F.col("content") != "").select(F.col("page_id").alias("id"))
-    found = [scopes.workspace(pages, blocks, **scope).join(shown_, "id", "left_semi").select(F.lit(name).alias("scope"), "id") for name, scope in asked.items()]
+    found = [scopes.workspace(pages, blocks, **scope).join(shuffled(shown_), "id", "left_semi").select(F.lit(name).alias("scope"), "id") for name, scope in asked.items()]
     return reduce(DataFrame.union, found)
 
 

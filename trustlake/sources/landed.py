@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trustlake.functions import text as T
 from trustlake.functions.web import html_anchors, html_text
 from trustlake.plans.numbering import numbered as numbers
-from trustlake.plans.tables import written
+from trustlake.plans.tables import shuffled, written
 from trustlake.schema import LINK
 
 WIKI_PAGE = (
@@ -124,7 +124,7 @@ def page_blocks(pages: DataFrame, blocks: DataFrame, max_depth: int = MAX_DEPTH)
     level = pages.select(F.col("id").alias("page_id"), F.col("id").alias("block_id"), F.array().cast("array<bigint>").alias("path"))
     frames = []
     for _ in range(max_depth):
-        level = written(level.join(blocks, level.block_id == blocks.parent_id).select("page_id", blocks.id.alias("block_id"), "type", F.concat("path", F.array("position")).alias("path"), block_text().alias("text"), block_links().alias("links"), "has_children"), "blocks")
+        level = written(level.join(shuffled(blocks), level.block_id == blocks.parent_id).select("page_id", blocks.id.alias("block_id"), "type", F.concat("path", F.array("position")).alias("path"), block_text().alias("text"), block_links().alias("links"), "has_children"), "blocks")
         frames.append(level.select("page_id", "path", "block_id", "type", "text", "links"))
         level = level.where("has_children").where(~F.col("type").isin("child_page", "child_database")).select("page_id", "block_id", "path")
         if not level.limit(1).count():
@@ -159,7 +159,7 @@ def below(pages: DataFrame, root: str, depth: int = 100) -> DataFrame:
     walk = f"""WITH RECURSIVE tree(id, depth) MAX RECURSION LEVEL {depth + 2} AS (
       SELECT id, 1 FROM {{children}} WHERE up = :root
       UNION ALL
-      SELECT c.id, t.depth + 1 FROM tree t JOIN {{children}} c ON c.up = t.id WHERE t.depth < {depth})
+      SELECT /*+ MERGE(c) */ c.id, t.depth + 1 FROM tree t JOIN {{children}} c ON c.up = t.id WHERE t.depth < {depth})
     SELECT DISTINCT id FROM tree"""
     spark, limit = pages.sparkSession, "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit)
@@ -168,7 +168,7 @@ def below(pages: DataFrame, root: str, depth: int = 100) -> DataFrame:
         found = written(spark.sql(walk, {"root": root}, children=children), "tree")
     finally:
         spark.conf.set(limit, before)
-    return pages.join(found, "id", "left_semi")
+    return pages.join(shuffled(found), "id", "left_semi")
 
 
 def same_title(pages: DataFrame, seed: str) -> DataFrame:
@@ -188,7 +188,7 @@ def only_page(pages: DataFrame, title: str) -> str:
 
 def workspace_documents(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """Documents of workspace pages with a text."""
-    rows = pages.join(page_contents(pages, blocks), F.col("id") == F.col("page_id")).where(_shown(F.col("content")))
+    rows = pages.join(shuffled(page_contents(pages, blocks)), F.col("id") == F.col("page_id")).where(_shown(F.col("content")))
     metadata = F.to_json(F.struct("created_time", F.col("created_by.id").alias("created_by"), F.col("last_edited_by.id").alias("last_edited_by"), "parent"))
     return rows.select(
         "id", page_title(pages).alias("title"), "content", F.lit("notion").alias("source_type"), "url", _time(F.col("last_edited_time")).alias("last_modified"),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trustlake.functions import text as T
-from trustlake.plans.tables import written
+from trustlake.plans.tables import shuffled, written
 from trustlake.sources import landed as L
 
 
@@ -80,10 +80,10 @@ def related_tree(pages: DataFrame, blocks: DataFrame, root: str) -> DataFrame:
     # pages with a text; a child page's or database's own line is none
     shown = parts.where(~F.col("type").isin("child_page", "child_database") & F.col("text").rlike(r"(?U)\S")).select(F.col("page_id").alias("id")).distinct()
     inline = parts.where("type = 'child_database'").select(F.col("block_id").alias("database")).distinct()
-    entries = pages.join(inline, F.col("parent.database_id") == F.col("database"), "left_semi")
-    entries = entries.join(L.page_contents(entries, blocks).where(F.col("content").rlike(r"(?U)\S")).select(F.col("page_id").alias("id")), "id", "left_semi")
-    seen = written(tree.select("id").join(shown, "id", "left_semi").union(entries.select("id")).distinct(), "tree-seen")
+    entries = pages.join(shuffled(inline), F.col("parent.database_id") == F.col("database"), "left_semi")
+    entries = entries.join(shuffled(L.page_contents(entries, blocks).where(F.col("content").rlike(r"(?U)\S")).select(F.col("page_id").alias("id"))), "id", "left_semi")
+    seen = written(tree.select("id").join(shuffled(shown), "id", "left_semi").union(entries.select("id")).distinct(), "tree-seen")
     keyed = pages.select("id", T.adapter_title(L.page_title(pages)).alias("key"))
-    keys = keyed.join(seen, "id", "left_semi").select("key").distinct()
-    related = keyed.join(keys, "key", "left_semi").select("id").join(seen, "id", "left_anti")
-    return pages.join(seen.union(related).distinct(), "id", "left_semi")
+    keys = keyed.join(shuffled(seen), "id", "left_semi").select("key").distinct()
+    related = keyed.join(shuffled(keys), "key", "left_semi").select("id").join(shuffled(seen), "id", "left_anti")
+    return pages.join(shuffled(seen.union(related).distinct()), "id", "left_semi")
