@@ -121,3 +121,23 @@ def test_private_hosts_as_columns_equal_the_standard_library(spark):
     rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", A.private_host("u").alias("p")).collect()
     assert {r.u: r.p for r in rows} == {u: is_private(u) for u in urls}
     assert 0.2 < sum(r.p for r in rows) / len(rows) < 0.9
+
+
+def test_lengths_in_common_at_the_ends_of_words():
+    import random
+
+    import numpy as np
+
+    from trustlake.functions import similarity as M
+
+    rng = random.Random(9)
+    sizes = [0, 1, 62, 63, 64, 125, 126, 127, 190, 400]
+    left = ["".join(rng.choices("abcde f", k=n)) for n in sizes] + ["a" * 200, "b" * 63 + "a"]
+    right = ["".join(rng.choices("abcdxf ", k=n)) for n in reversed(sizes)] + ["a" * 130, "ab" * 80]
+    codes, kinds = M._codes(left + right)
+    i, j = (x.ravel() for x in np.indices((len(left), len(right))))
+    exact = [M.common_length(left[a], right[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert M._lengths(codes[: len(left)], codes[len(left) :], kinds, i, j).tolist() == exact
+    least = np.array([e + rng.choice([0, 40]) for e in exact])
+    got = M.common_lengths(left, right, i, j, least)
+    assert all(g == e if need <= e else g < need for g, e, need in zip(got.tolist(), exact, least.tolist(), strict=True))
