@@ -141,3 +141,66 @@ def test_lengths_in_common_at_the_ends_of_words():
     least = np.array([e + rng.choice([0, 40]) for e in exact])
     got = M.common_lengths(left, right, i, j, least)
     assert all(g == e if need <= e else g < need for g, e, need in zip(got.tolist(), exact, least.tolist(), strict=True))
+
+
+def test_texts_are_cut_to_what_is_compared_before_they_are_shuffled(spark, sf):
+    from trustlake import queries as Q
+    from trustlake.functions import similarity as M
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab \n\u00e9\u65e5\U0001f600", k=n)) for n in (0, 1, 999, 1000, 1001, 1999, 2000, 2999, 3000, 3001, 3002, 4001, 20_000)]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, t string").select("k", M.compared_text(F.col("t")).alias("c")).collect()
+    got = {r.k: r.c for r in rows}
+    assert got.pop(len(texts)) is None and all(len(got[k]) <= 3 * M.WINDOW and M.compared_parts(got[k]) == M.compared_parts(t) for k, t in enumerate(texts))
+    plan = Q.neighbour_similarity(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN (char_length(text") == 2, plan
+
+
+def test_neighbours_score_as_single_pairs_do(spark, sf):
+    from trustlake import queries as Q
+    from trustlake.functions import similarity as M
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.similarity for r in Q.neighbour_similarity(spark, sf).collect()}
+    assert got == {k: round(M.similarity(t, texts[k + 1]), 1) for k, t in texts.items() if k + 1 in texts}
+
+
+def test_pairs_are_compared_by_the_characters_that_both_have(monkeypatch):
+    from trustlake.functions import similarity as M
+
+    rng = random.Random(5)
+    kinds = ["abcdef  ", "abcxyz0123 ", "\u65e5\u672c\u8a9e\U0001f600 ", "ab"]
+    texts = ["".join(rng.choices(rng.choice(kinds), k=rng.choice([0, 1, 5, 62, 63, 64, 127, 400, 999, 1000, 1001, 1500, 2500, 3000]))) for _ in range(150)] + [" ", "", "a", "a"]
+    left, right = zip(*[(a, b) for a in texts for b in rng.sample(texts, 6)], strict=True)
+    assert len(left) > M._TEXTS
+    assert M.similarities(left, right).tolist() == pytest.approx([M.similarity(a, b) for a, b in zip(left, right, strict=True)], abs=1e-9)
+    seen = []
+    lengths = M._lengths
+    monkeypatch.setattr(M, "_lengths", lambda a, b, *rest: seen.extend(map(len, [*a, *b])) or lengths(a, b, *rest))
+    assert M.similarities(["xyz " * 200], ["abc " * 200]).tolist() == [M.similarity("xyz " * 200, "abc " * 200)] and seen == [199, 199]
+
+
+def test_pairs_end_one_by_one():
+    import numpy as np
+
+    from trustlake.functions import similarity as M
+
+    rng = random.Random(6)
+    left = ["".join(rng.choices("abcdefgh ", k=n)) for n in (1000, 700, 64, 63, 1, 0)]
+    right = ["".join(rng.choices("abcdefgh ", k=n)) for n in (0, 1, 50, 63, 64, 65, 128, 500, 700, 1000)]
+    i, j = (x.ravel() for x in np.indices((len(left), len(right))))
+    exact = np.array([M.common_length(left[a], right[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)])
+    assert M.common_lengths(left, right, i, j).tolist() == exact.tolist()
+    for extra in (0, 1, 30):
+        need = exact + np.where(np.arange(len(exact)) % 3 == 0, extra, 0)
+        got = M.common_lengths(left, right, i, j, need)
+        assert ((got == exact) | ((need > exact) & (got < need))).all()
+
+
+def test_pairs_to_score_are_dealt_to_tasks_by_their_number(spark, sf, monkeypatch):
+    from trustlake import queries as Q
+
+    plan = lambda: Q.neighbour_similarity(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in plan() and "Broadcast" not in plan()
+    monkeypatch.setattr(Q, "SCORED_ROWS", 20)  # of 200 rows
+    assert plan().count(", 10), REPARTITION_BY_NUM") == 2 and Q.neighbour_similarity(spark, sf).count() == 199
