@@ -2,6 +2,7 @@
 
 from datetime import UTC, datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,62 @@ def test_bounds_by_groups_of_characters_lose_no_pair():
     assert {(int(min(r[0], r[3], key=int)), int(max(r[0], r[3], key=int))) for r in rows} == near
 
 
+def test_grids_bound_what_is_in_common():
+    import numpy as np
+
+    from trustlake.functions import similarity as M
+
+    rng = np.random.default_rng(4)
+    for kinds in (1, 2, 5, 12):
+        left, right = ([rng.integers(0, kinds, n).astype(np.uint8) for n in rng.choice([0, 1, 62, 63, 64, 126, 190, 240, 260], 20)] for _ in range(2))
+        right[3:6] = [np.concatenate([x[40:], x[:40]]) for x in left[3:6]]  # matches that are shifted far
+        i, j = (x.ravel() for x in np.indices((20, 20)))
+        exact, got = M._lengths(left, right, kinds, i, j).reshape(20, 20).T, M._grid(left, right, kinds)
+        assert (got >= exact).all()
+    alike = [np.concatenate([x, x])[:240] for x in (rng.integers(0, 12, 240).astype(np.uint8) for _ in range(20))]
+    for k, x in enumerate(alike):
+        x[rng.integers(0, 240, 10 * k)] = 0
+    i, j = (x.ravel() for x in np.indices((20, 20)))
+    exact, got = M._lengths(alike, alike, 12, i, j).reshape(20, 20).T, M._grid(alike, alike, 12)
+    assert (got == np.maximum(exact, 240 - int(M._BAND * 240) - 2)).all() and (np.diag(got) == 240).all()
+
+
+def _mixed_blocks(rng, number, size):
+    """Blocks of texts of one language, with some near copies over the blocks."""
+    from trustlake.functions import similarity as M
+
+    words = ["".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", range(26, 0, -1), k=rng.randint(2, 8))) for _ in range(2000)]
+    texts = [" ".join(rng.choices(words, k=rng.choice([100, 400, 400]))) for _ in range(number * size)]
+    for k in range(0, number * size, 17):
+        texts[-1 - k] = " ".join(w if rng.random() < 0.85 else rng.choice(words) for w in texts[k].split())
+    blocks = []
+    for at in range(number):
+        own = list(range(at * size, (at + 1) * size))
+        parts = [M.compared_parts(texts[x]) for x in own]
+        bags = [M._bags([p])[0] for p in parts]
+        rows = pd.DataFrame({"id": [str(x) for x in own], "t": own, "o": own, "parts": parts, "lengths": [b.sum(axis=1) for b in bags], "bags": [b.astype("<i2").tobytes() for b in bags]})
+        blocks.append(M.block_row(at, rows))
+    near = {(a, b) for a in range(len(texts)) for b in range(a) if a + b == len(texts) - 1 and M.similarity(texts[a], texts[b]) >= 80}
+    return blocks, near
+
+
+def test_pairs_of_blocks_are_compared_side_by_side(monkeypatch):
+    """Few pairs are left to be compared one by one, and those of several blocks are so together."""
+    import random
+
+    from trustlake.functions import similarity as M
+
+    blocks, near = _mixed_blocks(random.Random(8), 3, 60)
+    singly, calls, lengths, common = [], [], M._lengths, M.common_lengths
+    monkeypatch.setattr(M, "_lengths", lambda a, b, kinds, i, j, *rest: singly.append(len(i)) or lengths(a, b, kinds, i, j, *rest))
+    monkeypatch.setattr(M, "common_lengths", lambda *given: calls.append(given) or common(*given))
+    rows = pd.DataFrame([x | {f"other_{k}": v for k, v in y.items()} for x in blocks for y in blocks if x["at"] <= y["at"]])
+    out = pd.concat(M.close_pairs(80.0)([rows.iloc[:4], rows.iloc[4:]]))
+    got = {(max(int(a), int(b)), min(int(a), int(b))) for a, b in zip(out["id"], out["head"], strict=True)}
+    assert got >= near and len(near) >= 5 and all(a + b == 179 for a, b in got)
+    assert max(singly) < 180 * 179 / 2 / 8 and len(calls) <= 3  # before, all pairs of some blocks and a call for each two blocks
+
+
 def test_broken_links(spark):
     docs = pages(spark, {"content": "https://a.example/x and https://b.example/y http://localhost/z"}, {"content": "https://a.example/x"})
     assert {r.url for r in S.extracted_urls(docs).collect()} == {"https://a.example/x", "https://b.example/y"}
